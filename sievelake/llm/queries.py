@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm import packing, quality_model, quality_rules, simhash, span_dedup
+from sievelake.llm import bpe, chat, html_main, packing, quality_model, quality_rules, simhash, span_dedup
 from sievelake.llm.shared import table
 
 
@@ -23,6 +23,21 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_dedup.dedup_spans(docs)
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), digest=True)
+
+
+def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    more = spark.range(2).select(F.lit(-7).cast("long"), "id", role, F.lit("\\### Assistant: </turn> ok"))
+    return chat.digests(chat.format_conversations(turns.union(more)))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -34,7 +49,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_classifier, op3_best_fit_packing, op4_substring_dedup, op9_simhash_near_dedup, op10_quality_rules)
+    for f in (
+        op1_quality_classifier,
+        op3_best_fit_packing,
+        op4_substring_dedup,
+        op5_byte_bpe,
+        op7_html_main_text,
+        op8_chat_formatting,
+        op9_simhash_near_dedup,
+        op10_quality_rules,
+    )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_chat_formatting": chat.ORACLE}
