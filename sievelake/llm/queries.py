@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm import bpe, chat, html_main, packing, quality_model, quality_rules, simhash, span_dedup
+from sievelake.llm import bpe, chat, html_main, images, licenses, packing, quality_model, quality_rules, simhash, span_dedup
 from sievelake.llm.shared import table
 
 
@@ -14,6 +14,14 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(docs, quality_model.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as a tree of files, see licenses.document_paths()."""
+    files = licenses.document_paths(table(spark, sf_dir, "documents"))
+    found = licenses.scan_tree(files)
+    doc_id = F.regexp_extract("path", "([0-9]+)[^/]*$", 1).cast("long")
+    return found.withColumn("doc_id", doc_id)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digests(table(spark, sf_dir, "documents"))
 
@@ -27,6 +35,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op6_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables have no pictures: every embedding is drawn as one."""
+    return images.copies(images.render(table(spark, sf_dir, "embeddings")))
+
+
 def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(table(spark, sf_dir, "pages"))
 
@@ -51,9 +64,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_classifier,
+        op2_license_scan,
         op3_best_fit_packing,
         op4_substring_dedup,
         op5_byte_bpe,
+        op6_image_copies,
         op7_html_main_text,
         op8_chat_formatting,
         op9_simhash_near_dedup,
