@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.llm.shared import materialize, release_shuffles, small_batches
+from sievelake.llm.shared import WHITE, materialize, release_shuffles, small_batches
 
 #: How many words, of at most HOT_BYTES bytes each, are joined by broadcast: at most some 30 MB.
 HOT_WORDS = 300_000
@@ -54,9 +54,11 @@ def token_bytes(path: str) -> list[bytes]:
 
 
 def pattern():
+    """The pre-tokens' pattern, its white space spelt out."""
     import regex
 
-    return regex.compile(public_tokenizers.PATTERN)
+    spelt = public_tokenizers.PATTERN.replace("[^\\s", "[^" + WHITE).replace("\\s", f"[{WHITE}]").replace("\\S", f"[^{WHITE}]")
+    return regex.compile(spelt)
 
 
 def stretches(text: str) -> list[str]:

@@ -10,51 +10,81 @@ and not on the number of documents. Every piece finds its place from its rank am
 from __future__ import annotations
 
 import bisect
+from array import array
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievelake.llm.shared import materialize, n_partitions, small_batches
+from sievelake.llm.shared import WHITE, materialize, n_partitions, small_batches
 
 CAPACITY = 4096
 END_ID = 1
 
-#: Words whose ids a Python worker keeps; beyond that it starts afresh.
-WORD_CACHE = 400_000
-_cache: dict[str, dict[str, bytes]] = {}
-_tokenizers: dict = {}
+#: Words, and parts of words, whose ids a Python worker keeps; beyond that it starts afresh.
+WORD_CACHE, PART_CACHE = 500_000, 400_000
+_encoders: dict[str, "WordEncoder"] = {}
 
+# How the tokenizer parts words, and how byte-level models write a byte as a character.
+_PARTS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE}\p{{L}}\p{{N}}]+")
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_AS_CHAR = {b: chr(b) for b in _PRINTED} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+#: Below this, lower case is one character for one and texts are composed already; the one exception is named.
+_PLAIN, _NOT_PLAIN = "\u0250", "\u0130"
 
-def word_ids(path: str):
-    """text -> bytes of its ids, each as a little-endian unsigned 32-bit integer.
 
-    The tokenizer drops white space and no token reaches across it, so a text is encoded word by word and each word only once
-    per worker. Only blanks that the tokenizer surely drops part words here; it deals with others itself.
-    """
-    from tokenizers import Tokenizer
+class _Parts(dict):
+    """part of a word -> its ids as bytes, made when first asked for."""
+
+    def __init__(self, model):
+        self.model = model
+
+    def __missing__(self, part: str) -> bytes:
+        chars = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(_AS_CHAR)
+        got = self[part] = array("I", [t.id for t in self.model.tokenize(chars)]).tobytes()
+        return got
+
 
-    if path not in _tokenizers:
-        _tokenizers[path] = Tokenizer.from_file(path)
-        _tokenizers[path].encode_special_tokens = True
-        _cache[path] = {}
-    tok, known = _tokenizers[path], _cache[path]
+class WordEncoder(dict):
+    """word -> its ids as little-endian unsigned 32-bit integers, by a lower-casing word tokenizer, made when first asked for.
 
-    def encode(text: str) -> bytes:
+    The tokenizer drops white space and no token reaches across it, so texts are encoded word by word. Words of plain Latin
+    characters are parted as the tokenizer would and their parts given to its model; all others go to the tokenizer whole.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = True
+        self.parts = _Parts(self.tok.model)
+
+    def __missing__(self, word: str) -> bytes:
+        if word.isascii() or (max(word) < _PLAIN and _NOT_PLAIN not in word):
+            got = b"".join([self.parts[p] for p in _PARTS.findall(word.lower())])
+        else:
+            got = array("I", self.tok.encode(word, add_special_tokens=False).ids).tobytes()
+        self[word] = got
+        return got
+
+    def encode(self, text: str) -> bytes:
+        if len(self) > WORD_CACHE:
+            self.clear()
+        if len(self.parts) > PART_CACHE:
+            self.parts.clear()
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) > WORD_CACHE:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words])
+        return b"".join([self[w] for w in words])
+
 
-    return encode
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder for each process and file."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -68,11 +98,11 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encode = word_ids(path)
+        encoder = word_encoder(path)
         for b in batches:
             out = {"doc_id": [], "piece": [], "start": [], "length": [], "ids": []}
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = encode(text or "") + end
+                ids = encoder.encode(text or "") + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     for c, x in zip(out.values(), (doc_id, k, at // 4, len(part) // 4, part)):

@@ -14,6 +14,9 @@ BATCH_ROWS = 256
 #: Code points that part words: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 
+#: White space as Unicode has it, for character classes; Python's \\s has U+001C to U+001F besides, the tokenizers' does not.
+WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
