@@ -19,7 +19,13 @@ from sievelake.sources import boards, html_text, jsonl
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-NOW = F.lit(AS_OF).cast("timestamp_ntz")
+
+
+def now():
+    """The fixture's clock; a column can be made only where a session runs."""
+    return F.lit(AS_OF).cast("timestamp_ntz")
+
+
 NOW_SQL = f"TIMESTAMP '{AS_OF}'"
 #: A list as one string, so that every engine compares it alike.
 joined = lambda c: F.array_join(c, "|")
@@ -57,15 +63,15 @@ MAIN_WHERE = f"is_active AND (contains({BLOB_SQL}, 'sql') OR contains(lower(desc
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return slim(search.search(postings(spark, sf_dir), MAIN, NOW))
+    return slim(search.search(postings(spark, sf_dir), MAIN, now()))
 
 
 add("search_page", flagship, f"SELECT {SLIM_SQL} FROM postings WHERE {MAIN_WHERE} ORDER BY posted_at DESC NULLS LAST, id DESC LIMIT 25")
-add("search_page_2", lambda s, d: slim(search.search(postings(s, d), MAIN, NOW, page=2, size=10)), f"SELECT {SLIM_SQL} FROM postings WHERE {MAIN_WHERE} ORDER BY posted_at DESC NULLS LAST, id DESC LIMIT 10 OFFSET 10")
-add("search_count", lambda s, d: search.total(postings(s, d), MAIN, NOW), f"SELECT count(*) AS total FROM postings WHERE {MAIN_WHERE}")
+add("search_page_2", lambda s, d: slim(search.search(postings(s, d), MAIN, now(), page=2, size=10)), f"SELECT {SLIM_SQL} FROM postings WHERE {MAIN_WHERE} ORDER BY posted_at DESC NULLS LAST, id DESC LIMIT 10 OFFSET 10")
+add("search_count", lambda s, d: search.total(postings(s, d), MAIN, now()), f"SELECT count(*) AS total FROM postings WHERE {MAIN_WHERE}")
 add(
     "search_meta",
-    lambda s, d: search.page_meta(postings(s, d), MAIN, NOW, page=2, size=10),
+    lambda s, d: search.page_meta(postings(s, d), MAIN, now(), page=2, size=10),
     f"SELECT 2 AS page, 10 AS page_size, count(*) AS total, CAST(ceil(count(*) / 10) AS BIGINT) AS total_pages, 2 < ceil(count(*) / 10) AS has_next, true AS has_prev FROM postings WHERE {MAIN_WHERE}",
 )
 _FILTERS = {
@@ -86,13 +92,13 @@ _FILTERS = {
     "filter_inactive_too": (Filters(source=["naukri"], active_only=False), "source = 'naukri'"),
 }
 for _name, (_f, _sql) in _FILTERS.items():
-    add(_name, lambda s, d, f=_f: slim(search.matching(postings(s, d), f, NOW)), f"SELECT {SLIM_SQL} FROM postings WHERE {'' if not _f.active_only else 'is_active AND '}({_sql})")
+    add(_name, lambda s, d, f=_f: slim(search.matching(postings(s, d), f, now())), f"SELECT {SLIM_SQL} FROM postings WHERE {'' if not _f.active_only else 'is_active AND '}({_sql})")
 for _c, _k in search.SORT_COLUMNS.items():
     for _o in ("asc", "desc"):
         _nulls = "NULLS LAST" if _o == "desc" else "NULLS FIRST"
         add(
             f"sort_{_c}_{_o}",
-            lambda s, d, c=_c, o=_o: slim(search.search(postings(s, d), Filters(), NOW, page=2, size=50, sort=c, order=o)),
+            lambda s, d, c=_c, o=_o: slim(search.search(postings(s, d), Filters(), now(), page=2, size=50, sort=c, order=o)),
             f"SELECT {SLIM_SQL} FROM postings WHERE is_active ORDER BY {_k} {_o} {_nulls}, id DESC LIMIT 50 OFFSET 50",
         )
 add(
@@ -102,7 +108,7 @@ add(
     views=False,
 )
 add("posting_detail", lambda s, d: search.detail(postings(s, d), 7).select("id", "description", "external_id", "expired_at", "expiry_reason", "last_checked_at"), "SELECT id, description, external_id, expired_at, expiry_reason, last_checked_at FROM postings WHERE id = 7")
-add("added_today", lambda s, d: search.added_since(postings(s, d), NOW), f"SELECT count(*) AS n FROM postings WHERE first_seen_at >= {NOW_SQL} - INTERVAL 1 DAY")
+add("added_today", lambda s, d: search.added_since(postings(s, d), now()), f"SELECT count(*) AS n FROM postings WHERE first_seen_at >= {NOW_SQL} - INTERVAL 1 DAY")
 
 # ------------------------------------------------------------------ facets
 
@@ -134,7 +140,7 @@ add(
 add("posting_counts", lambda s, d: facets.counts(postings(s, d)), "SELECT count(*) AS total, count(*) FILTER (is_active) AS active FROM postings")
 add(
     "stats_summary",
-    lambda s, d: facets.stats(postings(s, d), NOW),
+    lambda s, d: facets.stats(postings(s, d), now()),
     f"""SELECT count(*) AS total, count(*) FILTER (is_active) AS active, count(*) FILTER (first_seen_at >= {NOW_SQL} - INTERVAL 1 DAY) AS added_today,
     count(DISTINCT company) FILTER (is_active) AS companies, count(DISTINCT category) FILTER (is_active) AS categories,
     count(*) FILTER (NOT is_active AND expired_at IS NOT NULL) AS expired, max(last_seen_at) AS last_seen_at FROM postings""",
@@ -201,7 +207,7 @@ _AGO = ["'just now'", "'3 hours ago'", "'1 hour ago'", "'Yesterday'", "'5 days a
 _AGO_SQL = [NOW_SQL, NOW_SQL, *(f"{NOW_SQL} - INTERVAL '{k} hours'" for k in (1, 24, 120, 336, 720, 720, 8760)), "NULL"]
 add(
     "relative_date",
-    lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", parse.relative_date(F.expr(case_of("event_id % 10", _AGO)), NOW).alias("at")),
+    lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", parse.relative_date(F.expr(case_of("event_id % 10", _AGO)), now()).alias("at")),
     f"SELECT event_id, {case_of('event_id % 10', _AGO_SQL)} AS at FROM events",
     views=False,
 )
@@ -297,7 +303,7 @@ kept AS (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY n_descri
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.classify(raw(spark, sf_dir), NOW)
+    return ingest.classify(raw(spark, sf_dir), now())
 
 
 add("reject_reasons", lambda s, d: ingest.rejections(_classified(s, d)))
@@ -305,7 +311,7 @@ ORACLES["reject_reasons"] = with_views(INGEST_CTE, "SELECT reject_reason, count(
 _KEPT = ["raw_id", "fingerprint", "title", "company", "experience_min", "experience_max", "seniority", "category", "work_mode"]
 add("ingest_kept", lambda s, d: ingest.kept(_classified(s, d)).select(*_KEPT, joined("skills").alias("skills"), F.length("description").alias("n_description")))
 ORACLES["ingest_kept"] = with_views(INGEST_CTE, f"SELECT {', '.join(_KEPT)}, array_to_string(skills, '|') AS skills, n_description FROM kept")
-add("ingest", lambda s, d: ingest.ingest(raw(s, d), NOW).select(*_KEPT, joined("skills").alias("skills")))
+add("ingest", lambda s, d: ingest.ingest(raw(s, d), now()).select(*_KEPT, joined("skills").alias("skills")))
 ORACLES["ingest"] = with_views(INGEST_CTE, f"SELECT {', '.join(_KEPT)}, array_to_string(skills, '|') AS skills FROM stored")
 add(
     "dedup_richest",
@@ -325,7 +331,7 @@ add(
     FROM (SELECT raw_id, apply_link, CASE WHEN raw_id % 3 > 0 THEN CAST(raw_id % 500 AS VARCHAR) END AS external_id FROM postings_raw)) WHERE nth = 1""",
 )
 add("per_source", lambda s, d: ingest.per_source(raw(s, d)), "SELECT source, count(*) AS n FROM postings_raw GROUP BY 1")
-add("profile_funnel", lambda s, d: profiles.profile_funnel(profiles.apply_profile(ingest.ingest(raw(s, d), NOW), profiles.CITY_FRESHERS)))
+add("profile_funnel", lambda s, d: profiles.profile_funnel(profiles.apply_profile(ingest.ingest(raw(s, d), now()), profiles.CITY_FRESHERS)))
 ORACLES["profile_funnel"] = with_views(
     INGEST_CTE,
     f"""SELECT CASE WHEN l <> 0 THEN 'outside_target_city' WHEN experience_min > 1 OR (coalesce(experience_min, 1) <> 0 AND seniority NOT IN ('fresher', 'intern')) THEN 'not_fresher'
@@ -360,22 +366,22 @@ def _retired_sql(hit: str, reason: str, source: str = "postings") -> str:
     return _state_sql(source, is_active=f"is_active AND NOT ({hit})", expired_at=f"CASE WHEN {hit} THEN {NOW_SQL} ELSE expired_at END", expiry_reason=f"CASE WHEN {hit} THEN '{reason}' ELSE expiry_reason END")
 
 
-add("deactivate_stale", lambda s, d: _state(lifecycle.deactivate_stale(postings(s, d), NOW)), _state_sql(is_active=f"is_active AND NOT ({_stale})"))
-add("expire_aged_out", lambda s, d: _state(lifecycle.expire_aged_out(postings(s, d), NOW)), _retired_sql(_aged, "aged_out"))
-add("purge_old", lambda s, d: _state(lifecycle.purge_old(postings(s, d), NOW)), f"{_state_sql()} WHERE NOT ({_old})")
-add("purge_expired", lambda s, d: _state(lifecycle.purge_expired(postings(s, d), NOW)), f"{_state_sql()} WHERE NOT ({_exp})")
+add("deactivate_stale", lambda s, d: _state(lifecycle.deactivate_stale(postings(s, d), now())), _state_sql(is_active=f"is_active AND NOT ({_stale})"))
+add("expire_aged_out", lambda s, d: _state(lifecycle.expire_aged_out(postings(s, d), now())), _retired_sql(_aged, "aged_out"))
+add("purge_old", lambda s, d: _state(lifecycle.purge_old(postings(s, d), now())), f"{_state_sql()} WHERE NOT ({_old})")
+add("purge_expired", lambda s, d: _state(lifecycle.purge_expired(postings(s, d), now())), f"{_state_sql()} WHERE NOT ({_exp})")
 _HOUSE = f"""fresh AS (SELECT * REPLACE (is_active AND NOT ({_stale}) AS is_active) FROM postings),
 aged AS (SELECT * REPLACE (is_active AND NOT ({_aged}) AS is_active, CASE WHEN {_aged} THEN {NOW_SQL} ELSE expired_at END AS expired_at, CASE WHEN {_aged} THEN 'aged_out' ELSE expiry_reason END AS expiry_reason) FROM fresh),
 housed AS (SELECT * FROM aged WHERE NOT ({_old}) AND NOT ({_exp}))"""
-add("housekeeping", lambda s, d: _state(lifecycle.housekeeping(postings(s, d), NOW)))
+add("housekeeping", lambda s, d: _state(lifecycle.housekeeping(postings(s, d), now())))
 ORACLES["housekeeping"] = with_views(_HOUSE, _state_sql("housed"))
-add("expire_ids", lambda s, d: _state(lifecycle.expire_ids(postings(s, d), s.range(0, 2000, 3), "rejected", NOW)), _retired_sql("is_active AND id < 2000 AND id % 3 = 0", "rejected"))
+add("expire_ids", lambda s, d: _state(lifecycle.expire_ids(postings(s, d), s.range(0, 2000, 3), "rejected", now())), _retired_sql("is_active AND id < 2000 AND id % 3 = 0", "rejected"))
 
 
 def _halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = postings(spark, sf_dir)
     new = p.where("id % 2 = 0").withColumn("description", F.expr("case when id % 6 = 0 then '' else 'New text' end")).withColumn("posted_at", F.expr("case when id % 10 = 0 then null else posted_at end"))
-    return lifecycle.upsert(p.where("id % 3 <> 0"), new.select(*ingest.PAYLOAD), NOW)
+    return lifecycle.upsert(p.where("id % 3 <> 0"), new.select(*ingest.PAYLOAD), now())
 
 
 _UPSERT = f"""old AS (SELECT * FROM postings WHERE id % 3 <> 0), new AS (SELECT * REPLACE (CASE WHEN id % 6 = 0 THEN '' ELSE 'New text' END AS description, CASE WHEN id % 10 = 0 THEN NULL ELSE posted_at END AS posted_at) FROM postings WHERE id % 2 = 0),
@@ -393,7 +399,7 @@ ORACLES["upsert_metrics"] = with_views(_UPSERT, "SELECT count(*) FILTER (action
 
 
 def _reindexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lifecycle.reindex(postings(spark, sf_dir), NOW)
+    return lifecycle.reindex(postings(spark, sf_dir), now())
 
 
 _RE = f"""re AS (SELECT *, {_score_sql()} FROM postings), re2 AS (SELECT *, {CATEGORY_SQL} AS new_category, {YEARS_LOW} AS new_min, {YEARS_HIGH} AS new_max,
@@ -412,7 +418,7 @@ add(
 
 add(
     "probe_select",
-    lambda s, d: probe.due(postings(s, d), NOW).select("id", "last_checked_at"),
+    lambda s, d: probe.due(postings(s, d), now()).select("id", "last_checked_at"),
     f"SELECT id, last_checked_at FROM postings WHERE is_active AND (last_checked_at IS NULL OR last_checked_at < {NOW_SQL} - INTERVAL 24 HOUR) ORDER BY last_checked_at NULLS FIRST, id LIMIT 250",
 )
 add("probe_url", lambda s, d: postings(s, d).select("id", probe.probe_url(F.col("source"), F.col("external_id"), F.col("apply_link"), "https://api.example/p/").alias("url")),
@@ -431,7 +437,7 @@ add("probe_classify", _results)
 ORACLES["probe_classify"] = with_views(_V, "SELECT * FROM verdicts")
 add("probe_reasons", lambda s, d: probe.reasons(_results(s, d)))
 ORACLES["probe_reasons"] = with_views(_V, "SELECT verdict, reason, count(*) AS n FROM verdicts GROUP BY ALL")
-add("probe_apply", lambda s, d: _state(lifecycle.apply_probes(postings(s, d), _results(s, d), NOW)))
+add("probe_apply", lambda s, d: _state(lifecycle.apply_probes(postings(s, d), _results(s, d), now())))
 _RETIRE = "coalesce(verdict = 'gone' OR (verdict = 'unknown' AND check_failures + 1 >= 3), false)"
 ORACLES["probe_apply"] = with_views(
     f"{_V}, j AS (SELECT p.*, v.verdict FROM postings p LEFT JOIN verdicts v ON p.id = v.id)",
@@ -447,7 +453,7 @@ ORACLES["probe_apply"] = with_views(
 )
 add("probe_report", lambda s, d: lifecycle.probe_report(postings(s, d), _results(s, d)))
 ORACLES["probe_report"] = with_views(_V, f"SELECT count(*) AS checked, count(*) FILTER (verdict = 'alive') AS alive, count(*) FILTER (verdict = 'gone') AS gone, count(*) FILTER (verdict = 'unknown') AS inconclusive, count(*) FILTER ({_RETIRE}) AS retired FROM postings JOIN verdicts USING (id)")
-add("maintenance", lambda s, d: _state(lifecycle.maintenance(postings(s, d), _results(s, d), NOW)[0]))
+add("maintenance", lambda s, d: _state(lifecycle.maintenance(postings(s, d), _results(s, d), now())[0]))
 
 # ------------------------------------------------------------------ runs and events
 
@@ -483,7 +489,7 @@ def _card_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw(spark, sf_dir).select(F.col("raw_id").alias("page_id"), F.concat(*[columns[int(p)] if k % 2 else F.lit(p) for k, p in enumerate(parts)]).alias("html"))
 
 
-add("html_cards", lambda s, d: boards.linkedin_cards(_card_pages(s, d), NOW).select("external_id", "title", "company", "location", "apply_link", "posted_at"),
+add("html_cards", lambda s, d: boards.linkedin_cards(_card_pages(s, d), now()).select("external_id", "title", "company", "location", "apply_link", "posted_at"),
     "SELECT CAST(raw_id AS VARCHAR) AS external_id, title, company, location, 'https://www.linkedin.com/jobs/view/x-' || raw_id AS apply_link, TIMESTAMP '2024-05-01' AS posted_at FROM postings_raw")
 
 
@@ -498,7 +504,7 @@ def _board_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add(
     "json_scan",
-    lambda s, d: boards.naukri_json(_board_json(s, d), NOW).select("external_id", "title", "location", "experience_text", "apply_link", "posted_at", joined("declared_skills").alias("tags")),
+    lambda s, d: boards.naukri_json(_board_json(s, d), now()).select("external_id", "title", "location", "experience_text", "apply_link", "posted_at", joined("declared_skills").alias("tags")),
     f"SELECT CAST(raw_id AS VARCHAR) AS external_id, title, location, experience_text, split_part(apply_link, '?', 1) AS apply_link, coalesce(posted_at, {NOW_SQL} - INTERVAL 3 DAY) AS posted_at, replace(tags, ',', '|') AS tags FROM postings_raw WHERE apply_link <> ''",
 )
 add(
