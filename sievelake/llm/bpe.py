@@ -1,10 +1,11 @@
 """Byte-level BPE over a distributed table of distinct words.
 
-1. Pre-tokens are counted over all texts; a shuffle on the word leaves one row for each distinct word, which is encoded once.
-2. Texts are exploded into pre-tokens with positions and the ids joined back. The HOT_WORDS most frequent short words, a
-   table of bounded size, are joined where the texts are read. What remains is shuffled on the word to the table of distinct
-   words, then on the document; a frequent word thus never gathers in one task.
-3. Each document's ids are put together by position. Decoding joins ids to the table of token bytes, which the ranks bound.
+1. Texts are exploded into pre-tokens with positions. The most frequent ones, a table of bounded size, are encoded once and joined by
+   broadcast where the texts are read; they leave their number at their position.
+2. All other pre-tokens are shuffled on the word, so that each distinct one lies in one task and is encoded there once. No word
+   that is frequent gets here, so none gathers in one task.
+3. Their ids are shuffled back to the document and put in at their positions. Decoding joins ids to the table of token bytes, which
+   the ranks bound.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -23,14 +25,14 @@ from pyspark.sql import functions as F
 
 from sievelake.llm.shared import WHITE, materialize, release_shuffles, small_batches
 
-#: How many words, of at most HOT_BYTES bytes each, are joined by broadcast: at most some 30 MB.
-HOT_WORDS = 300_000
-HOT_BYTES = 32
+#: Bounds on the words that are joined by broadcast: their number and the sum of their bytes.
+HOT_WORDS, HOT_BYTES = 600_000, 32_000_000
 #: Distinct stretches of text that a Python worker keeps at once.
-KEPT = 300_000
+KEPT = 400_000
 
-_HOLE = 0xFFFFFFFF
+_HOLE = 0xFFFFFF
 _encoders: dict[str, "object"] = {}
+_kept: dict[int, "_Stretches"] = {}
 _near_blank = re.compile(r"\s |^ ")
 _cut = re.compile(r"(?<=\S)(?= )")
 
@@ -70,7 +72,10 @@ def stretches(text: str) -> list[str]:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) for every distinct pre-token of all texts."""
+    """(word, n) of the pre-tokens seen twice or more among some hundred thousand stretches of text.
+
+    It serves to find the frequent ones; a word that it lacks or counts short is encoded all the same, in the shuffle on the word.
+    """
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -78,12 +83,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
         seen: Counter = Counter()
 
         def words():
-            out: Counter = Counter()
+            out: dict[str, int] = {}
             for s, n in seen.items():
                 for w in find(s):
-                    out[w] += n
+                    out[w] = out.get(w, 0) + n
             seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.string()), pa.array(out.values(), pa.int64())], names=["word", "n"])
+            often = [(w, n) for w, n in out.items() if n > 1]
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in often], pa.string()), pa.array([n for _, n in often], pa.int64())], names=["word", "n"])
 
         for b in batches:
             for text in b.column(0).to_pylist():
@@ -96,77 +102,93 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(word, n, ids binary): every row's word encoded, ids as little-endian unsigned 32-bit integers."""
+def hot_words(docs: DataFrame, path: str, most: int = HOT_WORDS, most_bytes: int = HOT_BYTES) -> list[tuple[str, bytes]]:
+    """(word, ids) of the most frequent words within both bounds, the most frequent first.
+
+    The threshold comes from a histogram of the counts by eighths of a power of two, of at most some 500 rows.
+    """
+    counts = materialize(word_counts(docs), "words")
+    release_shuffles(docs.sparkSession)
+    level = F.floor(F.log2("n") * 8)
+    hist = counts.groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.sum(F.octet_length("word")).alias("bytes"))
+    words = size = 0
+    least = None
+    for r in sorted(hist.collect(), key=lambda r: -r.level):
+        words, size = words + r.words, size + r.bytes
+        if words > most or size > most_bytes:
+            break
+        least = r.level
+    if least is None:
+        return []
 
     def run(batches):
         enc = encoder(path)
         for b in batches:
-            ids = [np.array(enc.encode_ordinary(w), "<u4").tobytes() for w in b.column(0).to_pylist()]
+            ids = [array("I", enc.encode_ordinary(w)).tobytes() for w in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], names=["word", "n", "ids"])
 
-    return words.mapInArrow(run, "word string, n long, ids binary")
+    rows = counts.where(level >= least).mapInArrow(run, "word string, n long, ids binary").collect()  # within the bounds
+    return [(r.word, bytes(r.ids)) for r in sorted(rows, key=lambda r: (-r.n, r.word))]
 
 
-def _partly_encoded(docs: DataFrame, hot) -> DataFrame:
-    """(doc_id, key, cold array<string>, packed binary): ids where the word is hot, holes for those in cold, in order."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+class _Stretches(dict):
+    """stretch of text -> the numbers of its words as bytes; with holes, a pair of those bytes and the words that belong there."""
 
-    def run(batches):
-        find, known = pattern().findall, hot.value
-        hole = np.array([_HOLE], "<u4").tobytes()
-        kept: dict[str, tuple[bytes, tuple[str, ...]]] = {}
-        press = zstandard.ZstdCompressor(level=1).compress
+    def __init__(self, index: dict[str, int]):
+        self.index, self.find = index, pattern().findall
+
+    def __missing__(self, s: str):
+        words = self.find(s)
+        got = array("I", [self.index.get(w, _HOLE) for w in words])
+        cold = tuple(w for w, k in zip(words, got) if k == _HOLE)
+        value = self[s] = (got.tobytes(), cold) if cold else got.tobytes()
+        return value
+
+
+def _pack(numbers: bytes, cold: list[str]) -> bytes:
+    """Numbers below 2^24 and the words of the holes among them, small: by planes of bytes, as frequent words have small numbers."""
+    planes = np.frombuffer(numbers, np.uint8).reshape(-1, 4)[:, :3].T.tobytes()
+    names = b"".join(len(w).to_bytes(4, "little") + w for w in (x.encode() for x in cold))
+    return len(numbers).to_bytes(8, "little") + zstandard.ZstdCompressor(level=3).compress(planes + names)
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, list[str]]:
+    n = int.from_bytes(blob[:8], "little") // 4
+    raw = zstandard.ZstdDecompressor().decompress(blob[8:])
+    a = np.frombuffer(raw, np.uint8, 3 * n).reshape(3, n).astype(np.uint32)
+    names, at = [], 3 * n
+    while at < len(raw):
+        size = int.from_bytes(raw[at : at + 4], "little")
+        names.append(raw[at + 4 : at + 4 + size].decode())
+        at += 4 + size
+    return a[0] | a[1] << 8 | a[2] << 16, names
 
-        def look(s: str) -> tuple[bytes, tuple[str, ...]]:
-            words = find(s)
-            missing = tuple(w for w in words if w not in known)
-            return b"".join([known.get(w, hole) for w in words]), missing
 
+def _numbered(docs: DataFrame, hot) -> DataFrame:
+    """(doc_id, key, blob): per row the numbers of its hot words, with holes and the words that belong there."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        words = hot.value
+        if id(words) not in _kept:
+            _kept.clear()
+            _kept[id(words)] = _Stretches({w: k for k, (w, _) in enumerate(words)})
+        kept = _kept[id(words)]
         for b in batches:
-            packed, cold = [], []
+            blobs = []
             for text in b.column(1).to_pylist():
-                parts, names = [], []
-                for s in stretches(text) if text else ():
-                    got = kept.get(s)
-                    if got is None:
-                        got = kept[s] = look(s)
-                    parts.append(got[0])
-                    if got[1]:
-                        names += got[1]
-                ids = np.frombuffer(b"".join(parts), "<u4")
-                packed.append(press(np.minimum(ids, 0xFFFF).astype("<u2").tobytes() if not len(ids) or int(ids[ids != _HOLE].max(initial=0)) < 0xFFFF else b"4" + ids.tobytes()))
-                cold.append(names)
+                found = [kept[s] for s in stretches(text)] if text else []
+                cold = [w for v in found if type(v) is tuple for w in v[1]]
+                blobs.append(_pack(b"".join([v[0] if type(v) is tuple else v for v in found]), cold))
                 if len(kept) > KEPT:
                     kept.clear()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(cold, pa.list_(pa.string())), pa.array(packed, pa.binary())], names=["doc_id", "key", "cold", "packed"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(blobs, pa.binary())], names=["doc_id", "key", "blob"])
 
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
-    return rows.mapInArrow(run, f"doc_id {kind}, key long, cold array<string>, packed binary")
-
-
-def _open(packed: bytes) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(packed)
-    if len(raw) % 2:
-        return np.frombuffer(raw[1:], "<u4")
-    ids = np.frombuffer(raw, "<u2").astype("<u4")
-    ids[ids == 0xFFFF] = _HOLE
-    return ids
-
+    return rows.mapInArrow(run, f"doc_id {kind}, key long, blob binary")
 
-def _filled(ids: np.ndarray, fills: list[bytes]) -> bytes:
-    """ids with the k-th hole replaced by fills[k]."""
-    if not fills:
-        return ids.tobytes()
-    out, at = [], 0
-    for hole, f in zip(np.flatnonzero(ids == _HOLE).tolist(), fills):
-        out += [ids[at:hole].tobytes(), f]
-        at = hole + 1
-    out.append(ids[at:].tobytes())
-    return b"".join(out)
 
-
-def encode(docs: DataFrame, ranks_path: str | None = None, hot_words: int = HOT_WORDS, digest: bool = False) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str | None = None, hot: int = HOT_WORDS, digest: bool = False) -> DataFrame:
     """(doc_id, ids binary) of every row's whole text; null and empty texts have no ids.
 
     ids are those of tiktoken without special tokens, as little-endian unsigned 32-bit integers. With digest: (doc_id, n_tokens,
@@ -174,32 +196,53 @@ def encode(docs: DataFrame, ranks_path: str | None = None, hot_words: int = HOT_
     """
     spark = docs.sparkSession
     path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    table = materialize(encode_words(word_counts(docs), path), "words")
-    release_shuffles(spark)
-    top = table.where(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("n"), "word").limit(hot_words)
-    hot = spark.sparkContext.broadcast({r.word: bytes(r.ids) for r in top.select("word", "ids").toLocalIterator()})
-
-    partly = _partly_encoded(docs, hot)
-    cold = partly.where(F.size("cold") > 0).select("key", F.posexplode("cold").alias("pos", "word"))
-    found = cold.join(table.select("word", "ids"), "word").select("key", "pos", "ids")
+    known = spark.sparkContext.broadcast(hot_words(docs, path, hot))  # within HOT_WORDS and HOT_BYTES
+    # Both uses of numbered read all its columns, so that Spark deals it out once.
+    numbered = _numbered(docs, known).repartition("key")
+
+    def explode(batches):
+        for b in batches:
+            keys, pos, words = [], [], []
+            for key, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                names = _unpack(blob)[1]
+                keys += [key] * len(names)
+                pos += range(len(names))
+                words += names
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(pos, pa.int32()), pa.array(words, pa.string())], names=["key", "pos", "word"])
+
+    def encode_each(batches):
+        enc = encoder(path)
+        last, ids = None, b""
+        for b in batches:
+            out = []
+            for w in b.column(2).to_pylist():  # sorted, so each distinct word comes once
+                if w != last:
+                    last, ids = w, array("I", enc.encode_ordinary(w)).tobytes()
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["key", "pos", "ids"])
+
+    cold = numbered.mapInArrow(explode, "key long, pos int, word string")
+    found = cold.repartition("word").sortWithinPartitions("word").mapInArrow(encode_each, "key long, pos int, ids binary")
     fills = found.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("pos", "ids"))).alias("fills"))
     fills = fills.select("key", F.transform("fills", lambda x: x["ids"]).alias("fills"))
-    whole = partly.select("doc_id", "key", "packed").join(fills, "key", "left").select("doc_id", "packed", "fills")
+    whole = numbered.join(fills, "key", "left").select("doc_id", "blob", "fills")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        known = token_bytes(path) if digest else []
+        hot_ids = [ids for _, ids in known.value]
+        tokens = token_bytes(path) if digest else []
+        sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
-            ids = [_filled(_open(p), f or []) for p, f in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            if not digest:
+            ids = []
+            for blob, fill in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                rest = iter(fill or ())
+                ids.append(b"".join([hot_ids[k] if k != _HOLE else next(rest) for k in _unpack(blob)[0].tolist()]))
+            if digest:
+                decoded = [sha(b"".join([tokens[k] for k in np.frombuffer(x, "<u4").tolist()])) for x in ids]
+                columns = [b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha(x) for x in ids]), pa.array(decoded)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            else:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-                continue
-            sha = lambda x: hashlib.sha256(x).hexdigest()
-            decoded = [sha(b"".join([known[k] for k in np.frombuffer(x, "<u4").tolist()])) for x in ids]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha(x) for x in ids]), pa.array(decoded)],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
 
     out = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids binary"
     return whole.mapInArrow(run, f"doc_id {kind}, {out}")
