@@ -26,7 +26,8 @@ def to_raw(records: DataFrame) -> DataFrame:
 
 
 def malformed(records: DataFrame) -> DataFrame:
-    return records.cache().agg(F.count_if(F.col("_corrupt").isNotNull()).alias("malformed"), F.count("*").alias("lines"))
+    """One row: malformed, lines. Spark refuses queries on the corrupt column alone, so a malformed line's title is asked for too."""
+    return records.agg(F.count_if(F.col("_corrupt").isNotNull() & F.col("title").isNull()).alias("malformed"), F.count("*").alias("lines"))
 
 
 def export_rows(postings: DataFrame) -> DataFrame:
