@@ -105,8 +105,14 @@ def labelled_pages(n: int = 200, seed: int = 7) -> list[tuple[str, set[str]]]:
         body = [f"<h1>{words(rng.randint(3, 9), mine)}</h1>"]
         for _ in range(rng.randint(1, 9)):
             body.append(f"<p>{words(rng.randint(1, 60), mine)}</p>")
-            body += [f'<div class="ad">{words(7)}</div>'] * (rng.random() < 0.1) + [f'<p>{words(6, mine)} <a href="/x">{words(2, mine)}</a> {words(6, mine)}</p>'] * (rng.random() < 0.3)
-            body += [f"<ul><li>{words(5, mine)}</li><li>{words(6, mine)}</li></ul>"] * (rng.random() < 0.15) + [f"<p><b>{words(9, mine)}</b><br>{words(8, mine)}</p>"] * (rng.random() < 0.3)
+            if rng.random() < 0.1:
+                body.append(f'<div class="ad">{words(7)}</div>')
+            if rng.random() < 0.3:
+                body.append(f'<p>{words(6, mine)} <a href="/x">{words(2, mine)}</a> {words(6, mine)}</p>')
+            if rng.random() < 0.15:
+                body.append(f"<ul><li>{words(5, mine)}</li><li>{words(6, mine)}</li></ul>")
+            if rng.random() < 0.3:
+                body.append(f"<p><b>{words(9, mine)}</b><br>{words(8, mine)}</p>")
         after = [f'<div class="comments"><p>{words(20)}</p></div>', f"<footer>{words(9)}</footer>", f"<div><div>{words(5)}</div><div>{menu}</div></div>", f"<aside><p>{words(12)}</p></aside>"]
         tag = rng.choice(["article", "main", 'div class="content"', "div"])
         article = f"<{tag}>{''.join(body)}</{tag.split()[0]}>"
