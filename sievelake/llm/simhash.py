@@ -4,7 +4,8 @@ Two fingerprints that differ in three bits or fewer share a variant: one of them
 bit, the other by at most two. An odd distance means that one fingerprint has an even number of set bits and the other
 an odd number, so only fingerprints of odd parity need the variants at two flips; and as two of any three bits lie in
 the same half of the word, only pairs of flips within one half are needed. That is 65 variants for even and 1,057 for
-odd fingerprints, of distinct fingerprints only, and no link is lost.
+odd fingerprints, and no link is lost. Only distinct fingerprints emit them, and of those only the ones that meet another in a
+cheaper ball first: each half of the word with up to one bit flipped, 66 values for each.
 
 A variant that some fingerprint reaches with at most one flip is within three bits of everything else that reaches it,
 so the fingerprints of a variant are linked as a star around the one with the fewest flips: as many links as members,
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelake.llm.components import connected_components
-from sievelake.llm.shared import materialize, small_batches
+from sievelake.llm.shared import materialize, n_partitions, small_batches
 
 RADIUS = 3
 SHINGLE = 3
@@ -64,24 +65,47 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def _masks() -> tuple[list[int], list[int]]:
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    one = [signed(1 << i) for i in range(64)]
-    two = [signed(1 << a | 1 << b) for half in (range(32), range(32, 64)) for a, b in combinations(half, 2)]
-    return [0, *one], [0, *one, *two]
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _array(values: list[int]) -> F.Column:
+    """A literal array of longs; the least long can't be written as one number."""
+    return F.expr("array(" + ",".join(f"{m}L" if m != -(1 << 63) else f"(-{(1 << 63) - 1}L - 1L)" for m in values) + ")")
+
+
+#: Masks in the order of their flips: none, one (64), two within a half (992).
+_ONE = [1 << i for i in range(64)]
+_TWO = [1 << a | 1 << b for half in (range(32), range(32, 64)) for a, b in combinations(half, 2)]
+_MASKS = [_signed(m) for m in (0, *_ONE, *_TWO)]
+
+
+def with_company(fps: DataFrame) -> DataFrame:
+    """The distinct fingerprints that agree with another one in a half of the word, but for one bit of that half.
+
+    Of three differing bits at most one lies in one of the halves, so none that has a link is left out.
+    """
+    # Each half within one flip: 33 values a half.
+    flips = _array([0, *(1 << i for i in range(32))])
+    halves = F.array(F.expr("fp & 4294967295L"), F.expr("shiftrightunsigned(fp, 32) | 4294967296L * 2"))
+    near = fps.select("fp", F.explode(halves).alias("half")).select("fp", F.explode(F.transform(flips, lambda m: F.col("half").bitwiseXOR(m))).alias("half"))
+    first = F.first("fp").over(Window.partitionBy("half").orderBy("fp"))
+    met = near.withColumn("first", first).where("fp <> first")
+    return met.select(F.explode(F.array("fp", "first")).alias("fp")).distinct()
 
 
 def links(fps: DataFrame) -> DataFrame:
     """(u, v) over distinct fingerprints fp: stars that connect exactly what chains of distances <= 3 connect."""
-    even, odd = _masks()
-    array = lambda ms: F.expr("array(" + ",".join(f"{m}L" if m != -(1 << 63) else f"(-{(1 << 63) - 1}L - 1L)" for m in ms) + ")")
-    mask = F.explode(F.when(F.bit_count("fp") % 2 == 0, array(even)).otherwise(array(odd)))
-    variants = fps.select("fp").distinct().select("fp", mask.alias("mask")).select("fp", F.expr("fp ^ mask").alias("variant"))
-    flips = F.expr("bit_count(fp ^ variant)")
-    by = Window.partitionBy("variant").orderBy(flips, "fp")
-    star = variants.select("fp", "variant", F.first("fp").over(by).alias("centre"))
-    star = star.where("fp <> centre and bit_count(centre ^ variant) <= 1")
-    return star.where(F.expr(f"bit_count(fp ^ centre) <= {RADIUS}")).select(F.col("centre").alias("u"), F.col("fp").alias("v")).distinct()
+    n = n_partitions(fps.sparkSession)
+    some = with_company(fps.select("fp").distinct().repartition(n)).repartition(n)
+    codes = F.sequence(F.lit(0), F.when(F.bit_count("fp") % 2 == 0, len(_ONE)).otherwise(len(_MASKS) - 1))
+    mask = lambda code: F.get(_array(_MASKS), F.col(code))
+    # The number of the mask stands for the fingerprint, so that a row is a variant and a short number.
+    variants = some.select("fp", F.explode(codes).alias("code")).select(F.col("fp").bitwiseXOR(mask("code")).alias("variant"), F.col("code").cast("short").alias("code"))
+    by = Window.partitionBy("variant").orderBy("code")
+    star = variants.withColumn("first", F.first("code").over(by)).where(f"code <> first and first <= {len(_ONE)}")
+    pairs = star.select(F.col("variant").bitwiseXOR(mask("first")).alias("u"), F.col("variant").bitwiseXOR(mask("code")).alias("v"))
+    return pairs.where(F.expr(f"bit_count(u ^ v) <= {RADIUS}")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,7 +117,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    pairs = links(fps)
+    pairs = links(nodes)
     # From here on a fingerprint is named by the least document that has it.
     named = pairs.join(nodes.withColumnsRenamed({"fp": "u", "node": "un"}), "u").join(nodes.withColumnsRenamed({"fp": "v", "node": "vn"}), "v")
     found = connected_components(named.select(F.col("un").alias("u"), F.col("vn").alias("v")))
