@@ -113,6 +113,11 @@ def housekeeping(p: DataFrame, now: Column) -> DataFrame:
     return purge_expired(purge_old(expire_aged_out(deactivate_stale(p, now), now), now), now)
 
 
+def after_run(p: DataFrame, now: Column, cancelled: bool = False, profile_run: bool = False) -> DataFrame:
+    """housekeeping() once a run has ended, save after a cancelled one or one that saw only a profile's part of the postings."""
+    return p if cancelled or profile_run else housekeeping(p, now)
+
+
 def expire_ids(p: DataFrame, ids: DataFrame, reason: str, now: Column) -> DataFrame:
     """Active rows whose id is in ids are retired with that reason."""
     hit = ids.select(F.col("id").alias("_id")).distinct()
@@ -169,13 +174,14 @@ def reindex(p: DataFrame, now: Column, rules: IngestRules = IngestRules(), v: Vo
 
     Active rows that are too senior now or not technical are retired as rejected; nothing comes alive again and skills stay.
     """
-    df = p.withColumns({f"_old_{c}": F.col(c) for c in [*REDERIVED, "is_active"]})
+    if "search_blob" not in p.columns:
+        p = p.withColumn("search_blob", F.lit(None).cast("string"))
+    df = p.withColumns({f"_old_{c}": F.col(c) for c in [*REDERIVED, "is_active", "search_blob"]})
     t, d, x, s = F.col("title"), F.col("description"), F.col("experience_text"), F.col("skills")
     df = df.withColumns({"_years": parse.resolve_experience(x, t, d), "_scores": taxonomy.category_scores(t, s, d, v)})
     df = df.withColumns({"experience_min": F.col("_years.min"), "experience_max": F.col("_years.max"), "category": taxonomy.best_category(F.col("_scores"), v), "categories": taxonomy.top_categories(F.col("_scores"))})
     df = df.withColumns({"seniority": taxonomy.seniority(t, x, F.col("experience_min")), "work_mode": taxonomy.work_mode(F.col("location"), t, d)})
-    if "search_blob" in p.columns:
-        df = df.withColumn("search_blob", text.search_blob(t, F.col("company"), F.col("location"), F.col("category"), s))
+    df = df.withColumn("search_blob", text.search_blob(t, F.col("company"), F.col("location"), F.col("category"), s))
     bad = F.coalesce(F.col("experience_min") > rules.max_experience_years, F.lit(False)) | ~taxonomy.is_tech(t, d, s, v)
     out = _set(df.withColumn("_bad", F.col("is_active") & bad), F.col("_bad"), expired_at=now, expiry_reason=F.lit("rejected"), is_active=F.lit(False))
     return out.drop("_years", "_scores", "_bad")
@@ -185,6 +191,7 @@ def reindex_tallies(r: DataFrame) -> DataFrame:
     differ = lambda c: ~F.col(c).eqNullSafe(F.col(f"_old_{c}"))
     return r.agg(
         F.count("*").alias("scanned"),
+        F.count_if(differ("search_blob")).alias("reblobbed"),
         F.count_if(differ("category")).alias("recategorised"),
         F.count_if(differ("experience_min") | differ("experience_max")).alias("re_experienced"),
         F.count_if(differ("is_active")).alias("retired"),

@@ -405,7 +405,7 @@ def _reindexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RE = f"""re AS (SELECT *, {_score_sql()} FROM postings), re2 AS (SELECT *, {CATEGORY_SQL} AS new_category, {YEARS_LOW} AS new_min, {YEARS_HIGH} AS new_max,
   is_active AND (coalesce(({YEARS_LOW}) > 3, false) OR NOT {TECH_SQL}) AS bad FROM re)"""
 add("reindex_tallies", lambda s, d: lifecycle.reindex_tallies(_reindexed(s, d)))
-ORACLES["reindex_tallies"] = with_views(_RE, "SELECT count(*) AS scanned, count(*) FILTER (new_category IS DISTINCT FROM category) AS recategorised, count(*) FILTER (new_min IS DISTINCT FROM experience_min OR new_max IS DISTINCT FROM experience_max) AS re_experienced, count(*) FILTER (bad) AS retired FROM re2")
+ORACLES["reindex_tallies"] = with_views(_RE, "SELECT count(*) AS scanned, count(*) FILTER (new_category IS DISTINCT FROM category) AS reblobbed, count(*) FILTER (new_category IS DISTINCT FROM category) AS recategorised, count(*) FILTER (new_min IS DISTINCT FROM experience_min OR new_max IS DISTINCT FROM experience_max) AS re_experienced, count(*) FILTER (bad) AS retired FROM re2")
 add("reindex", lambda s, d: _reindexed(s, d).select("id", "category", "experience_min", "experience_max", "is_active", "expiry_reason"))
 ORACLES["reindex"] = with_views(_RE, "SELECT id, new_category AS category, new_min AS experience_min, new_max AS experience_max, is_active AND NOT bad AS is_active, CASE WHEN bad THEN 'rejected' ELSE expiry_reason END AS expiry_reason FROM re2")
 add(

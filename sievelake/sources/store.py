@@ -26,7 +26,9 @@ class Store:
 
     def read(self, version: int | None = None) -> DataFrame:
         v = self.versions()[-1] if version is None else version
-        return self.spark.read.parquet(f"{self.path}/v{v}")
+        df = self.spark.read.parquet(f"{self.path}/v{v}")
+        # Spark takes the values of folders like is_active=true for strings.
+        return df.withColumn("is_active", df["is_active"].cast("boolean")) if "is_active" in df.columns else df
 
     def exists(self) -> bool:
         return bool(self.versions())
