@@ -16,22 +16,24 @@ from sievelake.llm.shared import materialize, words_of
 WINDOW = 5
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
-#: name, condition to vote "good", condition to vote "bad"; neither: abstain. The columns are those of with_counts().
+#: name, condition to vote "good" (None: never), condition to vote "bad" (None: never); neither: abstain. The columns are those of
+#: with_counts(). Only one rule votes good, as most texts pass most rules, and such votes would drown the few that tell.
 RULES = [
-    ("symbols", "n_symbols < 0.01 * word_chars", "n_symbols > 0.06 * word_chars"),
-    ("repeats", "n_words >= 20 and n_repeat_words = 0", "n_repeat_words > 0.15 * n_words"),
-    ("lines", "n_lines >= 3 and n_dup_lines = 0", "n_dup_lines > 0.3 * n_lines"),
-    ("word_length", "word_chars between 3 * n_words and 9 * n_words", "word_chars < 2 * n_words or word_chars > 14 * n_words"),
-    ("length", "n_words >= 50", "n_words < 15"),
-    ("variety", "n_distinct > 0.5 * n_words and n_words >= 20", "n_distinct < 0.2 * n_words and n_words < 2000"),
-    ("exclamations", "n_exclaim < 0.02 * n_words", "n_exclaim > 0.2 * n_words"),
-    ("capitals", "n_capitals < 0.15 * word_chars", "n_capitals > 0.4 * word_chars"),
+    ("plain", "n_words >= 20 and n_symbols < 0.01 * word_chars and n_repeat_words = 0 and n_distinct > 0.6 * n_words", None),
+    ("symbols", None, "n_symbols > 0.06 * word_chars"),
+    ("marked_words", None, "n_marked > 0.15 * n_words"),
+    ("repeats", None, "n_repeat_words > 0.2 * n_words"),
+    ("lines", None, "n_dup_lines > 0.3 * n_lines"),
+    ("word_length", None, "word_chars < 2 * n_words or word_chars > 14 * n_words"),
+    ("variety", None, "n_distinct < 0.51 * n_words and n_words < 2000"),
+    ("exclamations", None, "n_exclaim > 0.2 * n_words"),
+    ("capitals", None, "n_capitals > 0.4 * word_chars"),
 ]
 
 #: A document stays if it is good with at least this probability.
 KEEP_AT = 0.5
-#: Prior belief in good and in each rule's accuracy, as (virtual) rows; it keeps EM from calling the majority bad.
-PRIOR_GOOD, PRIOR_ACCURACY, PRIOR_SHARE = 0.85, 0.85, 0.05
+#: Prior belief in good and in each rule's accuracy, worth this share of the rows; it tells EM which class is which.
+PRIOR_GOOD, PRIOR_ACCURACY, PRIOR_SHARE = 0.8, 0.9, 0.1
 
 
 def _covered(hashes: Column) -> Column:
@@ -71,6 +73,7 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_repeat_words": F.when(repeated, _covered(F.col("_windows"))).otherwise(0),
         "n_lines": F.size("_lines"),
         "n_distinct": F.size(F.array_distinct("_hashes")),
+        "n_marked": F.regexp_count("_text", F.lit("[#*$%&|<>][ \\t-\\r]")),
         "n_exclaim": F.regexp_count("_text", F.lit("!")),
         "n_capitals": F.regexp_count("_text", F.lit("\\p{Lu}")),
     }
@@ -84,62 +87,57 @@ def base_failed() -> Column:
 
 
 def _votes(rules=RULES) -> Column:
-    one = [F.when(F.expr(f"n_words > 0 and ({good})"), "+").when(F.expr(f"n_words = 0 or ({bad})"), "-").otherwise("0") for _, good, bad in rules]
+    one = [F.when(F.expr(f"n_words > 0 and ({good or 'false'})"), "+").when(F.expr(f"n_words > 0 and ({bad or 'false'})"), "-").otherwise("0") for _, good, bad in rules]
     return F.concat(*one)
 
 
-def fit(patterns: dict[str, int], steps: int = 200) -> tuple[float, list[tuple[float, float]]]:
-    """EM over the vote patterns and their counts: the log odds of good before any vote, and per rule those that + and - add.
+def _logit(p: float) -> float:
+    return math.log(p / (1 - p))
 
-    Each rule has an accuracy on good and one on bad documents among its votes. Abstaining says nothing.
+
+def _p_good(pattern: str, prior: float, weights: list[float]) -> float:
+    z = prior + sum(w if x == "+" else -w for x, w in zip(pattern, weights) if x != "0")
+    return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
+
+
+def fit(patterns: dict[str, int], steps: int = 200) -> tuple[float, list[float]]:
+    """EM over the vote patterns and their counts: the log odds of good before any vote, and those of each rule's accuracy.
+
+    A rule is right with the same probability whenever it votes; abstaining says nothing.
     """
     total = sum(patterns.values())
     n_rules = len(next(iter(patterns), ""))
-    logit = lambda p: math.log(p / (1 - p))
-    if not total:
-        return logit(PRIOR_GOOD), []
     v = PRIOR_SHARE * total + 2
-    prior, on_good, on_bad = PRIOR_GOOD, [PRIOR_ACCURACY] * n_rules, [PRIOR_ACCURACY] * n_rules
+    good, accuracy = PRIOR_GOOD, [PRIOR_ACCURACY] * n_rules
     for _ in range(steps):
-        good_mass = bad_mass = 0.0
-        hit = [[0.0, 0.0] for _ in range(n_rules)]  # + on good, any vote on good
-        miss = [[0.0, 0.0] for _ in range(n_rules)]  # - on bad, any vote on bad
-        for p, c in patterns.items():
-            z = logit(prior)
-            for k, x in enumerate(p):
-                if x == "+":
-                    z += math.log(on_good[k] / (1 - on_bad[k]))
-                elif x == "-":
-                    z += math.log((1 - on_good[k]) / on_bad[k])
-            g = 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
-            good_mass += g * c
-            bad_mass += (1 - g) * c
-            for k, x in enumerate(p):
+        prior, weights = _logit(good), [_logit(a) for a in accuracy]
+        mass, right, votes = 0.0, [0.0] * n_rules, [0.0] * n_rules
+        for pattern, n in patterns.items():
+            g = _p_good(pattern, prior, weights)
+            mass += g * n
+            for k, x in enumerate(pattern):
                 if x != "0":
-                    hit[k][0] += g * c * (x == "+")
-                    hit[k][1] += g * c
-                    miss[k][0] += (1 - g) * c * (x == "-")
-                    miss[k][1] += (1 - g) * c
-        new = (good_mass + v * PRIOR_GOOD) / (total + v)
-        on_good = [min(0.999, max(0.55, (a + v * PRIOR_ACCURACY) / (b + v))) for a, b in hit]
-        on_bad = [min(0.999, max(0.2, (a + v * 0.5) / (b + v))) for a, b in miss]
-        if abs(new - prior) < 1e-9:
+                    votes[k] += n
+                    right[k] += n * (g if x == "+" else 1 - g)
+        new = (mass + v * PRIOR_GOOD) / (total + v)
+        accuracy = [min(0.999, max(0.5, (r + v * PRIOR_ACCURACY) / (n + v))) for r, n in zip(right, votes)]
+        done = abs(new - good) < 1e-9
+        good = new
+        if done:
             break
-        prior = new
-    weights = [(math.log(on_good[k] / (1 - on_bad[k])), math.log((1 - on_good[k]) / on_bad[k])) for k in range(n_rules)]
-    return logit(prior), weights
+    return _logit(good), [_logit(a) for a in accuracy]
 
 
-def posterior(model: tuple[float, list[tuple[float, float]]]) -> Column:
+def posterior(model: tuple[float, list[float]]) -> Column:
     """P(good) from the column _votes, as a sum of one weight per vote."""
     z = F.lit(model[0])
-    for k, (plus, minus) in enumerate(model[1]):
+    for k, w in enumerate(model[1]):
         at = F.substring("_votes", k + 1, 1)
-        z = z + F.when(at == "+", plus).when(at == "-", minus).otherwise(0.0)
+        z = z + F.when(at == "+", w).when(at == "-", -w).otherwise(0.0)
     return 1 / (1 + F.exp(-z))
 
 
-def learn(counted: DataFrame) -> tuple[float, list[tuple[float, float]]]:
+def learn(counted: DataFrame) -> tuple[float, list[float]]:
     """EM over the votes of all rows of a table with _votes."""
     return fit({r["_votes"]: r["count"] for r in counted.groupBy("_votes").count().collect()})
 
