@@ -32,7 +32,8 @@ KEPT = 400_000
 
 _HOLE = 0xFFFFFF
 _encoders: dict[str, "object"] = {}
-_kept: dict[int, "_Stretches"] = {}
+#: The table of hot words last used in this process, and the stretches encoded with it.
+_kept: list = []
 _near_blank = re.compile(r"\s |^ ")
 _cut = re.compile(r"(?<=\S)(?= )")
 
@@ -102,8 +103,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def hot_words(docs: DataFrame, path: str, most: int = HOT_WORDS, most_bytes: int = HOT_BYTES) -> list[tuple[str, bytes]]:
-    """(word, ids) of the most frequent words within both bounds, the most frequent first.
+def hot_words(docs: DataFrame, path: str, most: int = HOT_WORDS, most_bytes: int = HOT_BYTES) -> pa.Table:
+    """word, ids of the most frequent words within both bounds, the most frequent first. An Arrow table, as that is small on the driver.
 
     The threshold comes from a histogram of the counts by eighths of a power of two, of at most some 500 rows.
     """
@@ -119,7 +120,7 @@ def hot_words(docs: DataFrame, path: str, most: int = HOT_WORDS, most_bytes: int
             break
         least = r.level
     if least is None:
-        return []
+        return pa.table({"word": pa.array([], pa.string()), "ids": pa.array([], pa.binary())})
 
     def run(batches):
         enc = encoder(path)
@@ -127,8 +128,8 @@ def hot_words(docs: DataFrame, path: str, most: int = HOT_WORDS, most_bytes: int
             ids = [array("I", enc.encode_ordinary(w)).tobytes() for w in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], names=["word", "n", "ids"])
 
-    rows = counts.where(level >= least).mapInArrow(run, "word string, n long, ids binary").collect()  # within the bounds
-    return [(r.word, bytes(r.ids)) for r in sorted(rows, key=lambda r: (-r.n, r.word))]
+    rows = counts.where(level >= least).mapInArrow(run, "word string, n long, ids binary").toArrow()  # within the bounds
+    return rows.sort_by([("n", "descending"), ("word", "ascending")]).select(["word", "ids"]).combine_chunks()
 
 
 class _Stretches(dict):
@@ -170,10 +171,9 @@ def _numbered(docs: DataFrame, hot) -> DataFrame:
 
     def run(batches):
         words = hot.value
-        if id(words) not in _kept:
-            _kept.clear()
-            _kept[id(words)] = _Stretches({w: k for k, (w, _) in enumerate(words)})
-        kept = _kept[id(words)]
+        if not _kept or _kept[0] is not words:
+            _kept[:] = words, _Stretches({w: k for k, w in enumerate(words.column("word").to_pylist())})
+        kept = _kept[1]
         for b in batches:
             blobs = []
             for text in b.column(1).to_pylist():
@@ -229,7 +229,7 @@ def encode(docs: DataFrame, ranks_path: str | None = None, hot: int = HOT_WORDS,
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        hot_ids = [ids for _, ids in known.value]
+        hot_ids = known.value.column("ids").to_pylist()
         tokens = token_bytes(path) if digest else []
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
