@@ -1,9 +1,9 @@
 """Edited and cropped copies of images by local descriptors.
 
 Corners are found at several scales; around each, a patch turned to its main direction gives 128 binary tests. The tests are cut into four
-parts of 32 bits, the Hamming tables: descriptors at three bits or fewer agree in one of them. Images that share
-entries are paired as a star and a chain within the entry, never all with all, and a pair is a link if enough of its matches
-agree on one shift, turn and scale. Images with equal pixels are one class before that.
+parts of 32 bits, the Hamming tables: descriptors at three bits or fewer agree in one of them. All images that share an
+entry are paired, frequent entries block by block, so that no task holds a whole one. A pair that meets INLIERS times or more is verified,
+and is a link if enough of its matches agree on one shift, turn and scale. Images with equal pixels are one class before that.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelake.llm.components import connected_components
@@ -27,7 +27,7 @@ BITS = 128
 TABLES = 4
 MATCH_BITS = 20
 INLIERS = 5
-SALTS = 16
+BLOCK = 256  # members of an entry paired at once
 _TESTS = np.random.default_rng(11).integers(-RADIUS + 2, RADIUS - 1, (BITS, 4))
 
 
@@ -153,10 +153,36 @@ def consensus(pa_: np.ndarray, pb: np.ndarray) -> int:
     return int((near & alike).sum(1).max())
 
 
+def linked(bu: bytes, pu: bytes, bv: bytes, pv: bytes) -> bool:
+    """Whether enough corners of the first image have a match in the second that agrees with the others; bits and places as describe() has them."""
+    du, dv = (np.frombuffer(x, np.uint8).reshape(-1, BITS // 8) for x in (bu, bv))
+    distance = np.bitwise_count(du[:, None, :] ^ dv[None, :, :]).sum(2)
+    best = distance.argmin(1)
+    ok = np.flatnonzero(distance[np.arange(len(best)), best] <= MATCH_BITS)
+    xu, xv = (np.frombuffer(x, np.float32).reshape(-1, 4).astype(np.float64) for x in (pu, pv))
+    return consensus(xu[ok], xv[best[ok]]) >= INLIERS
+
+
+def meetings(entry: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(u, v, ku, kv) for every two members (a, k) of the same entry key with different a, u < v.
+
+    An entry of more than block members is cut into blocks by hash and each pair of blocks is a group of its own.
+    """
+    hot = entry.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    rows = entry.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("s", F.pmod(F.xxhash64("a", "k"), F.col("blocks")).cast("int"))
+    rows = rows.select("key", "a", "k", "s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("t"))
+    groups = rows.groupBy("key", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j")).agg(F.collect_list(F.struct("a", "k", "s")).alias("m")).where(F.size("m") > 1)
+    met = groups.select("i", "j", "m", F.explode("m").alias("x"))
+    others = F.filter("m", lambda y: (y["a"] > F.col("x.a")) & ((F.col("i") == F.col("j")) | (y["s"] != F.col("x.s"))))
+    met = met.select("x", F.explode(others).alias("y"))
+    return met.select(F.col("x.a").alias("u"), F.col("y.a").alias("v"), F.col("x.k").cast("short").alias("ku"), F.col("y.k").cast("short").alias("kv"))
+
+
 def copies(images: DataFrame) -> DataFrame:
     """(image_id, n_corners int, n_links long, component_id) for every row of images (image_id long, image binary PNG).
 
-    component_id is the least image_id that equal pixels and links reach; n_links counts the links of the row's class, one class being all
+    component_id is the least image_id that equal pixels and links reach; n_links counts all links of the row's class, one class being all
     images of equal pixels. Null, unreadable and featureless images are linked by equal bytes alone. Empty tables give no rows.
     """
     small_batches(images.sparkSession)
@@ -183,16 +209,7 @@ def copies(images: DataFrame) -> DataFrame:
     corner = classes.where(n > 0).select("a", "bits", F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
     entry = corner.select("a", "k", "bits", F.explode(F.array(*[F.lit(t) for t in range(TABLES)])).alias("t"))
     key = F.xxhash64("t", F.substring("bits", F.col("k") * (BITS // 8) + F.col("t") * width + 1, F.lit(width)))
-    entry = entry.select("a", "k", key.alias("key"), F.pmod(F.xxhash64("a"), F.lit(SALTS)).alias("salt"))
-    within = Window.partitionBy("key", "salt").orderBy("a", "k")
-    other = F.struct("a", "k")
-    rows = entry.withColumn("first", F.first(other).over(within)).withColumn("before", F.lag(other).over(within))
-    heads = rows.where("before is null")
-    across = Window.partitionBy("key").orderBy("a", "k")  # at most SALTS rows
-    heads = heads.select("a", "k", F.first(other).over(across).alias("first"), F.lag(other).over(across).alias("before"))
-    both = rows.where("before is not null").select("a", "k", "first", "before").union(heads)
-    pairs = both.select("a", "k", F.explode(F.array("first", "before")).alias("o")).where("o is not null and o.a <> a")
-    pairs = pairs.select(F.least("a", "o.a").alias("u"), F.greatest("a", "o.a").alias("v"), F.when(F.expr("a < o.a"), F.col("k")).otherwise(F.col("o.k")).alias("ku"), F.when(F.expr("a < o.a"), F.col("o.k")).otherwise(F.col("k")).alias("kv"))
+    pairs = meetings(entry.select("a", "k", key.alias("key")))
     matched = pairs.groupBy("u", "v").agg(F.collect_set(F.struct("ku", "kv")).alias("m")).where(F.size("m") >= INLIERS)
     left = classes.select(F.col("a").alias("u"), F.col("bits").alias("bu"), F.col("places").alias("pu"))
     right = classes.select(F.col("a").alias("v"), F.col("bits").alias("bv"), F.col("places").alias("pv"))
@@ -200,14 +217,7 @@ def copies(images: DataFrame) -> DataFrame:
 
     def verify(batches):
         for b in batches:
-            good = []
-            for bu, pu, bv, pv in zip(*[b.column(k).to_pylist() for k in range(2, 6)]):
-                du, dv = (np.frombuffer(x, np.uint8).reshape(-1, BITS // 8) for x in (bu, bv))
-                distance = np.bitwise_count(du[:, None, :] ^ dv[None, :, :]).sum(2)
-                best = distance.argmin(1)
-                ok = np.flatnonzero(distance[np.arange(len(best)), best] <= MATCH_BITS)
-                xu, xv = (np.frombuffer(x, np.float32).reshape(-1, 4).astype(np.float64) for x in (pu, pv))
-                good.append(consensus(xu[ok], xv[best[ok]]) >= INLIERS)
+            good = [linked(*x) for x in zip(*[b.column(k).to_pylist() for k in range(2, 6)])]
             yield b.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     links = materialize(matched.mapInArrow(verify, "u long, v long"), "image-links")

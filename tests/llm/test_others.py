@@ -71,6 +71,48 @@ def test_image_copies(spark):
     assert images.copies(spark.createDataFrame([], "image_id long, image binary")).count() == 0
 
 
+def test_image_meetings_are_all_pairs(spark):
+    rng = random.Random(6)
+    rows = [(a, k, rng.choice([1, 1, 1, rng.randrange(2, 9)])) for a in range(60) for k in range(3)]
+    want = sorted((a, b, k, q) for a, k, x in rows for b, q, y in rows if x == y and a < b)
+    for block in (7, 1000):
+        got = images.meetings(spark.createDataFrame(rows, "a long, k int, key long"), block).collect()
+        assert sorted((r.u, r.v, r.ku, r.kv) for r in got) == want
+
+
+def test_image_links_equal_brute_force(spark):
+    """A large group of edited copies, and a hot entry: the same mark in pictures that are no copies."""
+    rng = np.random.default_rng(3)
+    smooth = lambda: np.clip(128 + 60 * (x := images._box(rng.standard_normal((72, 72)), 2)) / x.std(), 0, 255)
+    base, mark = smooth(), rng.integers(0, 255, (26, 26))
+    made = [np.clip(base + rng.normal(0, 1.5, base.shape), 0, 255) for _ in range(25)]
+    for _ in range(20):
+        x = smooth()
+        x[20:46, 20:46] = mark
+        made += [x, np.clip(x[3:, 2:] * 0.98 + 2, 0, 255)]
+    made = [made[k] for k in rng.permutation(len(made))]
+    seen = [images.describe(images.read_png(images.png(x))) for x in made]
+    tables = [{(t, k, bytes(d[k, 4 * t : 4 * t + 4])) for t in range(images.TABLES) for k in range(len(d))} for _, d in seen]
+    links = []
+    for u, v in ((u, v) for u in range(len(made)) for v in range(u)):
+        u, v = v, u
+        at = {}
+        for t, k, x in tables[v]:
+            at.setdefault((t, x), []).append(k)
+        hits = {(k, q) for t, k, x in tables[u] for q in at.get((t, x), [])}
+        if len(hits) >= images.INLIERS and images.linked(*(x.tobytes() for w in (u, v) for x in (seen[w][1], seen[w][0]))):
+            links.append((u, v))
+    reach = list(range(len(made)))
+    for _ in made:
+        for u, v in links:
+            reach[u] = reach[v] = min(reach[u], reach[v])
+    want = [(i, sum(i in x for x in links), reach[i]) for i in range(len(made))]
+    rows = spark.createDataFrame([(i, images.png(x)) for i, x in enumerate(made)], "image_id long, image binary")
+    got = images.copies(rows).select("image_id", "n_links", "component_id").collect()
+    assert max(n for _, n, _ in want) >= 24
+    assert sorted(map(tuple, got)) == want
+
+
 def test_main_text_of_the_test_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     source = {r.page_id: r.html for r in pages.collect()}
