@@ -1,9 +1,14 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into units: sentences, ended by a full stop, question or exclamation mark before white space, or by a line feed; a
-sentence of more than UNIT_WORDS words is cut into units of so many words, counted from its start. From every unit the shortest run of
+sentence of more than UNIT_WORDS words is cut by its content: after the word of the least hash of every REACH words in a row. From every unit the shortest run of
 at least SPAN units and LEAST_WORDS words is hashed, so that lone short lines which many documents share are no passage. Runs are joined over all documents, and units that
 a repeated run covers are removed, save where the run comes first: in the least doc_id, at the least position there.
+
+Two copies of a passage with the same line feeds are cut at the same words, wherever in a sentence they begin and end, but for some words at both ends. If the
+sentence that an end of the passage lies in is long in both documents, all cuts from 2 * REACH - 1 words on agree; if it is short in one of them, at most
+UNIT_WORDS words of the passage belong to it. So of 51 words at least 51 - 2 * 12 = 27 lie between cuts that agree, and as units have 12 words at most, these are
+3 units or more and hold a run.
 """
 
 from __future__ import annotations
@@ -19,12 +24,21 @@ from sievelake.llm.shared import small_batches
 
 SPAN = 3
 UNIT_WORDS = 12
+REACH = 6
 LEAST_WORDS = 16
 
 _PARTS = re.compile(r"(?<=[.!?])(?=\s)|(?<=\n)")
 _WORDS = re.compile(r"\S+")
 
 
+def cuts(words: list[str]) -> list[int]:
+    """The numbers of words before each cut of a long sentence, its end included; the last of equal words counts as the least."""
+    top = (1 << 32) - 1
+    keys = [(xxhash.xxh32_intdigest(w) << 32) + top - k for k, w in enumerate(words)]
+    least = set(map(min, *[keys[k:] for k in range(REACH)]))
+    return sorted({len(words), *(top - (key & top) + 1 for key in least)})
+
+
 def units(text: str) -> list[tuple[int, int, int, str]]:
     """(start, end, words, content) of each unit: content is its words with single spaces, white space belongs to no unit."""
     out = []
@@ -37,9 +51,10 @@ def units(text: str) -> list[tuple[int, int, int, str]]:
             out.append((at + lead, at + len(part.rstrip()), n, " ".join(words)))
         elif n:
             found = [m.span() for m in _WORDS.finditer(part)]
-            for k in range(0, n, UNIT_WORDS):
-                some = found[k : k + UNIT_WORDS]
-                out.append((at + some[0][0], at + some[-1][1], len(some), " ".join(words[k : k + UNIT_WORDS])))
+            k = 0
+            for end in cuts(words):
+                out.append((at + found[k][0], at + found[end - 1][1], end - k, " ".join(words[k:end])))
+                k = end
         at += len(part)
     return out
 

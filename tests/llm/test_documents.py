@@ -200,6 +200,25 @@ def test_span_dedup(docs, sample):
     assert span_dedup.dedup_spans(docs([])).count() == 0
 
 
+def test_span_dedup_finds_51_words_at_all_offsets(docs):
+    rng = random.Random(8)
+    word = lambda: f"x{rng.getrandbits(40)}"
+    texts = []
+    for stops in (0, 0.08, 0.2):
+        passage = [word() + ("." if rng.random() < stops else "") for _ in range(51)]
+        for lead in range(26):
+            before = [word() for _ in range(lead)]
+            after = [word() + ("." if rng.random() < 0.2 else "") for _ in range(rng.randint(0, 20))]
+            texts.append("Of its own. " + " ".join(before + passage + after))
+    seen = set()
+    got = {r.doc_id: r.text for r in span_dedup.dedup_spans(docs(texts)).collect()}
+    for i in range(len(texts)):
+        words = got[i].split()
+        mine = {tuple(words[k : k + 51]) for k in range(len(words) - 50)}
+        assert not mine & seen
+        seen |= mine
+
+
 def test_units_cover_all_words():
     for t in [x for x in ODD if x]:
         found = span_dedup.units(t)
