@@ -36,6 +36,10 @@ _NEVER = {"nav", "aside", "footer", "form", "button", "select", "option", "ifram
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
 _FLOW = {"p", "br", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figure", "figcaption"}
+#: Elements of _NEVER that may wrap a page all the same.
+_WRAPPERS = {"form", "label", "object"}
+#: A wrapper isn't noise if it holds so many times the words that stand outside all noise.
+_RESCUE = 5
 #: Elements that end where another of their kind begins.
 _CLOSED_BY_SELF = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 
@@ -47,15 +51,24 @@ def tokens(page: str) -> list[tuple[str, str | None]]:
     """
     out: list[tuple[str, str | None]] = []
     stack: list[tuple[str, bool]] = []  # open elements, and whether each is noise
-    noise = links = inside = 0
+    links = inside = n_noise = clear = 0
+    noise: tuple[tuple[int, bool], ...] = ()  # open elements of noise: number, and whether it may be a wrapper
+    hidden: list[tuple[int, str, tuple[tuple[int, bool], ...]]] = []  # texts in noise: place, kind without it, those elements
+    own: Counter = Counter()  # words by the innermost element of noise
     has_article = re.search(r"<(?:article|main)\b", page, re.I) is not None
-    # A page may be wrapped in an element whose name looks like noise; such an element with the article inside isn't.
     for m in _TOKEN.finditer(page):
         whole, name = m[0], m[2]
         if name is None:
             if whole[0] != "<" or whole == "<":
-                kind = "noise" if noise else "link" if links else "main" if inside or not has_article else "out"
-                out.append((kind, whole))
+                kind = "link" if links else "main" if inside or not has_article else "out"
+                if noise:
+                    hidden.append((len(out), kind, noise))
+                if kind == "main" and all(may for _, may in noise):
+                    if noise:
+                        own[noise] += len(whole.split())
+                    else:
+                        clear += len(whole.split())
+                out.append(("noise" if noise else kind, whole))
             continue
         name = name.lower()
         out.append(("anchor" if name == "a" else "inline" if name in _INLINE else "flow" if name in _FLOW else "frame", "" if name in _INLINE else None))
@@ -63,7 +76,7 @@ def tokens(page: str) -> list[tuple[str, str | None]]:
             if any(n == name for n, _ in stack):
                 while True:
                     n, was = stack.pop()
-                    noise -= was
+                    noise = noise[:-1] if was else noise
                     links -= n == "a"
                     inside -= n in ("article", "main")
                     if n == name:
@@ -72,7 +85,7 @@ def tokens(page: str) -> list[tuple[str, str | None]]:
         if name in _VOID or m[3].endswith("/"):
             continue
         if stack and stack[-1][0] == name and name in _CLOSED_BY_SELF:
-            noise -= stack.pop()[1]
+            noise = noise[:-1] if stack.pop()[1] else noise
         if name not in ("html", "body", "article", "main"):
             bad = name in _NEVER or name == "header" and not inside
             if not bad and m[3]:
@@ -80,9 +93,17 @@ def tokens(page: str) -> list[tuple[str, str | None]]:
         else:
             bad = False
         stack.append((name, bad))
-        noise += bad
+        if bad:
+            noise += ((n_noise, not inside and (name in _WRAPPERS or name not in _NEVER and name != "header")),)
+            n_noise += 1
         links += name == "a"
         inside += name in ("article", "main")
+    # A page may be wrapped in elements whose names look like noise; those that hold the article, or else most of the words, aren't.
+    wrapper = max(own, key=own.get, default=())
+    if own[wrapper] > _RESCUE * clear:
+        for at, kind, around in hidden:
+            if set(around) <= set(wrapper):
+                out[at] = (kind, out[at][1])
     return out
 
 

@@ -138,6 +138,22 @@ def test_main_text_of_other_layouts(spark):
     assert [(r.text, r.n_chars) for r in html_main.extract(frame).collect()] == [("", 0), ("", 0)]
 
 
+def test_main_text_in_wrappers_named_like_noise():
+    weights = html_main.learn(html_main.labelled_pages())
+    words = "good words here " * 20
+    small = "<div class='ad'>buy now</div>"
+    rest = "<nav><a href=/>Home</a></nav>", "<section class='comments'><p>first!</p></section><aside>more of us</aside><footer>legal</footer>"
+    wraps = ["form", "label", "object", "div class='has-sidebar'", "div id='page-with-menu'", "div class='social'", "div class='search'", "div class='no-comments'"]
+    for wrap in [*wraps, "form><div class='has-sidebar'", "div class='no-comments'><form"]:
+        for tag in ("article", "main", "div"):
+            body = f"<{tag}><p>{words}</p>{small}<p>and the end of it</p></{tag}>"
+            for page in (f"<body><{wrap}>{rest[0]}{body}{rest[1]}</body>", f"<body>{rest[0]}<{wrap}>{body}</{wrap.split()[0].split('>')[0]}>{rest[1]}</body>"):
+                assert html_main.main_text(page, weights) == words + "and the end of it", page
+    talk = "<div class='comments'>" + f"<article><p>{'my view ' * 12}</p></article>" * 2 + "</div>"
+    assert html_main.main_text(f"<body><article><p>{words}</p></article>{talk}</body>", weights) == words.strip()
+    assert html_main.main_text("<body><nav>go here</nav><footer>legal words only</footer></body>", weights) == ""
+
+
 def test_chat_equals_its_sql(spark):
     con = duckdb.connect()
     con.sql(f"create view conversations as select * from '{SF}/conversations.parquet'")
