@@ -126,9 +126,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def first_of_each_group(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are the least doc_id of their group, one row for each such id, all columns kept."""
-    found = near_duplicates(docs)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct().withColumnRenamed("doc_id", "_kept_id")
-    rows = docs.join(kept, docs.doc_id == kept["_kept_id"])
-    once = Window.partitionBy("_kept_id").orderBy("_kept_id")
+    """One row of docs for each group of near-duplicate texts, all columns kept: that of the least doc_id, nulls last, then of the least hash of the text.
+
+    Groups are made of fingerprints, so rows that share a doc_id or have none are judged by their texts alone.
+    """
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    keyed = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", text_hash.alias("hash")).alias("key"), "text")
+    fps = materialize(fingerprints(keyed, "key"), "fingerprints")
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("key"))
+    found = connected_components(links(nodes)).withColumnRenamed("node", "fp")
+    kept = nodes.join(found, "fp", "left").groupBy(F.coalesce("component", "fp")).agg(F.min("key").alias("key"))
+    kept = kept.select(F.col("key.doc_id").alias("_kept_id"), F.col("key.hash").alias("_kept_hash")).distinct()
+    rows = docs.join(kept, docs.doc_id.eqNullSafe(kept["_kept_id"]) & (text_hash == kept["_kept_hash"]))
+    once = Window.partitionBy("_kept_id", "_kept_hash").orderBy(F.xxhash64(*[docs[c] for c in docs.columns]))
     return rows.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").select(*[docs[c] for c in docs.columns])

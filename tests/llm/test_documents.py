@@ -73,6 +73,13 @@ def test_simhash_documents(spark, docs, sample):
     assert [r.doc_id for r in simhash.first_of_each_group(twice).collect()] == [4]
 
 
+def test_first_of_each_group_with_null_and_repeated_ids(docs):
+    rows = [(None, "only this text has no id"), (None, "another one without"), (4, "one text of the four"), (4, "quite other words here"), (9, "quite other words here"), (None, "one text of the four"), (7, None), (None, "")]
+    got = simhash.first_of_each_group(docs([t for _, t in rows], [i for i, _ in rows])).collect()
+    want = {(None, "only this text has no id"), (None, "another one without"), (4, "one text of the four"), (4, "quite other words here"), (7, None)}
+    assert len(got) == len(want) and {(r.doc_id, r.text) for r in got} == want
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_packing_plan(seed):
     rng = random.Random(seed)
