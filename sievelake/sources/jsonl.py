@@ -7,18 +7,27 @@ from pyspark.sql import functions as F
 
 from sievelake.functions import parse
 
-RECORD = "title string, company string, location string, experience string, salary string, apply_link string, description string, skills array<string>, source string, posted_at string, scraped_at string, _corrupt string"
+FIELDS = ("title", "company", "location", "experience", "salary", "apply_link", "description", "skills", "source", "posted_at", "scraped_at")
+_BLANKS = " \t\r\x0b\x0c"
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Records with _corrupt set on malformed lines; blank lines are skipped."""
-    return spark.read.schema(RECORD).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    """One row for each line that is not blank: the FIELDS, and malformed, whether the line is no JSON object.
+
+    Every field is read as text, so a field of another type than expected costs no other field; skills that are no list are null.
+    """
+    lines = spark.read.text(path).select(F.btrim("value", F.lit(_BLANKS)).alias("line")).where("line <> ''")
+    # Read as a list of one, so that anything after the object makes the line malformed.
+    records = F.from_json(F.concat(F.lit("["), "line", F.lit("]")), f"array<struct<{', '.join(f'{c}: string' for c in FIELDS)}>>")
+    parsed = lines.select("line", records.alias("records")).select(F.get("records", F.lit(0)).alias("r"), (~F.col("line").startswith("{") | ~F.size("records").eqNullSafe(1)).alias("malformed"))
+    skills = F.from_json(F.when(F.col("r.skills").startswith("["), F.col("r.skills")), "array<string>")
+    return parsed.select(*[(skills if c == "skills" else F.col(f"r.{c}")).alias(c) for c in FIELDS], "malformed")
 
 
 def to_raw(records: DataFrame) -> DataFrame:
     """Well-formed records as raw postings; posted_at comes from scraped_at, as the exporter's reader expects."""
     text = lambda c: F.coalesce(c, F.lit(""))
-    return records.where("_corrupt is null").select(
+    return records.where("not malformed").select(
         F.coalesce("source", F.lit("legacy")).alias("source"), F.lit(None).cast("string").alias("external_id"), text("title").alias("title"), text("company").alias("company"), text("location").alias("location"),
         text("experience").alias("experience_text"), text("salary").alias("salary_text"), text("apply_link").alias("apply_link"), text("description").alias("description"),
         parse.iso_date(F.col("scraped_at")).alias("posted_at"), F.coalesce("skills", F.array().cast("array<string>")).alias("declared_skills"),
@@ -26,8 +35,8 @@ def to_raw(records: DataFrame) -> DataFrame:
 
 
 def malformed(records: DataFrame) -> DataFrame:
-    """One row: malformed, lines. Spark refuses queries on the corrupt column alone, so a malformed line's title is asked for too."""
-    return records.agg(F.count_if(F.col("_corrupt").isNotNull() & F.col("title").isNull()).alias("malformed"), F.count("*").alias("lines"))
+    """One row: malformed, lines."""
+    return records.agg(F.count_if("malformed").alias("malformed"), F.count("*").alias("lines"))
 
 
 def export_rows(postings: DataFrame) -> DataFrame:

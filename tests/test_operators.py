@@ -167,6 +167,17 @@ def test_jsonl_round_trip(spark, tmp_path, postings):
     assert raw.where("title = 'U'").first().source == "legacy"
 
 
+def test_jsonl_partial_lines(spark, tmp_path):
+    lines = ['{"title":"A","skills":"notalist","company":7}', '{"title":"B","skills":["x",1]}', '{"title":"C"', "[1]", "5", "  ", "", '{"title":null,"skills":null}', '{"title":"D","skills":{"a":1}} trailing']
+    (tmp_path / "in.jsonl").write_text("\n".join(lines))
+    records = jsonl.read(spark, str(tmp_path / "in.jsonl"))
+    assert jsonl.malformed(records).first()[:] == (4, 7)
+    raw = {r.title: r for r in jsonl.to_raw(records).collect()}
+    assert (raw["A"].declared_skills, raw["A"].company) == ([], "7")
+    assert raw["B"].declared_skills == ["x", "1"] and raw[""].declared_skills == []
+    assert not {"C", "D"} & set(raw)
+
+
 def test_store_and_stream(spark, tmp_path):
     raw = catalog.raw(spark, SF)
     raw.repartition(3).write.parquet(str(tmp_path / "landed"))
