@@ -20,14 +20,16 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievelake.llm.shared import WHITE, materialize, n_partitions, small_batches
+from sievelake.llm.shared import WHITE, materialize, n_partitions, small_batches, unused
 
 CAPACITY = 4096
 END_ID = 1
 
-#: Words, and parts of words, whose ids a Python worker keeps; beyond that it starts afresh.
-WORD_CACHE, PART_CACHE = 500_000, 400_000
-_encoders: dict[str, "WordEncoder"] = {}
+#: Bytes that a Python worker may keep of words with their ids, and of parts of words; beyond that it starts afresh.
+WORD_BYTES, PART_BYTES = 30_000_000, 25_000_000
+#: What an entry costs beside its letters and ids: two objects and a place in a table.
+_ENTRY = 200
+_encoders: dict[tuple, "WordEncoder"] = {}
 
 # How the tokenizer parts words, and how byte-level models write a byte as a character.
 _PARTS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE}\p{{L}}\p{{N}}]+")
@@ -37,59 +39,79 @@ _AS_CHAR = {b: chr(b) for b in _PRINTED} | {b: chr(256 + k) for k, b in enumerat
 _PLAIN, _NOT_PLAIN = "\u0250", "\u0130"
 
 
-class _Parts(dict):
-    """part of a word -> its ids as bytes, made when first asked for."""
+class _Kept(dict):
+    """word -> its ids as bytes, made when first asked for; it never holds more than so many bytes."""
 
+    def __init__(self, most: int):
+        self.most, self.size = most, 0
+
+    def made(self, word: str) -> bytes:
+        raise NotImplementedError
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.made(word)
+        self.size += len(word) + len(got) + _ENTRY
+        if self.size > self.most:
+            self.clear()
+            self.size = len(word) + len(got) + _ENTRY
+        self[word] = got
+        return got
+
+
+class _Parts(_Kept):
     def __init__(self, model):
+        super().__init__(PART_BYTES)
         self.model = model
 
-    def __missing__(self, part: str) -> bytes:
+    def made(self, part: str) -> bytes:
         chars = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(_AS_CHAR)
-        got = self[part] = array("I", [t.id for t in self.model.tokenize(chars)]).tobytes()
-        return got
+        return array("I", [t.id for t in self.model.tokenize(chars)]).tobytes()
 
 
-class WordEncoder(dict):
+class WordEncoder(_Kept):
     """word -> its ids as little-endian unsigned 32-bit integers, by a lower-casing word tokenizer, made when first asked for.
 
     The tokenizer drops white space and no token reaches across it, so texts are encoded word by word. Words of plain Latin
-    characters are parted as the tokenizer would and their parts given to its model; all others go to the tokenizer whole.
+    characters are parted as the tokenizer would and their parts given to its model; all others go to the tokenizer whole, and so
+    do texts that hold the string of a special token, unless special_as_text is set: then such strings are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
+        super().__init__(WORD_BYTES)
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = special_as_text
+        self.special = [] if special_as_text else [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.parts = _Parts(self.tok.model)
 
-    def __missing__(self, word: str) -> bytes:
+    def made(self, word: str) -> bytes:
         if word.isascii() or (max(word) < _PLAIN and _NOT_PLAIN not in word):
-            got = b"".join([self.parts[p] for p in _PARTS.findall(word.lower())])
-        else:
-            got = array("I", self.tok.encode(word, add_special_tokens=False).ids).tobytes()
-        self[word] = got
-        return got
+            return b"".join([self.parts[p] for p in _PARTS.findall(word.lower())])
+        return self.whole(word)
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if len(self) > WORD_CACHE:
-            self.clear()
-        if len(self.parts) > PART_CACHE:
-            self.parts.clear()
+        if any(x in text for x in self.special):
+            return self.whole(text)
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         return b"".join([self[w] for w in words])
 
 
-def word_encoder(path: str) -> WordEncoder:
-    """One encoder for each process and file."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+def word_encoder(path: str, special_as_text: bool = False) -> WordEncoder:
+    """One encoder for each process, file and way of reading special tokens."""
+    if (path, special_as_text) not in _encoders:
+        _encoders[path, special_as_text] = WordEncoder(path, special_as_text)
+    return _encoders[path, special_as_text]
 
 
-def tokenize_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def tokenize_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, special_as_text: bool = False) -> DataFrame:
     """(doc_id, piece int, start long, length long, ids binary) of every row's text with end_id appended.
 
+    The string of a special token in a text gives that token's id, as the tokenizer's default is; with special_as_text it is ordinary text.
+
     Null and empty texts are the end id alone. Longer documents are cut into pieces of exactly capacity ids, the last one excepted.
     ids holds little-endian unsigned 32-bit integers. Other columns are ignored, repeated rows give repeated pieces.
     """
@@ -98,7 +120,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encoder = word_encoder(path)
+        encoder = word_encoder(path, special_as_text)
         for b in batches:
             out = {"doc_id": [], "piece": [], "start": [], "length": [], "ids": []}
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -194,31 +216,34 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     The driver sees a histogram of at most capacity rows, whatever the input. Ranks within a length come from salted
     windows and the sums of the salts before, so a length that a third of all pieces share is dealt to many tasks.
-    Repeated rows are packed as so many pieces. An empty table gives an empty one.
+    Repeated rows are packed as so many pieces. An empty table gives an empty one. Columns of pieces that are named
+    sequence_id or offset are replaced; null ids are like any other.
     """
     spark = pieces.sparkSession
+    pieces = pieces.drop("sequence_id", "offset")
     salts = max(64, n_partitions(spark))
-    keyed = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    salt, nth_, rank_, n_, before_ = unused(pieces, "_salt", "_nth", "_rank", "_n", "_before")
+    keyed = pieces.withColumn(salt, F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     keyed = materialize(keyed, "pieces")
-    cells = keyed.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    counts = {r.length: r.n for r in cells.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
+    cells = keyed.groupBy("length", salt).agg(F.count("*").alias(n_))
+    counts = {r.length: r.n for r in cells.groupBy("length").agg(F.sum(n_).alias("n")).collect()}
     by = defaultdict(list)
     for row in plan(counts, capacity):
         by[row[0]].append(row[1:])
     tables = {s: np.array(sorted(r), np.int64).T for s, r in by.items()}
     placed = spark.sparkContext.broadcast(tables)  # bounded by the capacity, see plan()
 
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    nth = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")
-    ranked = keyed.withColumn("_nth", F.row_number().over(nth)).join(starts, ["length", "_salt"])
-    ranked = ranked.select(*pieces.columns, (F.col("_nth") - 1 + F.col("_before")).cast("long").alias("_rank"))
+    before = Window.partitionBy("length").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    starts = cells.withColumn(before_, F.coalesce(F.sum(n_).over(before), F.lit(0))).drop(n_)
+    nth = Window.partitionBy("length", salt).orderBy("doc_id", "piece")
+    ranked = keyed.withColumn(nth_, F.row_number().over(nth)).join(starts, ["length", salt])
+    ranked = ranked.select(*[F.col(f"`{c}`") for c in pieces.columns], (F.col(nth_) - 1 + F.col(before_)).cast("long").alias(rank_))
 
     columns = pieces.columns
 
     def run(batches):
         for b in batches:
-            length, rank = b.column("length").to_numpy(), b.column("_rank").to_numpy()
+            length, rank = b.column("length").to_numpy(), b.column(rank_).to_numpy()
             seq, off = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
             for s in np.unique(length):
                 mine = length == s
