@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from sievelake.llm.shared import WHITE, materialize, release_shuffles, small_batches
 
 #: Bounds on the words that are joined by broadcast: their number and the sum of their bytes.
-HOT_WORDS, HOT_BYTES = 600_000, 32_000_000
+HOT_WORDS, HOT_BYTES = 600_000, 32_000_000  # numbers must stay below 2^21 - 1 + _TWO
 #: Distinct stretches of text that a Python worker keeps at once.
 KEPT = 400_000
 
-_HOLE = 0xFFFFFF
+_HOLE = 0xFFFFFFFF
 _encoders: dict[str, "object"] = {}
 #: The table of hot words last used in this process, and the stretches encoded with it.
 _kept: list = []
@@ -146,27 +146,44 @@ class _Stretches(dict):
         return value
 
 
+#: Numbers below the first bound take one byte of a blob, those below the second two, all others three.
+_ONE, _TWO = 160, 160 + (64 << 8)
+
+
 def _pack(numbers: bytes, cold: list[str]) -> bytes:
-    """Numbers below 2^24 and the words of the holes among them, small: by planes of bytes, as frequent words have small numbers."""
-    planes = np.frombuffer(numbers, np.uint8).reshape(-1, 4)[:, :3].T.tobytes()
+    """Numbers below 2^21 or holes, and the words of the holes, small: frequent words have small numbers, and first, second and third bytes lie together."""
+    a = np.frombuffer(numbers, np.uint32)
+    one, two = a < _ONE, a < _TWO
+    third = np.where(a == _HOLE, (1 << 21) - 1, a - _TWO)
+    first = np.where(one, a, np.where(two, _ONE + ((a - _ONE) >> 8), 224 + (third >> 16))).astype(np.uint8)
+    second = np.where(two, a - _ONE, third >> 8)[~one].astype(np.uint8)
     names = b"".join(len(w).to_bytes(4, "little") + w for w in (x.encode() for x in cold))
-    return len(numbers).to_bytes(8, "little") + zstandard.ZstdCompressor(level=3).compress(planes + names)
+    raw = first.tobytes() + second.tobytes() + third[~two].astype(np.uint8).tobytes() + names
+    return len(a).to_bytes(8, "little") + zstandard.ZstdCompressor(level=3).compress(raw)
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, list[str]]:
-    n = int.from_bytes(blob[:8], "little") // 4
+    n = int.from_bytes(blob[:8], "little")
     raw = zstandard.ZstdDecompressor().decompress(blob[8:])
-    a = np.frombuffer(raw, np.uint8, 3 * n).reshape(3, n).astype(np.uint32)
-    names, at = [], 3 * n
+    a = np.frombuffer(raw, np.uint8, n).astype(np.uint32)
+    one, two = a < _ONE, a < 224
+    many, few = n - int(one.sum()), n - int(two.sum())
+    second = np.zeros(n, np.uint32)
+    second[~one] = np.frombuffer(raw, np.uint8, many, n)
+    third = np.zeros(n, np.uint32)
+    third[~two] = np.frombuffer(raw, np.uint8, few, n + many)
+    far = (a - 224) << 16 | second << 8 | third
+    out = np.where(one, a, np.where(two, ((a - _ONE) << 8 | second) + _ONE, np.where(far == (1 << 21) - 1, _HOLE, far + _TWO))).astype(np.uint32)
+    names, at = [], n + many + few
     while at < len(raw):
         size = int.from_bytes(raw[at : at + 4], "little")
         names.append(raw[at + 4 : at + 4 + size].decode())
         at += 4 + size
-    return a[0] | a[1] << 8 | a[2] << 16, names
+    return out, names
 
 
 def _numbered(docs: DataFrame, hot) -> DataFrame:
-    """(doc_id, key, blob): per row the numbers of its hot words, with holes and the words that belong there."""
+    """(doc_id, key, sub, blob): per row the numbers of its hot words, with holes and the words that belong there. key and sub are two hashes, 96 bits, of doc_id and text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -182,10 +199,10 @@ def _numbered(docs: DataFrame, hot) -> DataFrame:
                 blobs.append(_pack(b"".join([v[0] if type(v) is tuple else v for v in found]), cold))
                 if len(kept) > KEPT:
                     kept.clear()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(blobs, pa.binary())], names=["doc_id", "key", "blob"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(blobs, pa.binary())], names=["doc_id", "key", "sub", "blob"])
 
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
-    return rows.mapInArrow(run, f"doc_id {kind}, key long, blob binary")
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"), F.hash("text", "doc_id").alias("sub"))
+    return rows.mapInArrow(run, f"doc_id {kind}, key long, sub int, blob binary")
 
 
 def encode(docs: DataFrame, ranks_path: str | None = None, hot: int = HOT_WORDS, digest: bool = False) -> DataFrame:
@@ -198,44 +215,48 @@ def encode(docs: DataFrame, ranks_path: str | None = None, hot: int = HOT_WORDS,
     path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     known = spark.sparkContext.broadcast(hot_words(docs, path, hot))  # within HOT_WORDS and HOT_BYTES
     # Both uses of numbered read all its columns, so that Spark deals it out once.
-    numbered = _numbered(docs, known).repartition("key")
+    numbered = _numbered(docs, known).repartition("key", "sub")
 
     def explode(batches):
         for b in batches:
-            keys, pos, words = [], [], []
-            for key, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            keys, subs, pos, words = [], [], [], []
+            for key, sub, blob in zip(*[b.column(k).to_pylist() for k in (1, 2, 3)]):
                 names = _unpack(blob)[1]
                 keys += [key] * len(names)
+                subs += [sub] * len(names)
                 pos += range(len(names))
                 words += names
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(pos, pa.int32()), pa.array(words, pa.string())], names=["key", "pos", "word"])
+            columns = [pa.array(keys, pa.int64()), pa.array(subs, pa.int32()), pa.array(pos, pa.int32()), pa.array(words, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "sub", "pos", "word"])
 
     def encode_each(batches):
         enc = encoder(path)
+        unit = "H" if enc.n_vocab <= 1 << 16 else "I"
         last, ids = None, b""
         for b in batches:
             out = []
-            for w in b.column(2).to_pylist():  # sorted, so each distinct word comes once
+            for w, k in zip(b.column(3).to_pylist(), b.column(2).to_pylist()):  # sorted, so each distinct word comes once
                 if w != last:
-                    last, ids = w, array("I", enc.encode_ordinary(w)).tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["key", "pos", "ids"])
-
-    cold = numbered.mapInArrow(explode, "key long, pos int, word string")
-    found = cold.repartition("word").sortWithinPartitions("word").mapInArrow(encode_each, "key long, pos int, ids binary")
-    fills = found.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("pos", "ids"))).alias("fills"))
-    fills = fills.select("key", F.transform("fills", lambda x: x["ids"]).alias("fills"))
-    whole = numbered.join(fills, "key", "left").select("doc_id", "blob", "fills")
+                    last, ids = w, array(unit, enc.encode_ordinary(w)).tobytes()
+                out.append(k.to_bytes(4, "big") + ids)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["key", "sub", "entry"])
+
+    cold = numbered.mapInArrow(explode, "key long, sub int, pos int, word string")
+    found = cold.repartition("word").sortWithinPartitions("word").mapInArrow(encode_each, "key long, sub int, entry binary")
+    # An entry is a position and the ids there, in one short value. Rows alike in id and text share their entries.
+    fills = found.groupBy("key", "sub").agg(F.collect_set("entry").alias("fills"))
+    whole = numbered.join(fills, ["key", "sub"], "left").select("doc_id", "blob", "fills")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         hot_ids = known.value.column("ids").to_pylist()
+        unit = np.dtype("<u2" if encoder(path).n_vocab <= 1 << 16 else "<u4")
         tokens = token_bytes(path) if digest else []
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
             ids = []
             for blob, fill in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                rest = iter(fill or ())
+                rest = iter([np.frombuffer(x, unit, offset=4).astype("<u4").tobytes() for x in sorted(fill or ())])
                 ids.append(b"".join([hot_ids[k] if k != _HOLE else next(rest) for k in _unpack(blob)[0].tolist()]))
             if digest:
                 decoded = [sha(b"".join([tokens[k] for k in np.frombuffer(x, "<u4").tolist()])) for x in ids]
