@@ -76,4 +76,4 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {"op8_chat_formatting": chat.ORACLE}
+ORACLES: dict[str, str] = {"op8_chat_formatting": chat.ORACLE, "op10_quality_rules": quality_rules.ORACLE}
