@@ -3,12 +3,14 @@
 A text is cut into units: sentences, ended by a full stop, question or exclamation mark before white space, or by a line feed; a
 sentence of more than UNIT_WORDS words is cut by its content: after the word of the least hash of every REACH words in a row. From every unit the shortest run of
 at least SPAN units and LEAST_WORDS words is hashed, so that lone short lines which many documents share are no passage. Runs are joined over all documents, and units that
-a repeated run covers are removed, save where the run comes first: in the least doc_id, at the least position there.
+a repeated run covers are removed, save where the run comes first: in the least document, at the least position there.
 
 Two copies of a passage with the same line feeds are cut at the same words, wherever in a sentence they begin and end, but for some words at both ends. If the
 sentence that an end of the passage lies in is long in both documents, all cuts from 2 * REACH - 1 words on agree; if it is short in one of them, at most
-UNIT_WORDS words of the passage belong to it. So of 51 words at least 51 - 2 * 12 = 27 lie between cuts that agree, and as units have 12 words at most, these are
+UNIT_WORDS words of the passage belong to it. So of 51 words at least 51 - 2 * 13 = 25 lie between cuts that agree, and as units have 12 words at most, these are
 3 units or more and hold a run.
+
+Texts are cut and hashed once, into a table of runs; a run that a text holds several times is one row there, and its later places in that text are marked for removal at once.
 """
 
 from __future__ import annotations
@@ -17,14 +19,15 @@ import re
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from sievelake.llm.shared import small_batches
+from sievelake.llm.shared import drop_table, materialize, release_shuffles, small_batches, unused
 
 SPAN = 3
 UNIT_WORDS = 12
-REACH = 6
+REACH = 7
 LEAST_WORDS = 16
 
 _PARTS = re.compile(r"(?<=[.!?])(?=\s)|(?<=\n)")
@@ -89,47 +92,76 @@ def without(text: str, positions: set[int]) -> str:
 
 
 def span_hashes(docs: DataFrame, span: int = SPAN, least: int = LEAST_WORDS) -> DataFrame:
-    """(h long, doc_id, pos int, n int) of every run of every row; null and empty texts have none."""
+    """(h long, doc_id, digest long, pos int, n int, again array<int>) of every distinct run of every row; null and empty texts have none.
+
+    pos is the run's first place in the text, n its number of units, digest a hash of the text; again has the units that the run's later places in
+    the same text cover, or null.
+    """
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            ids, pos, n, h = [], [], [], []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            at, pos, n, h, again = [], [], [], [], []
+            for row, text in enumerate(b.column(2).to_pylist()):
+                first: dict[int, int] = {}
                 for k, m, x in runs(text, span, least):
-                    ids.append(doc_id)
-                    pos.append(k)
-                    n.append(m)
-                    h.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(ids, b.schema.field(0).type), pa.array(pos, pa.int32()), pa.array(n, pa.int32())], names=["h", "doc_id", "pos", "n"])
+                    if (place := first.setdefault(x, len(h))) == len(h):
+                        at.append(row)
+                        pos.append(k)
+                        n.append(m)
+                        h.append(x)
+                        again.append(None)
+                    else:
+                        seen = again[place] = again[place] or []
+                        seen.extend(range(max(k, seen[-1] + 1) if seen else k, k + m))
+            rows = pa.array(at, pa.int32())
+            columns = [pa.array(h, pa.int64()), b.column(0).take(rows), b.column(1).take(rows), pa.array(pos, pa.int32()), pa.array(n, pa.int32()), pa.array(again, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["h", "doc_id", "digest", "pos", "n", "again"])
+
+    return docs.select("doc_id", _digest(), "text").mapInArrow(run, f"h long, doc_id {kind}, digest long, pos int, n int, again array<int>")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"h long, doc_id {kind}, pos int, n int")
+def _digest() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest")
 
 
 def repeated_units(docs: DataFrame, span: int = SPAN, least: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, positions array<int>): the units to remove, for each document that has any.
+    """(doc_id, digest, positions array<int>): the units to remove, for each document that has any.
 
-    Counts are pre-aggregated before their shuffle. A very common run meets one row on the other side of the join, which Spark may split.
+    Documents are ordered by doc_id, nulls last, then by the hash of the text. Runs are counted with partial sums before the shuffle. Both sides of
+    the join are tables, so that Spark splits the partition of a very common run, which meets one row on the other side.
     """
-    hashes = span_hashes(docs, span, least)
-    repeated = hashes.groupBy("h").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "pos")).alias("first")).where("times > 1")
-    later = hashes.join(repeated.select("h", "first"), "h").where("doc_id <> first.doc_id or pos <> first.pos")
-    covered = later.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "n")).alias("runs"))
-    some = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["pos"], r["pos"] + r["n"] - 1))))
-    return covered.select(F.col("doc_id").alias("_id"), some.alias("_positions"))
+    spark = docs.sparkSession
+    hashes = materialize(span_hashes(docs, span, least), "runs")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    repeated = hashes.groupBy("h").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1")
+    repeated = materialize(repeated.select("h", "first"), "repeated-runs")
+    release_shuffles(spark)
+    later = hashes.select("h", "doc_id", "digest", "pos", "n").join(repeated, "h").where("not (doc_id <=> first.doc_id and digest = first.digest)")
+    covered = later.select("doc_id", "digest", F.sequence(F.col("pos"), F.col("pos") + F.col("n") - 1).alias("some"))
+    covered = covered.union(hashes.where("again is not null").select("doc_id", "digest", "again"))
+    covered = covered.groupBy("doc_id", "digest").agg(F.collect_set("some").alias("all"))
+    covered = materialize(covered.select("doc_id", "digest", F.array_distinct(F.flatten("all")).alias("positions")), "covered")
+    release_shuffles(spark)
+    drop_table(hashes)
+    drop_table(repeated)
+    return covered
 
 
 def dedup_spans(docs: DataFrame, span: int = SPAN, least: int = LEAST_WORDS) -> DataFrame:
     """Every row of docs with its text less the units that repeat an earlier run; all columns stay, n_chars follows the text if there is one.
 
-    A text that loses nothing is unchanged to the byte, a null text stays null, a text all of whose units go becomes empty. Rows that
-    repeat a doc_id count as one document. An empty table gives an empty one.
+    A text that loses nothing is unchanged to the byte, a null text stays null, a text all of whose units go becomes empty. Rows alike in doc_id
+    and text are one document and get the same text; rows that share a doc_id and differ in text are two documents, and so are rows without
+    doc_id, which come after all others. An empty table gives an empty one. Columns of any other name pass through.
     """
-    marked = docs.join(repeated_units(docs, span, least), F.col("doc_id") == F.col("_id"), "left")
+    id_, digest, positions = unused(docs, "_id", "_digest", "_positions")
+    gone = repeated_units(docs.select("doc_id", "text"), span, least).select(F.col("doc_id").alias(id_), F.col("digest").alias(digest), F.col("positions").alias(positions))
+    marked = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(id_)) & (_digest() == F.col(digest)), "left")
     at = docs.columns.index("text")
     n_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    marked = marked.select(*[docs[c] for c in docs.columns], "_positions")
+    marked = marked.select(*[F.col(f"`{c}`") for c in docs.columns], positions)
 
     def run(batches):
         for b in batches:
@@ -139,7 +171,7 @@ def dedup_spans(docs: DataFrame, span: int = SPAN, least: int = LEAST_WORDS) ->
                 texts = columns[at].to_pylist()
                 changed = {}
                 for k, p in enumerate(gone.to_pylist()):
-                    if p:
+                    if p and texts[k]:
                         changed[k] = texts[k] = without(texts[k], set(p))
                 columns[at] = pa.array(texts, columns[at].type)
                 if n_at is not None:
@@ -149,4 +181,6 @@ def dedup_spans(docs: DataFrame, span: int = SPAN, least: int = LEAST_WORDS) ->
                     columns[n_at] = pa.array(lengths, columns[n_at].type)
             yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
 
-    return marked.mapInArrow(run, docs.schema)
+    # By number, as mapInArrow() can't pass columns whose names hold dots.
+    plain = StructType([StructField(f"c{k}", f.dataType) for k, f in enumerate(docs.schema)])
+    return marked.toDF(*plain.names, "positions").mapInArrow(run, plain).toDF(*docs.columns)

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -107,7 +108,6 @@ def test_packing_documents(docs, sample):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     texts = [r.text for r in sample.limit(40).collect()] + ODD
     df = docs(texts + ["a"], [*range(len(texts)), 0]).withColumn("length", F.lit("x")).withColumn("piece", F.lit(2))
     got = packing.pack_documents(df).collect()
@@ -125,6 +125,25 @@ def test_packing_documents(docs, sample):
     crc = {(r.doc_id, r.piece): r.ids_crc32 for r in packing.packed_digests(docs(texts)).collect()}
     assert all(crc[r.doc_id, r.piece] == zlib.crc32(r.ids) for r in got if r.doc_id)
     assert packing.packed_digests(docs([])).count() == 0
+    plain = packing.tokenize_pieces(docs(["<|endoftext|>"]), special_as_text=True).first()
+    tok.encode_special_tokens = True
+    assert np.frombuffer(plain.ids, "<u4").tolist() == [*tok.encode("<|endoftext|>", add_special_tokens=False).ids, 1]
+    assert np.frombuffer(packing.tokenize_pieces(docs(["<|endoftext|>"])).first().ids, "<u4").tolist() == [49407, 1]
+
+
+def test_pack_with_clashing_columns_and_null_ids(docs):
+    df = packing.tokenize_pieces(docs(["one two", "three", None, None], [1, None, None, 4])).select("*", *[F.lit(9).alias(c) for c in ("_salt", "_nth", "_rank", "_n", "_before", "sequence_id")])
+    got = packing.pack(df).collect()
+    assert len(got) == 4 and all(r._salt == r._nth == r._rank == 9 for r in got)
+    assert {(r.sequence_id, r.offset) for r in got} == {(0, 0), (0, 3), (0, 5), (0, 6)}
+
+
+def test_kept_words_stay_within_their_bytes():
+    encoder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    encoder.most = encoder.parts.most = 20_000
+    whole = " ".join(f"w{k} x{k * 7}y" for k in range(3000))
+    assert np.frombuffer(encoder.encode(whole), "<u4").tolist() == encoder.tok.encode(whole, add_special_tokens=False).ids
+    assert len(encoder) < 100 and len(encoder.parts) < 100
 
 
 def counts_of(t):
@@ -160,12 +179,37 @@ def test_quality_rules(docs, sample):
 
 def test_em_finds_the_accuracies():
     rng = random.Random(1)
-    patterns = Counter()
-    for _ in range(5000):
+    patterns, n = Counter(), 20_000
+    rates = [(0.97, 0.5), (0.9, 0.3), (0.6, 0.4)]
+    for _ in range(n):
         good = rng.random() < 0.8
-        patterns["".join("0" if rng.random() < 0.2 else "+" if (rng.random() < a) == good else "-" for a in (0.95, 0.9, 0.6))] += 1
+        patterns["".join("0" if rng.random() < 0.2 else "+" if rng.random() < (a if good else 1 - b) else "-" for a, b in rates)] += 1
     _, weights = quality_rules.fit(patterns)
-    assert weights[0] > weights[1] > weights[2] > 0
+    assert [yes - no for yes, no in weights] == sorted([yes - no for yes, no in weights], reverse=True)
+    assert all(yes > 0 > no for yes, no in weights[:2]) and abs(weights[2][0]) < 0.3
+
+
+def test_rules_beat_all_must_pass(spark):
+    at = "/root/testdata/sf0.01"
+    rows = quality_rules.rule_report(spark.read.parquet(f"{at}/documents.parquet")).where("not base_failed").collect()
+    truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{at}/labels.parquet").collect()}
+    rows = [r for r in rows if r.doc_id in truth]
+    right = np.mean([r.kept == truth[r.doc_id] for r in rows])
+    assert right > np.mean([("-" not in r.votes) == truth[r.doc_id] for r in rows]) and right > 0.98
+    assert any(r.kept and "-" in r.votes for r in rows)
+    model = quality_rules.fit(Counter(r.votes for r in rows))
+    assert quality_rules._p_good("-++++++++", *model) > 0.5 > quality_rules._p_good("+--++++++", *model)
+
+
+def test_quality_rules_equal_their_sql(spark):
+    at = "/root/testdata/sf0.001/documents.parquet"
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{at}'")
+    want = con.sql(quality_rules.ORACLE).df().sort_values("doc_id").reset_index(drop=True)
+    got = quality_rules.rule_report(spark.read.parquet(at)).toPandas().sort_values("doc_id").reset_index(drop=True)
+    assert list(got.columns) == list(want.columns)
+    for c in got.columns:
+        assert (got[c].values == want[c].values).all(), c
 
 
 def test_quality_model(spark, sample, docs):
@@ -189,8 +233,10 @@ def test_quality_model(spark, sample, docs):
 def test_span_dedup(docs, sample):
     passage = " ".join(f"P{k} speaks of things and more things." for k in range(9))
     texts = [r.text for r in sample.limit(60).collect()] + ODD + ["Start here. " + passage + " End of it.", "Another opening line.\n" + passage + "\nAnd a close.", passage, "no repeat at all. " * 2, "half " * 40 + ". " + passage]
-    df = docs(texts).withColumn("_positions", F.lit(1)).withColumn("h", F.lit(2))
-    got = {r.doc_id: r for r in span_dedup.dedup_spans(df.drop("_positions")).collect()}
+    df = docs(texts).withColumns({c: F.lit(1) for c in ("_positions", "h", "_id", "digest", "_digest", "pos", "a.b")})
+    rows = span_dedup.dedup_spans(df)
+    assert rows.columns == df.columns
+    got = {r.doc_id: r for r in rows.collect()}
     seen, gone = set(), {i: set() for i in range(len(texts))}
     for i, t in enumerate(texts):
         for k, n, h in span_dedup.runs(t):
@@ -207,6 +253,17 @@ def test_span_dedup(docs, sample):
     assert span_dedup.dedup_spans(docs([])).count() == 0
 
 
+def test_span_dedup_with_null_and_repeated_ids(docs):
+    rng = random.Random(5)
+    passages = [" ".join(f"q{rng.getrandbits(30)}" + ("." if k % 9 == 8 else "") for k in range(45)) for _ in range(4)]
+    p, q, r, s = passages
+    rows = [(1, p), (2, p), (2, "Other words here. " + q), (2, None), (None, q), (None, r), (None, r), (5, ""), (6, r), (7, s + " " + s), (7, s + " " + s), (8, s)]
+    got = span_dedup.dedup_spans(docs([t for _, t in rows], [i for i, _ in rows])).collect()
+    left = Counter((x.doc_id, x.text) for x in got)
+    assert left == Counter([(1, p), (2, ""), (2, "Other words here. " + q), (2, None), (None, ""), (None, ""), (None, ""), (5, ""), (6, r), (7, s), (7, s), (8, "")])
+    assert all(x.n_chars == len(x.text or "") for x in got)
+
+
 def test_span_dedup_finds_51_words_at_all_offsets(docs):
     rng = random.Random(8)
     word = lambda: f"x{rng.getrandbits(40)}"
@@ -233,11 +290,23 @@ def test_units_cover_all_words():
         assert all(t[s:e].split() == c.split() for s, e, _, c in found)
 
 
+@pytest.mark.parametrize("hot", [300_000, 5])
+def test_bpe_blobs(hot):
+    rng = random.Random(hot)
+    numbers = [rng.choice([0, 159, 160, 223, 224, 16543, 16544, 65535, 65536, 600_000, (1 << 21) - 2, bpe._HOLE, rng.randrange(1 << 20)]) for _ in range(300)]
+    words = ["é" * k for k in range(sum(n == bpe._HOLE for n in numbers))]
+    got, names = bpe._unpack(bpe._pack(np.array(numbers, np.uint32).tobytes(), words))
+    assert got.tolist() == numbers and names == words
+    assert bpe._unpack(bpe._pack(b"", []))[0].tolist() == []
+
+
 @pytest.mark.parametrize("hot", [300_000, 5])
 def test_bpe(docs, sample, hot):
     texts = [r.text for r in sample.limit(40).collect()] + ODD
     enc = bpe.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     want = [enc.encode_ordinary(t or "") for t in texts]
+    some = bpe.encode(docs(["rare wørds", "other wörds", "rare wørds", None], [None, None, None, None]), hot=hot).collect()
+    assert sorted(bytes(r.ids) for r in some) == sorted(np.array(enc.encode_ordinary(t), "<u4").tobytes() for t in ("rare wørds", "other wörds", "rare wørds", ""))
     df = docs(texts + texts[:3], [*range(len(texts)), 0, 1, 2]).withColumn("ids", F.lit(1)).withColumn("word", F.lit("w"))
     got = bpe.encode(df, hot=hot)
     rows = got.collect()
