@@ -1,9 +1,10 @@
 """Edited and cropped copies of images by local descriptors.
 
-Corners are found at several scales; around each, a patch turned to its main direction gives 128 binary tests. The tests are cut into four
-parts of 32 bits, the Hamming tables: descriptors at three bits or fewer agree in one of them. All images that share an
-entry are paired, frequent entries block by block, so that no task holds a whole one. A pair that meets INLIERS times or more is verified,
-and is a link if enough of its matches agree on one shift, turn and scale. Images with equal pixels are one class before that.
+Corners are found on every level of a scale pyramid, the strongest of each cell of CELL by CELL pixels, so their number grows with the picture's area;
+around each, a patch turned to its main direction gives 240 binary tests. The tests are cut into five parts of 48 bits, the Hamming tables: descriptors at four
+bits or fewer agree in one of them. All images that share an entry are paired, frequent entries block by block, so that no task holds a whole
+one. A pair of which two corners meet is verified: each corner's nearest descriptor in the other image counts if it is near enough, and the pair is a link if INLIERS of
+these agree on one shift, turn and scale. Images with equal pixels are one class before that.
 """
 
 from __future__ import annotations
@@ -18,17 +19,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelake.llm.components import connected_components
-from sievelake.llm.shared import materialize, small_batches
+from sievelake.llm.shared import drop_table, materialize, release_shuffles, small_batches
 
-SCALES = (1.0, 1.4)
-CORNERS = 32  # per image and scale, the strongest
+STEP = 1.08  # between two levels of the pyramid
+CELL = 11
 RADIUS = 9
-BITS = 128
-TABLES = 4
-MATCH_BITS = 20
+BITS = 240
+TABLES = 5
+MATCH_BITS = 42
+MEETINGS = 2
 INLIERS = 5
 BLOCK = 256  # members of an entry paired at once
-_TESTS = np.random.default_rng(11).integers(-RADIUS + 2, RADIUS - 1, (BITS, 4))
+#: The most pixels that a picture may have; larger ones count as unreadable, so that a small file can't fill a task's memory.
+MOST_PIXELS = 100_000_000
+_TESTS = np.random.default_rng(11).integers(-RADIUS + 1, RADIUS, (BITS, 4))
 
 
 def png(gray: np.ndarray) -> bytes:
@@ -55,32 +59,41 @@ def read_png(data: bytes | None) -> np.ndarray | None:
         c = {0: 1, 2: 3, 4: 2, 6: 4}.get(colour)
         if depth != 8 or laced or not c:
             return None
-        rows = np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8).reshape(h, w * c + 1)
+        if not 0 < w * h <= MOST_PIXELS:
+            return None
+        raw = zlib.decompressobj().decompress(b"".join(parts), h * (w * c + 1))
+        rows = np.frombuffer(raw, np.uint8).reshape(h, w * c + 1)
     except (struct.error, zlib.error, ValueError):
         return None
-    out = np.zeros((h, w * c), np.uint8)
-    zero = np.zeros(w * c, np.uint8)
+    out = np.zeros((h + 1, w + 1, c), np.uint8)  # with a row above and a column before
     for y in range(h):
-        kind, line, up = rows[y, 0], rows[y, 1:], out[y - 1] if y else zero
+        kind, line, up, now = rows[y, 0], rows[y, 1:].reshape(w, c), out[y], out[y + 1]
         if kind == 0:
-            out[y] = line
+            now[1:] = line
+        elif kind == 1:
+            now[1:] = np.cumsum(line, axis=0, dtype=np.uint8)
         elif kind == 2:
-            out[y] = line + up
+            now[1:] = line + up[1:]
+        elif kind in (3, 4):
+            _unfilter(kind, line.tolist(), up.tolist(), now)
         else:
-            for x in range(w * c):
-                a, b, d = (int(out[y, x - c]) if x >= c else 0), int(up[x]), (int(up[x - c]) if x >= c else 0)
-                if kind == 1:
-                    p = a
-                elif kind == 3:
-                    p = (a + b) // 2
-                else:
-                    q = a + b - d
-                    p = min((abs(q - a), 0, a), (abs(q - b), 1, b), (abs(q - d), 2, d))[2]
-                out[y, x] = (int(line[x]) + p) & 255
-    px = out.reshape(h, w, c).astype(np.float64)
+            return None
+    px = out[1:, 1:].astype(np.float64)
     return px[..., 0] if c < 3 else px[..., :3] @ (0.299, 0.587, 0.114)
 
 
+def _unfilter(kind: int, line: list, above: list, now: np.ndarray) -> None:
+    """One row of the PNG filters that need the pixel before: 3, the mean of before and above, or 4, whichever of before, above and above-before is nearest to their plane."""
+    before = [0] * len(above[0])
+    for x, px in enumerate(line, 1):
+        if kind == 3:
+            before = [(v + (a + u) // 2) & 255 for v, a, u in zip(px, before, above[x])]
+        else:
+            corner = above[x - 1]
+            before = [(v + min((abs(u - d), 0, a), (abs(a - d), 1, u), (abs(a + u - 2 * d), 2, d))[2]) & 255 for v, a, u, d in zip(px, before, above[x], corner)]
+        now[x] = before
+
+
 def _box(x: np.ndarray, r: int) -> np.ndarray:
     """Sums over squares of side 2r+1, edges repeated."""
     p = np.pad(x, ((r + 1, r), (r + 1, r)), "edge")
@@ -104,79 +117,106 @@ def _shrunk(x: np.ndarray, scale: float) -> np.ndarray:
 def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Corners (x, y, scale, angle) as float32 rows and their tests as rows of BITS / 8 bytes."""
     places, bits = [], []
-    m = RADIUS + 4
+    m = RADIUS + 3
     yy, xx = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
-    for scale in SCALES:
-        img = _shrunk(image, scale)
-        if min(img.shape) < 2 * m + 3:
-            continue
+    disc = yy * yy + xx * xx <= RADIUS * RADIUS
+    scale = 1.0
+    while min(image.shape) / scale >= 2 * m + 3:
+        r = max(0, round((scale - 1) / 2))
+        img = _shrunk(_box(image, r) / (2 * r + 1) ** 2 if r else image, scale)
         img = _box(img, 1) / 9
+        soft = _box(img, 2) / 25
         gy, gx = np.gradient(img)
         a, b, c = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
-        r = a * b - c * c - 0.05 * (a + b) ** 2
-        core = r[m:-m, m:-m]
-        peak = np.ones(core.shape, bool)
+        strength = a * b - c * c - 0.05 * (a + b) ** 2
+        core = strength[m:-m, m:-m]
+        peak = core > 1e-6
         for dy in (-1, 0, 1):
             for dx in (-1, 0, 1):
                 if dy or dx:
-                    peak &= core > r[m + dy : r.shape[0] - m + dy, m + dx : r.shape[1] - m + dx]
-        ys, xs = np.nonzero(peak & (core > 1e-6))
-        best = np.lexsort((xs, ys, -core[ys, xs]))[:CORNERS]
+                    peak &= core > strength[m + dy : strength.shape[0] - m + dy, m + dx : strength.shape[1] - m + dx]
+        ys, xs = np.nonzero(peak)
+        cell = ys // CELL * (core.shape[1] // CELL + 1) + xs // CELL
+        order = np.lexsort((xs, ys, -core[ys, xs], cell))
+        best = np.sort(order[np.unique(cell[order], return_index=True)[1]])
         ys, xs = ys[best] + m, xs[best] + m
-        if not len(ys):
-            continue
-        patch = img[ys[:, None, None] + yy, xs[:, None, None] + xx]
-        angle = np.arctan2((patch * yy).sum((1, 2)), (patch * xx).sum((1, 2)))
-        cos, sin = np.cos(angle)[:, None], np.sin(angle)[:, None]
-        turned = []
-        for tx, ty in (_TESTS[:, :2].T, _TESTS[:, 2:].T):
-            px = np.rint(np.clip(cos * tx - sin * ty, -m, m)).astype(int) + xs[:, None]
-            py = np.rint(np.clip(sin * tx + cos * ty, -m, m)).astype(int) + ys[:, None]
-            turned.append(img[py, px])
-        bits.append(np.packbits(turned[0] < turned[1], axis=1))
-        places.append(np.stack([xs * scale, ys * scale, np.full(len(xs), scale), angle], 1))
+        for at in range(0, len(ys), 4096):
+            y, x = ys[at : at + 4096], xs[at : at + 4096]
+            patch = soft[y[:, None, None] + yy, x[:, None, None] + xx] * disc
+            angle = np.arctan2((patch * yy).sum((1, 2)), (patch * xx).sum((1, 2)))
+            cos, sin = np.cos(angle)[:, None], np.sin(angle)[:, None]
+            turned = []
+            for tx, ty in (_TESTS[:, :2].T, _TESTS[:, 2:].T):
+                fx, fy = cos * tx - sin * ty, sin * tx + cos * ty
+                x0, y0 = np.floor(fx), np.floor(fy)
+                fx, fy = fx - x0, fy - y0
+                k = ((y0 + y[:, None]) * soft.shape[1] + x0 + x[:, None]).astype(np.int64)
+                flat, below = soft.ravel(), k + soft.shape[1]
+                turned.append((1 - fy) * ((1 - fx) * flat[k] + fx * flat[k + 1]) + fy * ((1 - fx) * flat[below] + fx * flat[below + 1]))
+            bits.append(np.packbits(turned[0] < turned[1], axis=1))
+            places.append(np.stack([x * scale, y * scale, np.full(len(x), scale), angle], 1))
+        scale *= STEP
     if not places:
         return np.zeros((0, 4), np.float32), np.zeros((0, BITS // 8), np.uint8)
     return np.concatenate(places).astype(np.float32), np.concatenate(bits)
 
 
 def consensus(pa_: np.ndarray, pb: np.ndarray) -> int:
-    """The most matches that agree with the shift, turn and scale of one of them."""
-    if not len(pa_):
-        return 0
+    """The most matches that agree with the shift, turn and scale of one of them; a corner of the second image counts once."""
+    best = 0
     turn, grow = pb[:, 3] - pa_[:, 3], pb[:, 2] / pa_[:, 2]
     za, zb = pa_[:, 0] + 1j * pa_[:, 1], pb[:, 0] + 1j * pb[:, 1]
     f = grow * np.exp(1j * turn)
-    guess = f[:, None] * za[None, :] + (zb - f * za)[:, None]
-    near = np.abs(guess - zb[None, :]) <= 4
-    alike = np.abs(np.angle(np.exp(1j * (turn[:, None] - turn[None, :])))) <= 0.35
-    return int((near & alike).sum(1).max())
+    for at in range(0, len(za), 256):
+        part = slice(at, at + 256)
+        guess = f[part, None] * za[None, :] + (zb - f * za)[part, None]
+        # What a guess may be off grows with the distance from its corner, as its turn and scale are inexact.
+        slack = 3 + 0.12 * np.abs(f[part, None] * (za[None, :] - za[part, None]))
+        near = np.abs(guess - zb[None, :]) <= slack
+        near &= np.abs(np.angle(np.exp(1j * (turn[part, None] - turn[None, :])))) <= 0.35
+        near &= np.abs(np.log(grow[part, None] / grow[None, :])) <= 0.3
+        for row in near[near.sum(1) >= max(best + 1, INLIERS)]:
+            best = max(best, len(np.unique(zb[row])))
+    return best
+
+
+def _words(bits: bytes) -> np.ndarray:
+    """Rows of BITS / 8 bytes as rows of 64-bit words, filled up with zeros."""
+    rows = np.frombuffer(bits, np.uint8).reshape(-1, BITS // 8)
+    return np.pad(rows, ((0, 0), (0, -rows.shape[1] % 8))).view(np.uint64)
 
 
 def linked(bu: bytes, pu: bytes, bv: bytes, pv: bytes) -> bool:
     """Whether enough corners of the first image have a match in the second that agrees with the others; bits and places as describe() has them."""
-    du, dv = (np.frombuffer(x, np.uint8).reshape(-1, BITS // 8) for x in (bu, bv))
-    distance = np.bitwise_count(du[:, None, :] ^ dv[None, :, :]).sum(2)
-    best = distance.argmin(1)
-    ok = np.flatnonzero(distance[np.arange(len(best)), best] <= MATCH_BITS)
+    du, dv = (_words(x) for x in (bu, bv))
     xu, xv = (np.frombuffer(x, np.float32).reshape(-1, 4).astype(np.float64) for x in (pu, pv))
-    return consensus(xu[ok], xv[best[ok]]) >= INLIERS
+    ours, theirs = [], []
+    for at in range(0, len(du), 256):
+        distance = np.bitwise_count(du[at : at + 256, None, :] ^ dv[None, :, :]).sum(2, dtype=np.int32)
+        nearest = distance.argmin(1)
+        ok = np.flatnonzero(distance[np.arange(len(nearest)), nearest] <= MATCH_BITS)
+        ours.append(ok + at)
+        theirs.append(nearest[ok])
+    ours, theirs = np.concatenate(ours), np.concatenate(theirs)
+    return len(ours) >= INLIERS and consensus(xu[ours], xv[theirs]) >= INLIERS
 
 
 def meetings(entry: DataFrame, block: int = BLOCK) -> DataFrame:
     """(u, v, ku, kv) for every two members (a, k) of the same entry key with different a, u < v.
 
-    An entry of more than block members is cut into blocks by hash and each pair of blocks is a group of its own.
+    An entry of more than block members is cut into blocks by hash and each pair of blocks is a group of its own. Entries of one member go no further than their count.
     """
-    hot = entry.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    rows = entry.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    shared = entry.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    shared = materialize(shared, "entries")
+    release_shuffles(entry.sparkSession)
+    rows = entry.join(shared, "key")
     rows = rows.withColumn("s", F.pmod(F.xxhash64("a", "k"), F.col("blocks")).cast("int"))
     rows = rows.select("key", "a", "k", "s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("t"))
     groups = rows.groupBy("key", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j")).agg(F.collect_list(F.struct("a", "k", "s")).alias("m")).where(F.size("m") > 1)
     met = groups.select("i", "j", "m", F.explode("m").alias("x"))
     others = F.filter("m", lambda y: (y["a"] > F.col("x.a")) & ((F.col("i") == F.col("j")) | (y["s"] != F.col("x.s"))))
     met = met.select("x", F.explode(others).alias("y"))
-    return met.select(F.col("x.a").alias("u"), F.col("y.a").alias("v"), F.col("x.k").cast("short").alias("ku"), F.col("y.k").cast("short").alias("kv"))
+    return met.select(F.col("x.a").alias("u"), F.col("y.a").alias("v"), F.col("x.k").alias("ku"), F.col("y.k").alias("kv"))
 
 
 def copies(images: DataFrame) -> DataFrame:
@@ -199,21 +239,28 @@ def copies(images: DataFrame) -> DataFrame:
                 bits.append(d.tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest), pa.array(places, pa.binary()), pa.array(bits, pa.binary())], names=["image_id", "digest", "places", "bits"])
 
+    spark = images.sparkSession
     found = images.select(F.col("image_id").cast("long"), "image").mapInArrow(run, "image_id long, digest string, places binary, bits binary")
     found = materialize(found, "corners")
-    classes = found.groupBy("digest").agg(F.min("image_id").alias("a"), F.first("bits").alias("bits"), F.first("places").alias("places"))
-    classes = materialize(classes.select("a", "bits", "places", "digest"), "classes")
-
+    least = found.groupBy("digest").agg(F.min("image_id").alias("a"))
+    classes = found.join(least.select("a", F.col("digest").alias("of")), (F.col("digest") == F.col("of")) & F.col("image_id").eqNullSafe(F.col("a")))
+    classes = materialize(classes.select("a", "bits", "places", "digest").dropDuplicates(["digest"]), "classes")
     n = F.expr(f"octet_length(bits) div {BITS // 8}")
+    slim = materialize(found.select("image_id", n.cast("int").alias("n_corners"), "digest"), "images")
+    release_shuffles(spark)
+    drop_table(found)
+
     width = BITS // 8 // TABLES
     corner = classes.where(n > 0).select("a", "bits", F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
     entry = corner.select("a", "k", "bits", F.explode(F.array(*[F.lit(t) for t in range(TABLES)])).alias("t"))
     key = F.xxhash64("t", F.substring("bits", F.col("k") * (BITS // 8) + F.col("t") * width + 1, F.lit(width)))
     pairs = meetings(entry.select("a", "k", key.alias("key")))
-    matched = pairs.groupBy("u", "v").agg(F.collect_set(F.struct("ku", "kv")).alias("m")).where(F.size("m") >= INLIERS)
+    pairs = pairs.groupBy("u", "v").agg(F.collect_set(F.struct("ku", "kv")).alias("m")).where(F.size("m") >= MEETINGS).select("u", "v")
+    pairs = materialize(pairs, "image-pairs")
+    release_shuffles(spark)
     left = classes.select(F.col("a").alias("u"), F.col("bits").alias("bu"), F.col("places").alias("pu"))
     right = classes.select(F.col("a").alias("v"), F.col("bits").alias("bv"), F.col("places").alias("pv"))
-    matched = matched.join(left, "u").join(right, "v").select("u", "v", "bu", "pu", "bv", "pv")
+    matched = pairs.join(left, "u").join(right, "v").select("u", "v", "bu", "pu", "bv", "pv")
 
     def verify(batches):
         for b in batches:
@@ -221,12 +268,12 @@ def copies(images: DataFrame) -> DataFrame:
             yield b.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     links = materialize(matched.mapInArrow(verify, "u long, v long"), "image-links")
+    release_shuffles(spark)
     reach = connected_components(links)
     ends = links.select(F.explode(F.array("u", "v")).alias("a")).groupBy("a").agg(F.count("*").alias("n_links"))
     of = classes.select("a", "digest").join(reach, F.col("a") == F.col("node"), "left").join(ends, "a", "left")
     of = of.select("digest", F.coalesce("component", "a").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    rows = found.select("image_id", n.cast("int").alias("n_corners"), "digest").join(of, "digest")
-    return rows.select("image_id", "n_corners", "n_links", "component_id")
+    return slim.join(of, "digest").select("image_id", "n_corners", "n_links", "component_id")
 
 
 _SIDE = 72
