@@ -195,23 +195,59 @@ def test_main_text_of_the_test_pages(spark):
 
 
 def test_main_text_of_other_layouts(spark):
-    weights = html_main.learn(html_main.labelled_pages())
+    weights = html_main.default_weights()
     body = "<h2>Title</h2><p>" + "good words here " * 9 + "&amp; more</p><div class='ad'>buy now</div><p>a <i>b</i>c\n d&nbsp;e</p>"
     page = f"<html><body><nav><a href=/>Home</a></nav><div class='content'>{body}</div><form>your mail</form><section class='comments'><p>first!</p></section><footer>legal</footer></body></html>"
     assert html_main.main_text(page, weights) == "Title " + "good words here " * 9 + "& more a bc d e"
-    for odd in (None, "", "<", "<<p", "<p", "text only", "<script>x", "<!-- x", "&lt;p&gt;", "</p></p>"):
+    for odd in (None, "", "<", "<<p", "<p", "text only", "<script>x", "<!-- x", "&lt;p&gt;", "</p></p>", "</a></b>" * 50):
         html_main.main_text(odd, weights)
     assert html_main.main_text("text only", weights) == "text only"
     fitted = [set(html_main.main_text(p, weights).split()) for p, _ in html_main.labelled_pages(60, seed=99)]
     wanted = [mine for _, mine in html_main.labelled_pages(60, seed=99)]
     hit = sum(len(a & b) for a, b in zip(fitted, wanted))
-    assert hit / sum(map(len, wanted)) > 0.97 and hit / sum(map(len, fitted)) > 0.9
+    assert hit / sum(map(len, wanted)) > 0.95 and hit / sum(map(len, fitted)) > 0.95
     frame = spark.createDataFrame([(1, None, None), (2, "u", "")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     assert [(r.text, r.n_chars) for r in html_main.extract(frame).collect()] == [("", 0), ("", 0)]
 
 
+def test_best_region_equals_brute_force():
+    rng = random.Random(3)
+    for _ in range(300):
+        scores = [rng.choice([rng.uniform(-3, 3), 0.0, -1.0, 1.0]) for _ in range(rng.randint(0, 25))]
+        lo, hi = html_main.best_region(scores)
+        sums = [sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)]
+        assert abs(sum(scores[lo:hi]) - max([0.0, *sums])) < 1e-9
+        assert hi == 0 or sum(scores[lo:hi]) > 0
+
+
+def test_the_scan_decides():
+    """The region ends where the weights say, not where an element does, and other weights give another text."""
+    page = "<body><div><p>one two three four</p><p>five six</p></div></body>"
+    weights = html_main.default_weights()
+    assert html_main.main_text(page, weights) == "one two three four five six"
+    assert html_main.main_text(page, {**weights, "cost:p": -20.0}) == "one two three four"
+    assert html_main.main_text(page, {"bias": -1.0}) == ""
+
+
+def test_main_text_keeps_what_names_like_noise_hold():
+    weights = html_main.default_weights()
+    words = "good words here " * 20
+    for part in ("<div class='discussion'><p>they differ in this</p></div>", "<section id='related-work'><h2>Related work</h2><p>others did it too</p></section>", "<p><a href='/x'>a linked paragraph of some words</a></p>" * 60):
+        inner = " ".join(re.sub("<[^>]*>", " ", part).split())
+        assert html_main.main_text(f"<body><article><p>{words}</p>{part}<p>the closing paragraph</p></article></body>", weights) == words + inner + " the closing paragraph"
+    assert html_main.main_text(f"<body><div class='share price'><article><p>{words}</p></article></div></body>", weights) == words.strip()
+    assert html_main.main_text(f"<body><header><h1>The title of it</h1></header><div><p>{words}</p></div></body>", weights) == "The title of it " + words.strip()
+
+
+def test_main_text_of_deep_and_long_pages():
+    weights = html_main.default_weights()
+    assert html_main.main_text("<div>" * 20_000 + "some words" + "</div>" * 10_000, weights) in ("some words", "")
+    long = "<article>" + "<p>" + "word " * 10 + "</p>" * 1 + ("<p>" + "word " * 10 + "</p>") * 20_000 + "</article>"
+    assert len(html_main.main_text(long, weights).split()) == 200_010
+
+
 def test_main_text_in_wrappers_named_like_noise():
-    weights = html_main.learn(html_main.labelled_pages())
+    weights = html_main.default_weights()
     words = "good words here " * 20
     small = "<div class='ad'>buy now</div>"
     rest = "<nav><a href=/>Home</a></nav>", "<section class='comments'><p>first!</p></section><aside>more of us</aside><footer>legal</footer>"
