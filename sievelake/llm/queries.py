@@ -18,8 +18,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as a tree of files, see licenses.document_paths()."""
     files = licenses.document_paths(table(spark, sf_dir, "documents"))
     found = licenses.scan_tree(files)
-    doc_id = F.regexp_extract("path", "([0-9]+)[^/]*$", 1).cast("long")
-    return found.withColumn("doc_id", doc_id)
+    return found.withColumn("doc_id", licenses.doc_id_of(F.col("path")))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,4 +75,4 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {"op8_chat_formatting": chat.ORACLE, "op10_quality_rules": quality_rules.ORACLE}
+ORACLES: dict[str, str] = {"op2_license_scan": licenses.ORACLE, "op8_chat_formatting": chat.ORACLE, "op10_quality_rules": quality_rules.ORACLE}

@@ -1,6 +1,7 @@
 """Licences, images, pages, conversations and the pipeline."""
 
 import html
+import itertools
 import math
 import random
 import re
@@ -17,31 +18,53 @@ from sievelake.llm.queries import QUERIES
 SF = "/root/testdata/sf0.001"
 
 
-def test_every_notice_has_a_hint_and_finds_itself(spark):
+def test_every_notice_finds_itself(spark):
     rows = [(f"d/{k}", t.upper()) for k, t in enumerate(t for ts in licenses.TEMPLATES.values() for t in ts)]
     ids = [s for s, ts in licenses.TEMPLATES.items() for _ in ts]
-    got = {r.path: r.spdx for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
-    assert [got[p] for p, _ in rows] == ids
+    got = {r.path: (r.spdx, r.similarity) for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert [got[p] for p, _ in rows] == [(i, 1.0) for i in ids]
 
 
 def test_scan_equals_brute_force(spark):
+    """Every unit is compared here, with or without a required term."""
     idf, other, vectors = licenses.weights()
-    texts = ["Released under the MIT License.\nwords", "x\nLicensed under the Apache License, Version 2.0, see the file", "license to sail the seven seas", "All rights reserved", None, "", "This work is licensed under the GNU General Public License version 3 or later"] * 2
-
-    def best(t):
+    rng = random.Random(7)
+    words = [t for ts in licenses.TEMPLATES.values() for t in ts[0].split()] + ["the", "of", "license", "free", "words", "Foo"]
+    made = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    texts = ["Released under the MIT License.\nwords", "x\nLicensed under the Apache License, Version 2.0, see the file", "license to sail the seven seas", "All rights reserved", None, "", "GNU General Public\nLicense, version 3 or later"]
+    texts += ["# Copyright 2020 Foo\n# " + licenses._MIT.replace("to ", "to\n# ") + "\n\nimport x\n", "a\n\nb\n", *made, *["words\n\n" + x[: len(x) * 3 // 4] + "\n\nmore" for ts in licenses.TEMPLATES.values() for x in ts[-2:]], "\n".join(made[:20])]
+
+    def best(path, t):
+        text = (t or "").lower()
+        lines = text.split("\n")
+        some = {(" ".join(lines[i : i + k]), False) for i in range(len(lines)) for k in (1, 2, 3)}
+        some |= {(x, True) for x in re.split(r"\n\s*\n", text)} | ({(text, True)} if "LICENSE" in path else set())
         found = []
-        for line in (t or "").split("\n"):
-            if re.search(licenses.HINT, line):
-                terms = licenses._terms(line)
-                v = {x: terms.count(x) * idf.get(x, other) for x in set(terms)}
-                norm = math.sqrt(sum(x * x for x in v.values()))
-                found += [(-round(sum(v[x] * w for x, w in u.items() if x in v) / norm, 6), s) for s, u in vectors]
-        found = [x for x in found if -x[0] >= licenses.THRESHOLD]
-        return min(found, default=None)
-
-    df = spark.createDataFrame([(f"p{k}", t) for k, t in enumerate(texts)], "path string, text string")
-    got = {r.path: (-r.similarity, r.spdx) for r in licenses.scan(df).collect()}
-    assert got == {f"p{k}": best(t) for k, t in enumerate(texts) if best(t)}
+        for unit, block in some:
+            terms = licenses._terms(unit)
+            v = {x: (1 + math.log(terms.count(x))) * idf.get(x, other) for x in set(terms)}
+            norm = math.sqrt(sum(x * x for x in v.values())) or 1
+            found += [(-round(sum(v[x] * w for x, w in u.items() if x in v) / norm, 6), s) for s, u in vectors if block or len(u) <= licenses._SHORT]
+        return min([x for x in found if -x[0] >= licenses.THRESHOLD], default=None)
+
+    rows = [(f"p{k}" + "/LICENSE" * (k % 3 == 0), t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "path string, text string").withColumns({c: F.lit("?") for c in ("lines", "content", "term", "block")})
+    scanned = licenses.scan(df)
+    got = {r.path: (-r.similarity, r.spdx) for r in scanned.collect()}
+    want = {p: best(p, t) for p, t in rows if best(p, t)}
+    assert got.keys() == want.keys() and len(want) > 20
+    assert all(got[p][1] == want[p][1] and abs(got[p][0] - want[p][0]) < 2e-6 for p in want)
+    assert not re.search("Python|Arrow|Pandas|ExistingRDD", QUERIES["op2_license_scan"](spark, SF)._jdf.queryExecution().toString())
+
+
+def test_license_scan_equals_its_sql(spark):
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = con.sql(licenses.ORACLE).df().sort_values("doc_id").reset_index(drop=True)
+    got = QUERIES["op2_license_scan"](spark, SF).toPandas().sort_values("doc_id").reset_index(drop=True)
+    assert sorted(got.columns) == sorted(want.columns) and (got.license.notna().sum() > 3)
+    for c in got.columns:
+        assert (got[c].fillna(0).values == want[c].fillna(0).values).all(), c
 
 
 def test_inheritance(spark):
