@@ -15,7 +15,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelake.llm.components import connected_components
@@ -201,29 +201,44 @@ def linked(bu: bytes, pu: bytes, bv: bytes, pv: bytes) -> bool:
     return len(ours) >= INLIERS and consensus(xu[ours], xv[theirs]) >= INLIERS
 
 
-def meetings(entry: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(u, v, ku, kv) for every two members (a, k) of the same entry key with different a, u < v.
-
-    An entry of more than block members is cut into blocks by hash and each pair of blocks is a group of its own. Entries of one member go no further than their count.
-    """
+def shared_entries(entry: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(key, a, k, blocks, s) of the members (a, k) of entries that have two or more, s being the block of the member: an entry of more than block members is cut into blocks by hash."""
     shared = entry.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     shared = materialize(shared, "entries")
     release_shuffles(entry.sparkSession)
-    rows = entry.join(shared, "key")
-    rows = rows.withColumn("s", F.pmod(F.xxhash64("a", "k"), F.col("blocks")).cast("int"))
-    rows = rows.select("key", "a", "k", "s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("t"))
-    groups = rows.groupBy("key", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j")).agg(F.collect_list(F.struct("a", "k", "s")).alias("m")).where(F.size("m") > 1)
+    return entry.join(shared, "key").withColumn("s", F.pmod(F.xxhash64("a", "k"), F.col("blocks")).cast("int"))
+
+
+def first_meetings(rows: DataFrame) -> DataFrame:
+    """(u, v, ku, kv): each member of shared_entries() with the least and with the one before it in its block, and the least of each block with those of the other blocks before it and the first."""
+    within = Window.partitionBy("key", "s").orderBy("a", "k")
+    one = F.struct("a", "k")
+    met = rows.select("key", one.alias("y"), F.first(one).over(within).alias("first"), F.lag(one).over(within).alias("before"))
+    heads = rows.where("blocks > 1").groupBy("key", "s").agg(F.min(one).alias("y"))
+    among = Window.partitionBy("key").orderBy("y")
+    met = met.union(heads.select("key", "y", F.first("y").over(among).alias("first"), F.lag("y").over(among).alias("before")))
+    return _ordered(met.select("y", F.explode(F.array_distinct(F.array("first", "before"))).alias("x")).where("x.a <> y.a"))
+
+
+def _ordered(met: DataFrame) -> DataFrame:
+    u, v = F.least("x", "y"), F.greatest("x", "y")
+    return met.select(u["a"].alias("u"), v["a"].alias("v"), u["k"].alias("ku"), v["k"].alias("kv"))
+
+
+def meetings(rows: DataFrame) -> DataFrame:
+    """(u, v, ku, kv) for every two members of the same of shared_entries() with different classes c, u < v; each pair of blocks is a group of its own."""
+    rows = rows.select("key", "a", "k", "c", "s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("t"))
+    groups = rows.groupBy("key", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j")).agg(F.collect_list(F.struct("a", "k", "c", "s")).alias("m"))
+    groups = groups.where(F.size(F.array_distinct(F.transform("m", lambda x: x["c"]))) > 1)
     met = groups.select("i", "j", "m", F.explode("m").alias("x"))
-    others = F.filter("m", lambda y: (y["a"] > F.col("x.a")) & ((F.col("i") == F.col("j")) | (y["s"] != F.col("x.s"))))
-    met = met.select("x", F.explode(others).alias("y"))
-    return met.select(F.col("x.a").alias("u"), F.col("y.a").alias("v"), F.col("x.k").alias("ku"), F.col("y.k").alias("kv"))
+    others = F.filter("m", lambda y: (y["a"] > F.col("x.a")) & (y["c"] != F.col("x.c")) & ((F.col("i") == F.col("j")) | (y["s"] != F.col("x.s"))))
+    return _ordered(met.select("x", F.explode(others).alias("y")))
 
 
 def copies(images: DataFrame) -> DataFrame:
-    """(image_id, n_corners int, n_links long, component_id) for every row of images (image_id long, image binary PNG).
+    """(image_id, n_corners int, component_id) for every row of images (image_id long, image binary PNG).
 
-    component_id is the least image_id that equal pixels and links reach; n_links counts all links of the row's class, one class being all
-    images of equal pixels. Null, unreadable and featureless images are linked by equal bytes alone. Empty tables give no rows.
+    component_id is the least image_id that equal pixels and links reach, as if all pairs that meet were verified. Null, unreadable and featureless images are linked by equal bytes alone. Empty tables give no rows.
     """
     small_batches(images.sparkSession)
 
@@ -254,8 +269,23 @@ def copies(images: DataFrame) -> DataFrame:
     corner = classes.where(n > 0).select("a", "bits", F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
     entry = corner.select("a", "k", "bits", F.explode(F.array(*[F.lit(t) for t in range(TABLES)])).alias("t"))
     key = F.xxhash64("t", F.substring("bits", F.col("k") * (BITS // 8) + F.col("t") * width + 1, F.lit(width)))
-    pairs = meetings(entry.select("a", "k", key.alias("key")))
-    pairs = pairs.groupBy("u", "v").agg(F.collect_set(F.struct("ku", "kv")).alias("m")).where(F.size("m") >= MEETINGS).select("u", "v")
+    rows = materialize(shared_entries(entry.select("a", "k", key.alias("key"))), "members")
+    release_shuffles(spark)
+
+    # First the pairs that hold a group of copies together, then all that meet across the classes so far: what is within one class needs no more links.
+    first = _verified(first_meetings(rows), classes)
+    reach = materialize(connected_components(first), "first-classes")
+    classed = rows.join(reach.withColumnsRenamed({"node": "a", "component": "c"}), "a", "left").withColumn("c", F.coalesce("c", "a"))
+    more = _verified(meetings(classed), classes)
+    reach = connected_components(first.union(more))
+    of = classes.select("a", "digest").join(reach, F.col("a") == F.col("node"), "left").select("digest", F.coalesce("component", "a").alias("component_id"))
+    return slim.join(of, "digest").select("image_id", "n_corners", "component_id")
+
+
+def _verified(met: DataFrame, classes: DataFrame) -> DataFrame:
+    """(u, v) of the pairs that meet MEETINGS times or more and are links, as a table."""
+    spark = met.sparkSession
+    pairs = met.groupBy("u", "v").agg(F.collect_set(F.struct("ku", "kv")).alias("m")).where(F.size("m") >= MEETINGS).select("u", "v")
     pairs = materialize(pairs, "image-pairs")
     release_shuffles(spark)
     left = classes.select(F.col("a").alias("u"), F.col("bits").alias("bu"), F.col("places").alias("pu"))
@@ -269,11 +299,7 @@ def copies(images: DataFrame) -> DataFrame:
 
     links = materialize(matched.mapInArrow(verify, "u long, v long"), "image-links")
     release_shuffles(spark)
-    reach = connected_components(links)
-    ends = links.select(F.explode(F.array("u", "v")).alias("a")).groupBy("a").agg(F.count("*").alias("n_links"))
-    of = classes.select("a", "digest").join(reach, F.col("a") == F.col("node"), "left").join(ends, "a", "left")
-    of = of.select("digest", F.coalesce("component", "a").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return slim.join(of, "digest").select("image_id", "n_corners", "n_links", "component_id")
+    return links
 
 
 _SIDE = 72
