@@ -29,7 +29,7 @@ PAYLOAD = [
 
 
 def _blank(c: Column) -> Column:
-    return F.trim(F.coalesce(c, F.lit(""))) == ""
+    return ~F.coalesce(c, F.lit("")).rlike("\\S")
 
 
 def classify(raw: DataFrame, as_of: Column, rules: IngestRules = IngestRules(), v: Vocabulary = DEFAULT) -> DataFrame:

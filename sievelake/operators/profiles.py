@@ -42,7 +42,7 @@ CITY_FRESHERS = Profile(
     label="City freshers at start-ups",
     description="Entry-level roles at young companies in one city",
     location="Bengaluru, Karnataka, India",
-    queries=tuple(f"fresher {q}" for q in vocab.SEARCH_QUERIES[:12]),
+    queries=tuple(vocab.FRESHER_QUERIES),
     location_terms=tuple(vocab.CITY),
     require_startup=True,
 )
