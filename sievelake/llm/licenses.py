@@ -84,10 +84,10 @@ _EVERYDAY = set("a all and any are as by code form forms general in is of or per
 
 
 def _set_aside(v: dict[str, float], idf: dict[str, float]) -> set[str]:
-    """Terms of a template, numbers and everyday words first, then the commonest among the templates, that together can't reach THRESHOLD."""
+    """Terms of a template, everyday words first, then numbers, then the commonest among the templates, that together can't reach THRESHOLD."""
     out: set[str] = set()
     total = 0.0
-    for t in sorted(v, key=lambda t: (not t.isdigit(), t not in _EVERYDAY, idf[t], t)):
+    for t in sorted(v, key=lambda t: (t not in _EVERYDAY, not t.isdigit(), idf[t], t)):
         if total + v[t] * v[t] < _ENOUGH:
             out.add(t)
             total += v[t] * v[t]
