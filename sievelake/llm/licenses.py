@@ -152,14 +152,17 @@ def units(files: DataFrame, text_col: str = "text") -> DataFrame:
     false for lines and runs of lines, which are compared with the short ones."""
     text = _lower(F.coalesce(F.col(text_col), F.lit("")))
     df = files.select("path", text.alias("text"), is_licence_file(F.col("path")).alias("whole"))
-    df = df.select("path", "text", "whole", F.split("text", "\n").alias("lines"), F.monotonically_increasing_id().alias("nth"))
-    at = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(hint()), i + 1)), lambda i: i.isNotNull())
-    join = lambda i, k: F.array_join(F.slice("lines", i, k), " ")
-    # All runs of up to three lines that hold the line at i.
-    around = lambda i: F.array(*[F.when(i > back, join(i - back, k)) for k in (1, 2, 3) for back in range(k)])
+
+    def runs(lines: Column) -> Column:
+        """All runs of up to three lines that hold a line with a required term. lines is bound once, as Catalyst would split the text again for each mention of a column."""
+        at = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(hint()), i + 1)), lambda i: i.isNotNull())
+        join = lambda i, k: F.array_join(F.slice(lines, i, k), " ")
+        return F.flatten(F.transform(at, lambda i: F.array(*[F.when(i > back, join(i - back, k)) for k in (1, 2, 3) for back in range(k)])))
+
+    some = F.get(F.transform(F.array(F.split("text", "\n")), runs), F.lit(0))
     blocks = F.split("text", "\n[ \t-\r]*\n")
     both = lambda some, block: F.transform(F.array_distinct(F.filter(some, lambda x: x.isNotNull() & (x != "") & may_reach(x))), lambda x: F.struct(x.alias("content"), F.lit(block).alias("block")))
-    some = F.concat(both(F.flatten(F.transform(at, around)), False), both(F.concat(blocks, F.array(F.when(F.col("whole"), F.col("text")))), True))
+    some = F.concat(both(some, False), both(F.concat(blocks, F.array(F.when(F.col("whole"), F.col("text")))), True))
     return df.select("path", F.explode(some).alias("unit")).select("path", "unit.*").distinct()
 
 
