@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm import bpe, chat, html_main, images, licenses, packing, quality_model, quality_rules, simhash, span_dedup
+from sievelake.llm import bpe, chat, fim, html_main, images, lexical, licenses, packing, quality_model, quality_rules, simhash, span_dedup, vantage
 from sievelake.llm.shared import table
 
 
@@ -59,6 +59,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rule_report(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return lexical.search(lexical.build(table(spark, sf_dir, "documents"), items), items)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.transform(table(spark, sf_dir, "documents")))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -72,7 +85,10 @@ QUERIES = {
         op8_chat_formatting,
         op9_simhash_near_dedup,
         op10_quality_rules,
+        op11_ranked_search,
+        op12_fill_in_middle,
+        op13_nearest_neighbours,
     )
 }
 
-ORACLES: dict[str, str] = {"op2_license_scan": licenses.ORACLE, "op8_chat_formatting": chat.ORACLE, "op10_quality_rules": quality_rules.ORACLE}
+ORACLES: dict[str, str] = {"op2_license_scan": licenses.ORACLE, "op8_chat_formatting": chat.ORACLE, "op10_quality_rules": quality_rules.ORACLE, "op11_ranked_search": lexical.ORACLE, "op12_fill_in_middle": fim.ORACLE}

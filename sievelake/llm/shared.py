@@ -36,14 +36,14 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back.
+def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back, with a folder for each value of partition_by.
 
     This cuts the lineage and survives the loss of executors. The table goes when the application ends.
     """
     spark = df.sparkSession
     at = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(at)
+    df.write.option("compression", "zstd").partitionBy(*([partition_by] if partition_by else [])).parquet(at)
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(at)
