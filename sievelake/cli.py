@@ -5,11 +5,11 @@ from __future__ import annotations
 import argparse
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sievelake import config
-from sievelake.operators import facets, ingest, lifecycle, search
+from sievelake.operators import ingest, lifecycle, search
 from sievelake.session import get_session
 from sievelake.sources import jsonl
 from sievelake.sources.store import Store
@@ -27,33 +27,34 @@ def current(spark: SparkSession, store: Store) -> DataFrame:
 
 
 def import_jsonl(spark: SparkSession, store: Store, path: str, now, settings: config.Settings) -> dict:
-    """Read, classify, deduplicate and upsert a file of records; the counts of what happened."""
+    """Read, classify, deduplicate and upsert a file of records; the counts of what happened, taken by the job that writes."""
     records = jsonl.read(spark, path)
     raw = jsonl.to_raw(records).withColumn("raw_id", F.monotonically_increasing_id())  # the order within and among files
-    marked = ingest.classify(raw, now, settings.rules)
-    after = lifecycle.upsert(current(spark, store), ingest.dedup_richest(ingest.kept(marked)), now)
-    out = {**jsonl.malformed(records).first().asDict(), **lifecycle.tallies(after).first().asDict()}
-    out["rejections"] = {r.reject_reason: r.n for r in ingest.rejections(marked).collect()}
-    store.commit(after.drop("action"))
-    return out
+    marked, seen = ingest.observed(ingest.classify(raw, now, settings.rules))
+    done = store.upsert(ingest.dedup_richest(ingest.kept(marked)), now, empty=spark.createDataFrame([], STORED))
+    return {**jsonl.malformed(records).first().asDict(), **done.tallies, "rejections": ingest.observed_rejections(seen)}
 
 
 def maintain(spark: SparkSession, store: Store, now, settings: config.Settings) -> dict:
     """Stale, aged out, purged: one pass over the store."""
-    p = current(spark, store)
-    after = lifecycle.expire_aged_out(lifecycle.deactivate_stale(p, now, settings.stale_days), now, settings.age_out_days)
-    after = lifecycle.purge_expired(lifecycle.purge_old(after, now, settings.purge_days), now, settings.purge_expired_days)
-    store.commit(after)
-    return facets.counts(current(spark, store)).first().asDict()
+
+    def change(p: DataFrame) -> DataFrame:
+        after = lifecycle.expire_aged_out(lifecycle.deactivate_stale(p, now, settings.stale_days), now, settings.age_out_days)
+        return lifecycle.purge_expired(lifecycle.purge_old(after, now, settings.purge_days), now, settings.purge_expired_days)
+
+    store.rewrite(change)
+    return store.stats(now).select("total", "active").first().asDict()
 
 
 def reindex(spark: SparkSession, store: Store, now, settings: config.Settings) -> dict:
     """Classify all stored rows anew."""
-    p = current(spark, store)
-    done = lifecycle.reindex(p, now, settings.rules)
-    out = lifecycle.reindex_tallies(done).first().asDict()
-    store.commit(done.select(*p.columns))
-    return out
+    tallies = Observation("reindex")
+
+    def change(p: DataFrame) -> DataFrame:
+        return lifecycle.reindex(p, now, settings.rules).observe(tallies, *lifecycle.reindex_counts())
+
+    store.rewrite(change)
+    return dict(tallies.get)
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -93,12 +94,11 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "reindex":
         print(reindex(spark, store, now, settings))
     elif a.command == "stats":
-        p = current(spark, store)
-        print(facets.stats(p, now).first().asDict())
-        facets.all_facets(p).orderBy("facet", F.desc("n"), "value").show(60, truncate=False)
+        print(store.stats(now).first().asDict())
+        store.facets().orderBy("facet", F.desc("n"), "value").show(60, truncate=False)
     else:
         f = search.Filters(a.q, a.source, a.category, a.seniority, a.work_mode, a.skill, a.location, a.company, a.min_experience, a.max_experience, True, a.posted_within_days)
-        p = current(spark, store)
+        p = store.searched(f)
         print(search.page_meta(p, f, now, a.page, a.size).first().asDict())
         search.search(p, f, now, a.page, a.size, a.sort, a.order).select("id", "title", "company", "location", "experience_min", "posted_at").show(a.size, truncate=40)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sievelake.functions import parse, taxonomy, text
@@ -94,6 +94,23 @@ def rejections(classified: DataFrame) -> DataFrame:
     return where_after(classified.select("reject_reason"), F.col("reject_reason").isNotNull()).groupBy("reject_reason").agg(F.count("*").alias("n"))
 
 
+#: Every reason that reject_reason() gives.
+REASONS = ["incomplete", "dead_listing", "not_tech", "no_content", "experience_too_high", "posting_too_old"]
+
+
+def observed(classified: DataFrame) -> tuple[DataFrame, Observation]:
+    """classified as it is, and its counts (seen, kept, and each of REASONS), which the job that computes it takes along."""
+    seen = Observation("ingest")
+    is_ = lambda r: F.count_if(F.coalesce(F.col("reject_reason") == r, F.lit(False)))
+    counts = [F.count("*").alias("seen"), F.count_if(F.col("reject_reason").isNull()).alias("kept"), *[is_(r).alias(r) for r in REASONS]]
+    return classified.observe(seen, *counts), seen
+
+
+def observed_rejections(seen: Observation) -> dict[str, int]:
+    """What rejections() counts, from an observation; waits for the job that takes it."""
+    return {r: n for r, n in seen.get.items() if r in REASONS and n}
+
+
 def dedup_richest(postings: DataFrame) -> DataFrame:
     """One row per fingerprint: the longest description, the earliest arrival where it ties."""
     return nth_by(postings, ["fingerprint"], [F.length("description").desc(), F.col("raw_id").asc()])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievelake.functions import parse, taxonomy, text
 from sievelake.functions.vocab import DEFAULT, Vocabulary
+from sievelake.operators import facets
 from sievelake.operators.ingest import PAYLOAD, IngestRules
 
 STALE_DAYS, PURGE_DAYS, AGE_OUT_DAYS, PURGE_EXPIRED_DAYS, MAX_FAILURES = 21, 60, 60, 3, 3
@@ -28,7 +29,13 @@ def upsert(existing: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
     Stored rows take over the payload, except an empty description over one that is there and a null posted_at; they come alive again and
     keep id and first_seen_at. New rows get ids after the greatest, in order of fingerprint.
     """
-    old, new = existing.alias("o"), incoming.select(*PAYLOAD).alias("n")
+    after = merge(existing, incoming, now).drop("before")
+    return after if "id" not in existing.columns else _numbered(existing, after)
+
+
+def merge(existing: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
+    """upsert() but for the numbering: new rows have incoming's id, if it has one. before: the facet entries that updated rows had."""
+    old, new = existing.alias("o"), incoming.select(*PAYLOAD, *(["id"] if "id" in incoming.columns else [])).alias("n")
     joined = old.join(new, F.col("o.fingerprint") == F.col("n.fingerprint"), "full_outer")
     both = F.col("o.fingerprint").isNotNull() & F.col("n.fingerprint").isNotNull()
     fresh = F.col("o.fingerprint").isNull()
@@ -43,6 +50,8 @@ def upsert(existing: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
             elif c == "posted_at":
                 n = F.coalesce(n, o)
             out[c] = F.when(touched, n).otherwise(o)
+        elif c == "id" and "id" in incoming.columns:
+            out[c] = F.coalesce(o, F.col("n.id"))
         elif c == "first_seen_at":
             out[c] = F.when(fresh, now).otherwise(o)
         elif c == "last_seen_at":
@@ -58,29 +67,33 @@ def upsert(existing: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
         else:
             out[c] = o
     action = F.when(fresh, "insert").when(both, "update").otherwise("keep")
-    after = joined.select(*[c.alias(name) for name, c in out.items()], action.alias("action"))
+    before = F.when(both, facets.entries(existing, "o."))
+    after = joined.select(*[c.alias(name) for name, c in out.items()], action.alias("action"), before.alias("before"))
     if "search_blob" in existing.columns:
         blob = text.search_blob(*[F.col(c) for c in ("title", "company", "location", "category", "skills")])
         after = after.withColumn("search_blob", F.when(F.col("action") == "keep", F.col("search_blob")).otherwise(blob))
-    return after.select(*existing.columns, "action") if "id" not in existing.columns else _numbered(existing, after)
+    return after
 
 
-def _numbered(existing: DataFrame, after: DataFrame) -> DataFrame:
-    """Ids for the inserted rows: buckets by the fingerprint's first letters are counted, then each row is placed in its bucket.
+def numbered(incoming: DataFrame, top: int) -> DataFrame:
+    """incoming with ids after top, in order of fingerprint: buckets by the fingerprint's first letters are counted, then each row is placed in its bucket.
 
     No window spans the whole table: sorting goes by 4096 buckets of three hexadecimal digits, whose totals are 4096 rows.
     """
-    old = after.where("action <> 'insert'")
-    new = after.where("action = 'insert'").withColumn("_bucket", F.substring("fingerprint", 1, 3))
+    new = incoming.withColumn("_bucket", F.substring("fingerprint", 1, 3))
     sizes = new.groupBy("_bucket").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("_bucket", before.alias("_before"))
-    top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
     nth = F.row_number().over(Window.partitionBy("_bucket").orderBy("fingerprint"))
-    # starts has at most 4096 rows and top one.
-    placed = new.withColumn("_nth", nth).join(F.broadcast(starts), "_bucket").join(F.broadcast(top), F.lit(True))
-    new = placed.withColumn("id", (F.col("_top") + F.col("_before") + F.col("_nth")).cast("long")).select(*after.columns)
-    return old.unionByName(new)
+    # The totals are at most 4096 rows.
+    placed = new.withColumn("_nth", nth).join(F.broadcast(sizes.select("_bucket", before.alias("_before"))), "_bucket")
+    return placed.withColumn("id", (F.lit(top) + F.col("_before") + F.col("_nth")).cast("long")).drop("_bucket", "_nth", "_before")
+
+
+def _numbered(existing: DataFrame, after: DataFrame) -> DataFrame:
+    """Ids for the inserted rows, after the greatest of existing."""
+    top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    new = numbered(after.where("action = 'insert'"), 0).join(F.broadcast(top), F.lit(True))  # one row
+    return after.where("action <> 'insert'").unionByName(new.withColumn("id", F.col("id") + F.col("_top")).select(*after.columns))
 
 
 def tallies(upserted: DataFrame) -> DataFrame:
@@ -187,15 +200,20 @@ def reindex(p: DataFrame, now: Column, rules: IngestRules = IngestRules(), v: Vo
     return out.drop("_years", "_scores", "_bad")
 
 
-def reindex_tallies(r: DataFrame) -> DataFrame:
+def reindex_counts() -> list[Column]:
+    """What reindex() did, as aggregates over its rows."""
     differ = lambda c: ~F.col(c).eqNullSafe(F.col(f"_old_{c}"))
-    return r.agg(
+    return [
         F.count("*").alias("scanned"),
         F.count_if(differ("search_blob")).alias("reblobbed"),
         F.count_if(differ("category")).alias("recategorised"),
         F.count_if(differ("experience_min") | differ("experience_max")).alias("re_experienced"),
         F.count_if(differ("is_active")).alias("retired"),
-    )
+    ]
+
+
+def reindex_tallies(r: DataFrame) -> DataFrame:
+    return r.agg(*reindex_counts())
 
 
 def sync_schema(stored: DataFrame, defaults: dict[str, tuple[str, object]]) -> DataFrame:

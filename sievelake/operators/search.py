@@ -84,6 +84,15 @@ def predicates(f: Filters, as_of: Column) -> list[Column]:
     return out
 
 
+def needles(f: Filters) -> list[str]:
+    """Texts that every match has inside a word of its search_blob or description: the parts between blanks of what contains() looks for.
+
+    Location, company and skills are part of the blob, so their texts are too.
+    """
+    texts = [(f.q or "").strip().lower(), (f.location or "").lower(), (f.company or "").lower(), *(x.strip().lower() for x in f.skill)]
+    return sorted({part for t in texts for part in t.split(" ") if part})
+
+
 def matching(postings: DataFrame, f: Filters, as_of: Column) -> DataFrame:
     found = predicates(f, as_of)
     return postings.where(reduce(lambda a, b: a & b, found)) if found else postings

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from sievelake.functions import parse, taxonomy, text, vocab
 from sievelake.functions.matcher import compile_terms, has_term
 from sievelake.operators import facets, ingest, lifecycle, probe, profiles, runs, search
+from sievelake.operators.common import scratch_folder
 from sievelake.operators.search import Filters
 from sievelake.plans import fixtures
 from sievelake.plans.fixtures import AS_OF, DESCRIPTIONS, case_of, oracle, view
 from sievelake.sources import boards, html_text, jsonl
+from sievelake.sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,7 +109,12 @@ add(
     "SELECT doc_id, source FROM documents WHERE contains(lower(text), '%%') OR contains(lower(text), 'a_b')",
     views=False,
 )
-add("posting_detail", lambda s, d: search.detail(postings(s, d), 7).select("id", "description", "external_id", "expired_at", "expiry_reason", "last_checked_at"), "SELECT id, description, external_id, expired_at, expiry_reason, last_checked_at FROM postings WHERE id = 7")
+_DETAIL = ["id", "description", "external_id", "expired_at", "expiry_reason", "last_checked_at"]
+add(
+    "posting_detail",
+    lambda s, d: search.detail(postings(s, d), postings(s, d).agg(F.max("id")).first()[0]).select(*_DETAIL),
+    f"SELECT {', '.join(_DETAIL)} FROM postings WHERE id = (SELECT max(id) FROM postings)",
+)
 add("added_today", lambda s, d: search.added_since(postings(s, d), now()), f"SELECT count(*) AS n FROM postings WHERE first_seen_at >= {NOW_SQL} - INTERVAL 1 DAY")
 
 # ------------------------------------------------------------------ facets
@@ -121,11 +128,8 @@ for _c, _n in facets.FACET_LIMITS.items():
     add(f"facet_{_c}", lambda s, d, c=_c, n=_n: facets.facet(postings(s, d), c, n), _facet_sql(_c, _n))
 _SKILLS_SQL = "SELECT v AS value, n FROM (SELECT v, count(*) AS n FROM (SELECT unnest(skills) AS v FROM postings WHERE is_active) GROUP BY v ORDER BY n DESC, v LIMIT 60)"
 add("facet_skills", lambda s, d: facets.skill_facet(postings(s, d)), _SKILLS_SQL)
-add(
-    "facets_all",
-    lambda s, d: facets.all_facets(postings(s, d)),
-    " UNION ALL ".join([*(f"SELECT '{c}' AS facet, * FROM ({_facet_sql(c, n)})" for c, n in facets.FACET_LIMITS.items()), f"SELECT 'skills' AS facet, * FROM ({_SKILLS_SQL})"]),
-)
+_FACETS_SQL = " UNION ALL ".join([*(f"SELECT '{c}' AS facet, * FROM ({_facet_sql(c, n)})" for c, n in facets.FACET_LIMITS.items()), f"SELECT 'skills' AS facet, * FROM ({_SKILLS_SQL})"])
+add("facets_all", lambda s, d: facets.all_facets(postings(s, d)), _FACETS_SQL)
 add(
     "facet_document_source",
     lambda s, d: facets.facet(s.read.parquet(f"{d}/documents.parquet").withColumn("is_active", F.lit(True)), "source", 20),
@@ -138,13 +142,10 @@ add(
     "SELECT CASE WHEN expiry_reason = '' THEN 'unknown' ELSE expiry_reason END AS reason, count(*) AS n FROM postings WHERE NOT is_active AND expired_at IS NOT NULL GROUP BY 1",
 )
 add("posting_counts", lambda s, d: facets.counts(postings(s, d)), "SELECT count(*) AS total, count(*) FILTER (is_active) AS active FROM postings")
-add(
-    "stats_summary",
-    lambda s, d: facets.stats(postings(s, d), now()),
-    f"""SELECT count(*) AS total, count(*) FILTER (is_active) AS active, count(*) FILTER (first_seen_at >= {NOW_SQL} - INTERVAL 1 DAY) AS added_today,
+_STATS_SQL = f"""SELECT count(*) AS total, count(*) FILTER (is_active) AS active, count(*) FILTER (first_seen_at >= {NOW_SQL} - INTERVAL 1 DAY) AS added_today,
     count(DISTINCT company) FILTER (is_active) AS companies, count(DISTINCT category) FILTER (is_active) AS categories,
-    count(*) FILTER (NOT is_active AND expired_at IS NOT NULL) AS expired, max(last_seen_at) AS last_seen_at FROM postings""",
-)
+    count(*) FILTER (NOT is_active AND expired_at IS NOT NULL) AS expired, max(last_seen_at) AS last_seen_at FROM postings"""
+add("stats_summary", lambda s, d: facets.stats(postings(s, d), now()), _STATS_SQL)
 
 # ------------------------------------------------------------------ text
 
@@ -398,6 +399,47 @@ add("upsert_metrics", lambda s, d: lifecycle.tallies(_halves(s, d)))
 ORACLES["upsert_metrics"] = with_views(_UPSERT, "SELECT count(*) FILTER (action = 'insert') AS created, count(*) FILTER (action = 'update') AS updated FROM merged")
 
 
+# ------------------------------------------------------------------ the store
+
+
+def _stored(spark: SparkSession, sf_dir: str, rows: DataFrame) -> Store:
+    store = Store(spark, scratch_folder(spark, "store"), 16)
+    store.commit(rows)
+    return store
+
+
+def _upserted(spark: SparkSession, sf_dir: str) -> Store:
+    """Two thirds of the postings, then two batches with the even ones, some of which have moved to another company."""
+    p = postings(spark, sf_dir)
+    store = _stored(spark, sf_dir, p.where("id % 3 <> 0"))
+    new = p.where("id % 2 = 0").withColumns({"description": F.expr("case when id % 6 = 0 then '' else 'New text' end"), "company": F.expr("case when id % 8 = 0 then 'Moved Ltd' else company end")})
+    for part in ("id % 4 = 0", "id % 4 = 2"):
+        store.upsert(new.where(part).select(*ingest.PAYLOAD), now())
+    return store
+
+
+_MOVED = f"""postings_before AS (SELECT * FROM postings), after AS (SELECT * REPLACE (CASE WHEN id % 8 = 0 THEN 'Moved Ltd' ELSE company END AS company, is_active OR id % 2 = 0 AS is_active,
+  CASE WHEN id % 2 = 0 THEN NULL ELSE expired_at END AS expired_at, CASE WHEN id % 2 = 0 THEN {NOW_SQL} ELSE last_seen_at END AS last_seen_at, CASE WHEN id % 3 = 0 THEN {NOW_SQL} ELSE first_seen_at END AS first_seen_at,
+  CASE WHEN id % 2 = 0 AND (id % 6 <> 0 OR id % 3 = 0) THEN CASE WHEN id % 6 = 0 THEN '' ELSE 'New text' END ELSE description END AS description) FROM postings WHERE id % 3 <> 0 OR id % 2 = 0)"""
+_KNOWN = ["fingerprint", "company", "description", "is_active", "expired_at", "first_seen_at", "last_seen_at"]
+add("store_upsert", lambda s, d: _upserted(s, d).read().select(*_KNOWN))
+ORACLES["store_upsert"] = with_views(_MOVED, f"SELECT {', '.join(_KNOWN)} FROM after")
+add("store_facets", lambda s, d: _upserted(s, d).facets())
+ORACLES["store_facets"] = with_views(_MOVED, _FACETS_SQL.replace("FROM postings", "FROM after"))
+add("store_stats", lambda s, d: _upserted(s, d).stats(now()))
+ORACLES["store_stats"] = with_views(_MOVED, _STATS_SQL.replace("FROM postings", "FROM after"))
+_RARE = Filters(q="Customer#000000007", company="customer")
+add("store_search", lambda s, d: slim(search.search(_stored(s, d, postings(s, d)).searched(MAIN), MAIN, now())), f"SELECT {SLIM_SQL} FROM postings WHERE {MAIN_WHERE} ORDER BY posted_at DESC NULLS LAST, id DESC LIMIT 25")
+add("store_rare_search", lambda s, d: slim(search.matching(_stored(s, d, postings(s, d)).searched(_RARE), _RARE, now())), f"SELECT {SLIM_SQL} FROM postings WHERE is_active AND contains({BLOB_SQL}, 'customer#000000007') AND contains(lower(company), 'customer')")
+add(
+    "store_detail",
+    lambda s, d: (lambda store: search.detail(store.by_id(store.commit_of().top_id), store.commit_of().top_id).select(*_DETAIL))(_stored(s, d, postings(s, d))),
+    f"SELECT {', '.join(_DETAIL)} FROM postings WHERE id = (SELECT max(id) FROM postings)",
+)
+add("store_housekeeping", lambda s, d: _state((lambda store: (store.rewrite(lambda p: lifecycle.housekeeping(p, now())), store.read())[1])(_stored(s, d, postings(s, d)))))
+ORACLES["store_housekeeping"] = with_views(_HOUSE, _state_sql("housed"))
+
+
 def _reindexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.reindex(postings(spark, sf_dir), now())
 
@@ -439,9 +481,7 @@ add("probe_reasons", lambda s, d: probe.reasons(_results(s, d)))
 ORACLES["probe_reasons"] = with_views(_V, "SELECT verdict, reason, count(*) AS n FROM verdicts GROUP BY ALL")
 add("probe_apply", lambda s, d: _state(lifecycle.apply_probes(postings(s, d), _results(s, d), now())))
 _RETIRE = "coalesce(verdict = 'gone' OR (verdict = 'unknown' AND check_failures + 1 >= 3), false)"
-ORACLES["probe_apply"] = with_views(
-    f"{_V}, j AS (SELECT p.*, v.verdict FROM postings p LEFT JOIN verdicts v ON p.id = v.id)",
-    _state_sql(
+_PROBED_SQL = _state_sql(
         "j",
         is_active=f"is_active AND NOT {_RETIRE}",
         expired_at=f"CASE WHEN {_RETIRE} THEN {NOW_SQL} ELSE expired_at END",
@@ -449,11 +489,12 @@ ORACLES["probe_apply"] = with_views(
         last_seen_at=f"CASE WHEN verdict = 'alive' THEN {NOW_SQL} ELSE last_seen_at END",
         last_checked_at=f"CASE WHEN verdict IS NOT NULL THEN {NOW_SQL} ELSE last_checked_at END",
         check_failures="CASE WHEN verdict IN ('alive', 'gone') THEN 0 WHEN verdict = 'unknown' THEN check_failures + 1 ELSE check_failures END",
-    ),
-)
+    )
+ORACLES["probe_apply"] = with_views(f"{_V}, j AS (SELECT p.*, v.verdict FROM postings p LEFT JOIN verdicts v ON p.id = v.id)", _PROBED_SQL)
 add("probe_report", lambda s, d: lifecycle.probe_report(postings(s, d), _results(s, d)))
 ORACLES["probe_report"] = with_views(_V, f"SELECT count(*) AS checked, count(*) FILTER (verdict = 'alive') AS alive, count(*) FILTER (verdict = 'gone') AS gone, count(*) FILTER (verdict = 'unknown') AS inconclusive, count(*) FILTER ({_RETIRE}) AS retired FROM postings JOIN verdicts USING (id)")
 add("maintenance", lambda s, d: _state(lifecycle.maintenance(postings(s, d), _results(s, d), now())[0]))
+ORACLES["maintenance"] = with_views(f"{_HOUSE}, {_V}, j AS (SELECT p.*, v.verdict FROM housed p LEFT JOIN verdicts v ON p.id = v.id)", _PROBED_SQL)
 
 # ------------------------------------------------------------------ runs and events
 
