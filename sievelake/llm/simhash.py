@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelake.llm.components import connected_components
-from sievelake.llm.shared import materialize, n_partitions, small_batches
+from sievelake.llm.shared import materialize, n_partitions, small_batches, unused
 
 RADIUS = 3
 SHINGLE = 3
@@ -130,13 +130,14 @@ def first_of_each_group(docs: DataFrame) -> DataFrame:
 
     Groups are made of fingerprints, so rows that share a doc_id or have none are judged by their texts alone.
     """
+    kept_id, kept_hash, nth = unused(docs, "kept_id", "kept_hash", "nth")
     text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
     keyed = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", text_hash.alias("hash")).alias("key"), "text")
     fps = materialize(fingerprints(keyed, "key"), "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("key"))
     found = connected_components(links(nodes)).withColumnRenamed("node", "fp")
     kept = nodes.join(found, "fp", "left").groupBy(F.coalesce("component", "fp")).agg(F.min("key").alias("key"))
-    kept = kept.select(F.col("key.doc_id").alias("_kept_id"), F.col("key.hash").alias("_kept_hash")).distinct()
-    rows = docs.join(kept, docs.doc_id.eqNullSafe(kept["_kept_id"]) & (text_hash == kept["_kept_hash"]))
-    once = Window.partitionBy("_kept_id", "_kept_hash").orderBy(F.xxhash64(*[docs[c] for c in docs.columns]))
-    return rows.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").select(*[docs[c] for c in docs.columns])
+    kept = kept.select(F.col("key.doc_id").alias(kept_id), F.col("key.hash").alias(kept_hash)).distinct()
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept[kept_id]) & (text_hash == kept[kept_hash]))
+    once = Window.partitionBy(kept_id, kept_hash).orderBy(F.xxhash64(*[docs[c] for c in docs.columns]))
+    return rows.withColumn(nth, F.row_number().over(once)).where(F.col(nth) == 1).select(*[docs[c] for c in docs.columns])

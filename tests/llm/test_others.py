@@ -342,3 +342,54 @@ def test_pipeline(spark):
     ids = {r.doc_id for r in firsts.select("doc_id").collect()}
     out = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == ids
+
+
+def test_pipeline_texts_and_packing(spark, tmp_path):
+    """The rows of run(): the tokens of the texts that remain, packed without gaps; a passage that an earlier document has is gone from them."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, SF).collect()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+    tokens = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {i: [*tok.encode(t or "", add_special_tokens=False).ids, 1] for i, t in tokens.items()}
+    pieces, bins = {}, {}
+    for r in out:
+        pieces.setdefault(r.doc_id, []).append((r.piece, r.start, r.length, r.ids_crc32))
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert pieces.keys() == want.keys()
+    for i, ids in want.items():
+        cut = [ids[k : k + 4096] for k in range(0, len(ids), 4096)]
+        assert sorted(pieces[i]) == [(k, 4096 * k, len(c), zlib.crc32(np.array(c, "<u4").tobytes())) for k, c in enumerate(cut)]
+    for places in bins.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    texts = [" ".join(t.split()) for t in tokens.values() if t]
+    runs = [" ".join(w[k : k + 55]) for w in (t.split() for t in texts) for k in range(0, len(w) - 54, 55)]
+    assert all(sum(run in t for t in texts) == 1 for run in runs[:200])
+
+
+def test_pipeline_stages_with_odd_rows(spark):
+    """Null and repeated rows, empty and null texts, and columns named like those that stages make, in each stage that takes documents."""
+    import corpus_pipeline
+
+    good = "We met by the old river in spring and talked about the long road home while birds were singing."
+    rows = [(1, good, "en", "s", 5, 1, 2), (1, good, "en", "s", 5, 1, 2), (None, good + " Then we left again.", None, None, None, None, None), (2, None, "en", "s", 0, 1, 1), (3, "", "en", "s", 0, 1, 1), (4, "x" * 5000, "en", "s", 1, 2, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, _nth int, _kept_id int").withColumns({c: F.lit(1) for c in ("kept_id", "kept_hash", "_kept_hash", "nth", "score", "predicted", "fp")})
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        got = stage(spark, df, SF)
+        assert got.columns == df.columns and got.count() <= len(rows)
+        assert stage(spark, df.limit(0), SF).count() == 0
+    kept = corpus_pipeline.near_dedup(spark, df, SF).collect()
+    # Null and empty texts are one group, the two equal rows another.
+    assert sorted(r.doc_id is None or r.doc_id for r in kept) == sorted([1, 2, 4, True])
+    assert corpus_pipeline.packed(spark, df, SF).count() >= len(rows)
+    assert corpus_pipeline.packed(spark, df.limit(0), SF).count() == 0
