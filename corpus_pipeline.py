@@ -5,12 +5,10 @@ The driver deletes this file together with the llm folders.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from sievelake.llm import packing, quality_model, quality_rules, simhash, span_dedup
-from sievelake.llm.shared import scratch_dir, table
+from sievelake.llm.shared import drop_table, materialize, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +51,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = table(spark, sf_dir, "documents")
-    at = f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            out.write.parquet(f"{at}/{k}")
-            docs = spark.read.parquet(f"{at}/{k}")
-    return out
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        kept = materialize(stage(spark, docs, sf_dir), f"stage-{k}")
+        if k:
+            drop_table(docs)
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
