@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sievelake import config
 from sievelake.operators import ingest, lifecycle, search
+from sievelake.operators.common import metrics
 from sievelake.session import get_session
 from sievelake.sources import jsonl
 from sievelake.sources.store import Store
@@ -54,7 +55,7 @@ def reindex(spark: SparkSession, store: Store, now, settings: config.Settings) -
         return lifecycle.reindex(p, now, settings.rules).observe(tallies, *lifecycle.reindex_counts())
 
     store.rewrite(change)
-    return dict(tallies.get)
+    return metrics(tallies)
 
 
 def main(argv: list[str] | None = None) -> None:

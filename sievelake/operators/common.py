@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,3 +38,11 @@ def nth_by(df: DataFrame, keys: list, order: list) -> DataFrame:
     from pyspark.sql import Window
 
     return df.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_nth = 1").drop("_nth")
+
+
+def metrics(seen: Observation) -> dict[str, int]:
+    """What an observation has counted; waits for the job that takes it. Spark leaves it out of a plan that turns out to be empty while it runs: nothing then."""
+    try:
+        return dict(seen.get)
+    except Py4JJavaError:
+        return {}

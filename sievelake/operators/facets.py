@@ -106,3 +106,9 @@ def stats(postings: DataFrame, as_of) -> DataFrame:
         F.count_if(~F.col("is_active") & F.col("expired_at").isNotNull()).alias("expired"),
         F.max("last_seen_at").alias("last_seen_at"),
     )
+
+
+def with_last_run(stats: DataFrame, runs: DataFrame) -> DataFrame:
+    """The row of stats() with last_run, the newest run as a struct, null if there is none."""
+    last = runs.orderBy(F.desc("id")).limit(1).select(F.struct("*").alias("last_run"))
+    return stats.join(last, F.lit(True), "left")  # one row each

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievelake.functions import parse, taxonomy, text
 from sievelake.functions.vocab import DEFAULT, Vocabulary
-from sievelake.operators.common import nth_by, where_after
+from sievelake.operators.common import metrics, nth_by, where_after
 
 
 @dataclass(frozen=True)
@@ -108,7 +108,7 @@ def observed(classified: DataFrame) -> tuple[DataFrame, Observation]:
 
 def observed_rejections(seen: Observation) -> dict[str, int]:
     """What rejections() counts, from an observation; waits for the job that takes it."""
-    return {r: n for r, n in seen.get.items() if r in REASONS and n}
+    return {r: n for r, n in metrics(seen).items() if r in REASONS and n}
 
 
 def dedup_richest(postings: DataFrame) -> DataFrame:

@@ -46,6 +46,8 @@ CITY_FRESHERS = Profile(
     location_terms=tuple(vocab.CITY),
     require_startup=True,
 )
+#: Every reason that a profile gives.
+REASONS = ["outside_target_city", "not_fresher", "not_startup"]
 PROFILES = {p.key: p for p in (CITY_FRESHERS,)}
 
 

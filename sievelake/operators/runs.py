@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,21 +36,35 @@ def may_start(runs: DataFrame) -> bool:
     return runs.where(F.col("status") == "running").limit(1).isEmpty()
 
 
-def create(runs: DataFrame, sources: list[str], trigger: str, now: Column) -> DataFrame:
-    """runs plus a new running one; columns it does not set are null."""
+#: What finish() takes from a run's stats, where they have it.
+COUNTERS = ["jobs_seen", "jobs_new", "jobs_updated", "jobs_rejected"]
+
+
+def create(runs: DataFrame, sources: list[str], trigger: str, now: Column, stats: dict | None = None) -> DataFrame:
+    """runs plus a new running one; stats, kept as JSON, holds what is known already, so that a running run tells what it is. Columns it does not set are null."""
     new = runs.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("id")).select(
         "id", F.lit("running").alias("status"), F.lit(trigger).alias("trigger"), F.array(*[F.lit(s) for s in sources]).alias("sources"), F.lit(0).alias("queries_total"), F.lit(0).alias("queries_done"), now.alias("started_at")
     )
+    if "stats" in runs.columns:
+        new = new.withColumn("stats", F.lit(json.dumps(stats or {})))
+    for c in COUNTERS:
+        if c in runs.columns:
+            new = new.withColumn(c, F.lit(0))
     return runs.unionByName(new, allowMissingColumns=True)
 
 
-def finish(runs: DataFrame, run_id: int, status: str, now: Column, error: str | None = None) -> DataFrame:
+def finish(runs: DataFrame, run_id: int, status: str, now: Column, error: str | None = None, stats: dict | None = None) -> DataFrame:
+    """runs with one ended: its duration, its error cut to ERROR_CHARS, and, if stats are given, those and each counter that they have."""
     mine = F.col("id") == run_id
     runs = runs.withColumn("duration_seconds", F.when(mine, duration(F.col("started_at"), now)).otherwise(F.col("duration_seconds")))
-    text = python_slice(F.lit(error), ERROR_CHARS) if error else F.lit(None).cast("string")
-    return runs.withColumns(
-        {"status": F.when(mine, status).otherwise(F.col("status")), "finished_at": F.when(mine, now).otherwise(F.col("finished_at")), "error": F.when(mine, text).otherwise(F.col("error"))}
-    )
+    new = {"status": F.lit(status), "finished_at": now}
+    if error:
+        new["error"] = python_slice(F.lit(error), ERROR_CHARS)
+    if stats:
+        new |= {c: F.lit(int(stats[c])) for c in COUNTERS if c in stats and c in runs.columns}
+        if "stats" in runs.columns:
+            new["stats"] = F.lit(json.dumps(stats))
+    return runs.withColumns({c: F.when(mine, v.cast(runs.schema[c].dataType)).otherwise(F.col(c)) for c, v in new.items()})
 
 
 def reap(runs: DataFrame, now: Column, minutes: int | None = ORPHAN_MINUTES) -> DataFrame:

@@ -5,18 +5,20 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievelake.functions import parse, taxonomy, text, vocab
 from sievelake.functions.matcher import compile_terms, has_term
+from sievelake.functions.vocab import DEFAULT
 from sievelake.operators import facets, ingest, lifecycle, probe, profiles, runs, search
 from sievelake.operators.common import scratch_folder
 from sievelake.operators.search import Filters
 from sievelake.plans import fixtures
 from sievelake.plans.fixtures import AS_OF, DESCRIPTIONS, case_of, oracle, view
-from sievelake.sources import boards, html_text, jsonl
+from sievelake.sources import boards, html_text, jsonl, paged
 from sievelake.sources.store import Store
+from sievelake.streaming import tail
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -292,6 +294,88 @@ _STARTUP = "d = 2 AND company <> 'Infosys Limited'"
 add("startup", lambda s, d: raw(s, d).select("raw_id", taxonomy.is_enterprise(F.col("company")).alias("enterprise"), taxonomy.startup_signal(F.col("company"), F.col("title"), F.col("description")).alias("signal"), taxonomy.is_startup(F.col("company"), F.col("title"), F.col("description")).alias("startup")),
     f"SELECT raw_id, company = 'Infosys Limited' AS enterprise, CASE WHEN d = 2 THEN 'early-stage' END AS signal, {_STARTUP} AS startup FROM postings_raw")
 
+# Texts that differ from row to row, and oracles that find the terms in them.
+_SKILL_TERMS = fixtures.plain(DEFAULT.alias_to_skill)
+_VARIED = fixtures.varied(
+    fixtures.plain([*vocab.STRONG_TECH, *vocab.GENERIC_ROLES, *vocab.QUALIFIERS, *vocab.NON_TECH, *vocab.INTERN_TERMS, *vocab.LEAD_TERMS, *vocab.SENIOR_TERMS, *vocab.JUNIOR_TERMS]),
+    _SKILL_TERMS, fixtures.plain([*vocab.DEAD_PHRASES, *vocab.STARTUP_SIGNALS, *vocab.REMOTE_TERMS, *vocab.HYBRID_TERMS, *DEFAULT.keyword_to_category, "0 years of experience", "minimum 4 years of experience"]), _SKILL_TERMS,
+)
+
+
+def _varied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "varied", _VARIED)
+
+
+def add_varied(name: str, run: Callable[[DataFrame], DataFrame], select: str, more: str = "") -> None:
+    QUERIES[name] = lambda s, d: run(_varied(s, d))
+    ORACLES[name] = with_views(f"{_VARIED}{', ' if more else ''}{more}", select)
+
+
+def _map_sql(mapping: dict[str, str]) -> str:
+    return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in mapping.items() if fixtures.plain([k], "'|+#")) + "}"
+
+
+_FOUND_SQL = f"""named AS (SELECT *, list_distinct(list_transform(regexp_extract_all(title || ' ' || chr(10) || ' ' || description, '{_any(_SKILL_TERMS)}'), lambda m: {_map_sql(DEFAULT.alias_to_skill)}[lower(m)])) AS all_found FROM varied),
+found AS (SELECT *, list_sort(all_found)[1:{taxonomy.MAX_SKILLS}] AS skills FROM named)"""
+add_varied("varied_skills", lambda v: v.select("raw_id", joined(taxonomy.extract_skills(F.col("title"), F.col("description"))).alias("skills")), "SELECT raw_id, array_to_string(skills, '|') AS skills FROM found", _FOUND_SQL)
+_WORDS = fixtures.plain(DEFAULT.keyword_to_category, "'|+#")  # names of skills like Node.js are matched too
+_HITS_SQL = f"""{_FOUND_SQL}, hits AS (
+  SELECT raw_id, 1 AS part, 5 AS w, regexp_extract_all(title, '{_any(_WORDS)}') AS ms FROM found UNION ALL SELECT raw_id, 2, 2, regexp_extract_all(array_to_string(skills, ' '), '{_any(_WORDS)}') FROM found
+  UNION ALL SELECT raw_id, 3, 1, regexp_extract_all(description[1:4000], '{_any(_WORDS)}') FROM found),
+each_hit AS (SELECT raw_id, w, part * 100000 + i AS place, {_map_sql(DEFAULT.keyword_to_category)}[lower(ms[i])] AS name FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM hits)),
+ranks AS (SELECT unnest({list(vocab.CATEGORIES)}) AS name, generate_subscripts({list(vocab.CATEGORIES)}, 1) AS rank),
+scored AS (SELECT raw_id, name, sum(w) AS score, min(place) AS nth, any_value(rank) AS rank FROM each_hit JOIN ranks USING (name) GROUP BY raw_id, name)"""
+
+
+def _varied_scores(v: DataFrame) -> DataFrame:
+    found = v.withColumn("skills", taxonomy.extract_skills(F.col("title"), F.col("description")))
+    return found.withColumn("scores", taxonomy.category_scores(F.col("title"), F.col("skills"), F.col("description")))
+
+
+add_varied("varied_category_scores", lambda v: _varied_scores(v).select("raw_id", F.inline("scores")).select("raw_id", "name", F.col("score").cast("long")), "SELECT raw_id, name, CAST(score AS BIGINT) AS score FROM scored", _HITS_SQL)
+add_varied(
+    "varied_categories",
+    lambda v: _varied_scores(v).select("raw_id", taxonomy.best_category(F.col("scores")).alias("category")),
+    """SELECT v.raw_id, CASE WHEN s.raw_id IS NULL THEN 'Other' WHEN back >= 5 AND front >= 5 THEN 'Full Stack' ELSE best END AS category FROM varied v
+    LEFT JOIN (SELECT raw_id, arg_min(name, -score * 1000 + rank) AS best, sum(score) FILTER (name = 'Backend') AS back, sum(score) FILTER (name = 'Frontend') AS front FROM scored GROUP BY 1) s ON v.raw_id = s.raw_id""",
+    _HITS_SQL,
+)
+add_varied(
+    "varied_secondary_categories",
+    lambda v: _varied_scores(v).select("raw_id", joined(taxonomy.top_categories(F.col("scores"))).alias("categories")),
+    """SELECT v.raw_id, coalesce(c, '') AS categories FROM varied v LEFT JOIN (SELECT raw_id, string_agg(name, '|' ORDER BY score DESC, nth) AS c
+    FROM (SELECT *, row_number() OVER (PARTITION BY raw_id ORDER BY score DESC, nth) AS k FROM scored) WHERE k <= 3 AND score >= 2 GROUP BY 1) s ON v.raw_id = s.raw_id""",
+    _HITS_SQL,
+)
+add_varied(
+    "varied_is_tech",
+    lambda v: v.withColumn("skills", taxonomy.extract_skills(F.col("title"), F.col("description"))).select("raw_id", taxonomy.is_tech(F.col("title"), F.col("description"), F.col("skills")).alias("is_tech")),
+    f"SELECT raw_id, {TECH_SQL} AS is_tech FROM found",
+    _FOUND_SQL,
+)
+add_varied(
+    "varied_seniority",
+    lambda v: v.select("raw_id", taxonomy.seniority(F.col("title"), F.lit(""), F.lit(None).cast("int")).alias("seniority")),
+    f"""SELECT raw_id, CASE WHEN {_has('title', vocab.INTERN_TERMS)} THEN 'intern' WHEN {_has('title', vocab.LEAD_TERMS)} THEN 'lead' WHEN {_has('title', vocab.SENIOR_TERMS)} THEN 'senior'
+    WHEN {_has('title', vocab.FRESHER_TERMS)} THEN 'fresher' WHEN {_has('title', vocab.JUNIOR_TERMS)} THEN 'junior' ELSE 'mid' END AS seniority FROM varied""",
+)
+add_varied(
+    "varied_work_mode",
+    lambda v: v.select("raw_id", taxonomy.work_mode(F.lit("Pune"), F.col("title"), F.col("description")).alias("work_mode")),
+    f"SELECT raw_id, CASE WHEN {_has('t', vocab.HYBRID_TERMS)} THEN 'hybrid' WHEN {_has('t', vocab.REMOTE_TERMS)} THEN 'remote' ELSE 'onsite' END AS work_mode FROM (SELECT *, 'Pune ' || title || ' ' || description[1:600] AS t FROM varied)",
+)
+add_varied(
+    "varied_looks_dead",
+    lambda v: v.select("raw_id", taxonomy.looks_dead(F.col("description")).alias("dead")),
+    "SELECT raw_id, " + " OR ".join(f"contains(lower(description[1:4000]), '{p}')" for p in vocab.DEAD_PHRASES) + " AS dead FROM varied",
+)
+_SIGNALS = fixtures.plain(vocab.STARTUP_SIGNALS)
+add_varied(
+    "varied_startup",
+    lambda v: v.select("raw_id", taxonomy.is_enterprise(F.col("company")).alias("enterprise"), taxonomy.startup_signal(F.col("company"), F.col("title"), F.col("description")).alias("signal")),
+    f"SELECT raw_id, {_has('company', [*vocab.ENTERPRISE, *vocab.STAFFING])} AS enterprise, nullif(lower(regexp_extract(description, '{_any(_SIGNALS)}')), '') AS signal FROM varied",
+)
+
 # ------------------------------------------------------------------ ingest
 
 CLEANED = DESCRIPTIONS[0].replace("  ", " ")
@@ -514,6 +598,29 @@ add("events_replay", lambda s, d: runs.replay(view(s, d, "run_events"), 20).sele
     "SELECT event_id, run_id FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, event_id DESC) AS nth FROM run_events) WHERE nth <= 20")
 add("events_prune", lambda s, d: runs.prune(view(s, d, "run_events"), _runs(s, d)).groupBy("run_id").agg(F.count("*").alias("n")),
     "SELECT run_id, count(*) AS n FROM run_events WHERE run_id NOT IN (SELECT id FROM runs WHERE status <> 'running' AND id NOT IN (SELECT id FROM runs WHERE status <> 'running' ORDER BY id DESC LIMIT 10)) GROUP BY 1")
+add("event_progress", lambda s, d: runs.event_progress(view(s, d, "run_events").withColumns({"done": F.col("event_id") % 77, "total": F.col("event_id") % 99})),
+    "SELECT run_id, max(event_id % 77) AS done, max(event_id % 99) AS total FROM run_events GROUP BY 1")
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What new subscribers to all runs are sent: a streaming query over the landed events, with a backlog of 6; every 13th event ends its run."""
+    at = scratch_folder(spark, "events")
+    events = view(spark, sf_dir, "run_events").withColumn("type", F.expr("case when event_id % 13 = 0 then 'done' else type end"))
+    events.write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(events.schema).parquet(f"{at}/in")
+    tail.start(stream, lambda rows, n: rows.write.mode("overwrite").parquet(f"{at}/out/{n}"), f"{at}/checkpoint", backlog=6).awaitTermination()
+    return spark.read.schema(tail.TAILED).option("recursiveFileLookup", "true").parquet(f"{at}/out")
+
+
+add("events_tail", lambda s, d: _streamed(s, d).select("run_id", "event_id", "nth"),
+    """SELECT run_id, event_id, row_number() OVER (PARTITION BY run_id ORDER BY ts, event_id) AS nth FROM (SELECT *, min(CASE WHEN event_id % 13 = 0 THEN back END) OVER (PARTITION BY run_id) AS none,
+      max(CASE WHEN event_id % 13 = 0 THEN back END) OVER (PARTITION BY run_id) AS first_done FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, event_id DESC) AS back FROM run_events) WHERE back <= 6)
+    WHERE first_done IS NULL OR back >= first_done""")
+_SIDE = lambda p, c, f: lifecycle.after_run(p, now(), cancelled=c, profile_run=f).agg(F.count_if("is_active").alias("active"), F.count("*").alias("total"))
+add("housekeeping_guard", lambda s, d: boards.union_all([_SIDE(postings(s, d), c, f).withColumn("guarded", F.lit(c or f)) for c, f in ((False, False), (True, False), (False, True))]))
+ORACLES["housekeeping_guard"] = with_views(_HOUSE, "SELECT count(*) FILTER (is_active) AS active, count(*) AS total, false AS guarded FROM housed UNION ALL (SELECT count(*) FILTER (is_active), count(*), true FROM postings, range(2) GROUP BY range)")
+add("dashboard", lambda s, d: facets.with_last_run(facets.stats(postings(s, d), now()), _runs(s, d)).select("total", "active", "companies", F.col("last_run.id").alias("last_run"), F.col("last_run.status").alias("last_status")),
+    "SELECT count(*) AS total, count(*) FILTER (is_active) AS active, count(DISTINCT company) FILTER (is_active) AS companies, (SELECT max(id) FROM runs) AS last_run, (SELECT status FROM runs ORDER BY id DESC LIMIT 1) AS last_status FROM postings")
 add("failure_streaks", lambda s, d: runs.failure_streaks(s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("id"), (F.col("ts") + F.make_dt_interval(secs=F.col("event_id") / 1e6)).alias("ts"), F.when(F.col("event_type") == "error", "unknown").otherwise("alive").alias("verdict"))).groupBy("id").agg(F.max("streak").alias("longest")),
     """SELECT id, max(streak) AS longest FROM (SELECT id, sum(f) OVER (PARTITION BY id, block ORDER BY ts, event_id) AS streak FROM (
     SELECT *, sum(1 - f) OVER (PARTITION BY id ORDER BY ts, event_id) AS block FROM (SELECT user_id AS id, ts, event_id, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS f FROM events))) GROUP BY id""", views=False)
@@ -556,4 +663,63 @@ add(
 )
 add("jsonl_export", lambda s, d: jsonl.export_rows(postings(s, d)).select("title", "company", "apply_link", "posted_at", "scraped_at"),
     "SELECT title, company, apply_link, strftime(posted_at, '%Y-%m-%dT%H:%M:%S+00:00') AS posted_at, strftime(first_seen_at, '%Y-%m-%dT%H:%M:%S+00:00') AS scraped_at FROM postings WHERE is_active")
+_SHEET = "<div class=\"srp-jobtuple-wrapper\"><a class=\"title\" href=\"/job-listings-{1}-12345{0}?x=1\">{1}</a><a class=\"comp-name\">{2}</a><span class=\"loc-wrap\"><span>{3}</span></span><span class=\"expwdth\">0-2 Yrs</span><ul class=\"tags-gt\"><li>Go</li><li>SQL</li></ul><span class=\"job-post-day\">2 days ago</span></div>"
+
+
+def _filled(spark: SparkSession, sf_dir: str, template: str, rows: DataFrame | None = None) -> DataFrame:
+    """page_id, html of a page for each raw posting."""
+    parts = re.split(r"\{(\d)\}", template)
+    columns = [F.col("raw_id").cast("string"), F.col("title"), F.col("company"), F.col("location"), F.col("description")]
+    rows = raw(spark, sf_dir) if rows is None else rows
+    return rows.withColumns({"page_id": F.col("raw_id"), "html": F.concat(*[columns[int(p)] if k % 2 else F.lit(p) for k, p in enumerate(parts)])})
+
+
+add("sheet_cards", lambda s, d: boards.naukri_cards(_filled(s, d, _SHEET).select("page_id", "html"), now()).select("page_id", "external_id", "title", "company", "location", "experience_text", "posted_at", joined("declared_skills").alias("tags")),
+    f"SELECT CAST(raw_id AS VARCHAR) AS page_id, CASE WHEN raw_id >= 100 THEN '12345' || raw_id END AS external_id, title, company, location, '0-2 Yrs' AS experience_text, {NOW_SQL} - INTERVAL 2 DAY AS posted_at, 'Go|SQL' AS tags FROM postings_raw")
+_DETAIL_PAGE = "<div class=\"show-more-less-html__markup\"><p>{4}</p></div><li class=\"description__job-criteria-item\"><h3 class=\"description__job-criteria-subheader\">Seniority level</h3><span class=\"description__job-criteria-text\">Associate</span></li>"
+add(
+    "detail_pages",
+    lambda s, d: boards.attach_details(
+        raw(s, d).select(F.col("raw_id").cast("string").alias("external_id"), F.lit("").alias("description"), F.col("experience_text")),
+        boards.linkedin_details(_filled(s, d, _DETAIL_PAGE, raw(s, d).where("raw_id % 2 = 0")).select(F.col("raw_id").cast("string").alias("external_id"), "html")),
+    ).select("external_id", F.trim("description").alias("description"), "experience_text"),
+    "SELECT CAST(raw_id AS VARCHAR) AS external_id, CASE WHEN raw_id % 2 = 0 THEN trim(regexp_replace(description, '\\s+', ' ', 'g')) ELSE '' END AS description, CASE WHEN raw_id % 2 = 0 THEN 'Associate' ELSE experience_text END AS experience_text FROM postings_raw",
+)
+
+
+def _landed(spark: SparkSession, sf_dir: str) -> str:
+    """Pages of ten cards by title, as a fetcher would have landed them; the third page of every second title is empty."""
+    nth = F.row_number().over(Window.partitionBy("t").orderBy("raw_id"))
+    cards = _filled(spark, sf_dir, _CARD).withColumn("page", F.ceil(nth / 10).cast("int")).where("page <= 5")
+    empty = (F.col("t") % 2 == 0) & (F.col("page") == 3)
+    at = scratch_folder(spark, "landed")
+    pages = cards.groupBy(F.col("t").cast("string").alias("query"), "page").agg(F.when(F.first(empty), "<p>none</p>").otherwise(F.array_join(F.sort_array(F.collect_list("html")), "")).alias("html"))
+    pages.repartition("query", "page").write.partitionBy("query", "page").text(at)
+    return at
+
+
+def _fetched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return paged.SOURCES["linkedin"].fetch(spark, _landed(spark, sf_dir), [str(t) for t in range(8)], now())
+
+
+_PAGED = "paged AS (SELECT *, CAST(ceil(nth / 10.0) AS INT) AS page FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY raw_id) AS nth FROM postings_raw)), seen AS (SELECT * FROM paged WHERE page <= 4 AND (t % 2 = 1 OR page < 3))"
+add("paged_cards", lambda s, d: _fetched(s, d)[0].select("query", "page", "external_id", "title"))
+ORACLES["paged_cards"] = with_views(_PAGED, "SELECT CAST(t AS VARCHAR) AS query, page, CAST(raw_id AS VARCHAR) AS external_id, title FROM seen")
+add("paged_report", lambda s, d: _fetched(s, d)[1])
+ORACLES["paged_report"] = with_views(_PAGED, "SELECT 'linkedin' AS source, CAST(t AS VARCHAR) AS query, page, CASE WHEN t % 2 = 0 AND page = 3 THEN 'empty' ELSE 'ok' END AS status, CASE WHEN t % 2 = 0 AND page = 3 THEN 0 ELSE count(*) END AS cards FROM paged WHERE page <= 4 AND (t % 2 = 1 OR page <= 3) GROUP BY t, page")
+add("sources_union", lambda s, d: ingest.per_source(boards.union_all([boards.linkedin_cards(_filled(s, d, _CARD).select("page_id", "html"), now()), boards.naukri_cards(_filled(s, d, _SHEET).select("page_id", "html"), now())])),
+    "SELECT 'linkedin' AS source, count(*) AS n FROM postings_raw UNION ALL SELECT 'naukri', count(*) FROM postings_raw")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exported rows as a file of JSON Lines, in which every 50th line is broken."""
+    rows = postings(spark, sf_dir)
+    record = F.to_json(F.struct("title", "company", F.col("apply_link"), F.col("skills"), F.date_format("posted_at", "yyyy-MM-dd").alias("scraped_at")))
+    at = scratch_folder(spark, "lines")
+    rows.select(F.when(F.col("id") % 50 == 0, F.concat(F.lit("!"), record)).otherwise(record)).write.text(at)
+    return jsonl.read(spark, at)
+
+
+add("jsonl_import", lambda s, d: jsonl.to_raw(_lines(s, d)).select("title", "company", "apply_link", joined("declared_skills").alias("tags")), "SELECT title, company, apply_link, array_to_string(skills, '|') AS tags FROM postings WHERE id % 50 <> 0")
+add("jsonl_malformed", lambda s, d: jsonl.malformed(_lines(s, d)).select("malformed"), "SELECT count(*) AS malformed FROM postings WHERE id % 50 = 0")
 add("search_queries", lambda s, d: s.createDataFrame([(k, q) for k, q in enumerate(profiles.resolve_queries(None, 12))], "nth int, query string"))

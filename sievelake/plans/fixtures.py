@@ -95,13 +95,34 @@ def ctes(dialect: str) -> str:
     return f"{raw}, {post}"
 
 
+def plain(terms, but: str = "'|+#.") -> list[str]:
+    """The terms that begin and end with a letter or digit and hold none of but: on texts of these, word boundaries say what the matcher's edges say."""
+    return sorted({t.lower() for t in terms if t[:1].isalnum() and t[-1:].isalnum() and not set(t) & set(but)})
+
+
+def varied(titles: list[str], skills: list[str], phrases: list[str], aliases: list[str]) -> str:
+    """A view of texts that differ by row: titles of two terms, descriptions of six skills and two phrases, and of many skills on every 40th row.
+
+    Which terms a row gets follows from its number, so both engines make the same texts and everything else has to be computed from them.
+    """
+
+    def pick(terms: list[str], k: int, step: int) -> str:
+        return f"split_part('{'|'.join(terms)}', '|', CAST(1 + ({k} + raw_id * {step}) % {len(terms)} AS INT))"
+
+    some = " || ', ' || ".join(pick(skills, 7 * k, 2 * k + 1) for k in range(6))
+    many = " || ' / ' || ".join(pick(aliases, 5 * k, 11) for k in range(70))
+    company = pick(plain(["Nimbus Works", "Infosys", "Blue Staffing", "Orchard Labs", "Deloitte", "Quill Tech", "Placement Point", "Series Labs"]), 0, 1)
+    return f"""varied AS (SELECT raw_id, {pick(titles, 0, 1)} || ' - ' || {pick(titles, 3, 7)} AS title, {company} AS company,
+    'We need ' || {some} || '. ' || {pick(phrases, 0, 1)} || '. Also ' || {pick(phrases, 5, 3)} || '.' || CASE WHEN raw_id % 40 = 0 THEN ' And ' || {many} ELSE '' END AS description FROM postings_raw)"""
+
+
 def oracle(select: str) -> str:
     """DuckDB SQL: the views, then the select."""
     return f"WITH {ctes('duckdb')} {select}"
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the views above as a DataFrame."""
+def view(spark: SparkSession, sf_dir: str, name: str, more: str = "") -> DataFrame:
+    """One of the views above as a DataFrame; more: further views."""
     for t in TABLES:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return spark.sql(f"WITH {ctes('spark')} SELECT * FROM {name}")
+    return spark.sql(f"WITH {ctes('spark')}{', ' if more else ''}{more} SELECT * FROM {name}")
