@@ -7,12 +7,12 @@ backtracking to a shorter one where the right edge fails, and the regex engine t
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The edges of a term, which decide what counts as a match.
 LEFT = r"(?<![A-Za-z0-9+#])(?<![A-Za-z0-9]\.)"
 RIGHT = r"(?![A-Za-z0-9+#])(?!\.[A-Za-z0-9])"
 
@@ -49,12 +49,6 @@ def compile_terms(terms: Iterable[str]) -> str:
     return f"(?i){LEFT}(?:{_trie(unique)}){RIGHT}"
 
 
-def compile_flat(terms: Iterable[str]) -> str:
-    """The same language as a plain alternation, longest first; kept as the yardstick of the trie."""
-    unique = sorted({t.lower() for t in terms if t}, key=lambda t: (-len(t), t))
-    return f"(?i){LEFT}(?:{'|'.join(map(re.escape, unique))}){RIGHT}"
-
-
 def has_term(text: Column, pattern: str) -> Column:
     return F.coalesce(text, F.lit("")).rlike(pattern)
 
@@ -79,6 +73,10 @@ def spans(text: Column, pattern: str) -> Column:
     """array<struct<start, match>>: every match with its offset (from 0, in code points)."""
     parts = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    total = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.length(x))
-    at = lambda i: total(F.slice(parts, F.lit(1), i + 1)) + total(F.slice(found, F.lit(1), i))
-    return F.transform(found, lambda m, i: F.struct(at(i).alias("start"), m.alias("match")))
+    # One walk over the parts between matches carries the offset of the end so far.
+    number = F.transform(found, lambda m, i: i)
+    begin = lambda acc, i: acc["end"] + F.length(F.get(parts, i))
+    step = lambda acc, i: F.struct((begin(acc, i) + F.length(F.get(found, i))).alias("end"), F.array_append(acc["starts"], begin(acc, i)).alias("starts"))
+    none = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("starts"))
+    starts = F.aggregate(number, none, step, lambda acc: acc["starts"])
+    return F.zip_with(starts, found, lambda at, m: F.struct(at.alias("start"), m.alias("match")))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sievelake.functions.vocab import DEFAULT, Vocabulary
@@ -13,6 +16,25 @@ from sievelake.sources.markers import Lease
 from sievelake.sources.store import Store
 
 
+def tag_of(run_id: int) -> str:
+    return f"run-{run_id}"
+
+
+@contextmanager
+def jobs_of(spark: SparkSession, run_id: int) -> Iterator[None]:
+    """Every job that this thread starts inside belongs to the run, so that cancel() finds it."""
+    spark.sparkContext.addJobTag(tag_of(run_id))
+    try:
+        yield
+    finally:
+        spark.sparkContext.removeJobTag(tag_of(run_id))
+
+
+def cancel(spark: SparkSession, run_id: int) -> None:
+    """Stop the run's jobs at once; what it has committed stays, and what it was writing is part of no version. For a stop between batches see streaming."""
+    spark.sparkContext.cancelJobsWithTag(tag_of(run_id))
+
+
 class Busy(RuntimeError):
     """Another run is going on."""
 

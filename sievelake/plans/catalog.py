@@ -422,10 +422,37 @@ ORACLES["profile_funnel"] = with_views(
     f"""SELECT CASE WHEN l <> 0 THEN 'outside_target_city' WHEN experience_min > 1 OR (coalesce(experience_min, 1) <> 0 AND seniority NOT IN ('fresher', 'intern')) THEN 'not_fresher'
     WHEN NOT ({_STARTUP}) THEN 'not_startup' ELSE 'kept' END AS reason, count(*) AS n FROM stored GROUP BY 1""",
 )
-add("profile_catalogue", lambda s, d: profiles.catalogue(s).withColumn("queries", joined("queries")))
-add(
-    "meta_catalogue",
-    lambda s, d: s.createDataFrame([("category", c) for c in sorted(vocab.CATEGORIES)] + [("seniority", x) for x in vocab.SENIORITY_LEVELS] + [("work_mode", m) for m in vocab.WORK_MODES] + [("skill", k) for k in sorted(vocab.SKILLS)], "kind string, value string"),
+
+
+def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every profile, with how many of the ingested postings it keeps."""
+    rows = ingest.ingest(raw(spark, sf_dir), now())
+    out = profiles.catalogue(spark).withColumn("queries", joined("queries"))
+    kept = [profiles.profile_kept(profiles.apply_profile(rows, p)).agg(F.lit(key).alias("key"), F.count("*").alias("kept")) for key, p in profiles.PROFILES.items()]
+    return out.join(boards.union_all(kept), "key")
+
+
+add("profile_catalogue", lambda s, d: _profiles(s, d).select("key", "location", "query_count", "max_experience_years", "require_startup", "kept"))
+ORACLES["profile_catalogue"] = with_views(
+    INGEST_CTE,
+    f"""SELECT '{profiles.CITY_FRESHERS.key}' AS key, '{profiles.CITY_FRESHERS.location}' AS location, {len(vocab.FRESHER_QUERIES)} AS query_count, {profiles.CITY_FRESHERS.max_experience_years} AS max_experience_years, true AS require_startup,
+    count(*) FILTER (l = 0 AND NOT (coalesce(experience_min, 0) > 1 OR (coalesce(experience_min, 1) <> 0 AND seniority NOT IN ('fresher', 'intern'))) AND ({_STARTUP})) AS kept FROM stored""",
+)
+_META = {"category": sorted(vocab.CATEGORIES), "seniority": vocab.SENIORITY_LEVELS, "work_mode": vocab.WORK_MODES, "skills": sorted(vocab.SKILLS)}
+
+
+def _meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values that a search can ask for, with how many active postings have each."""
+    known = spark.createDataFrame([(kind, value) for kind, values in _META.items() for value in values], "facet string, value string")
+    p = postings(spark, sf_dir).where("is_active")
+    return known.join(facets.counted(p.select(F.explode(facets.entries(p)).alias("e")), 1), ["facet", "value"], "left").select(F.col("facet").alias("kind"), "value", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+add("meta_catalogue", _meta)
+ORACLES["meta_catalogue"] = with_views(
+    "known AS (" + " UNION ALL ".join(f"SELECT '{kind}' AS kind, unnest({values}) AS value" for kind, values in _META.items()) + """),
+    has AS (SELECT 'skills' AS kind, unnest(skills) AS value FROM postings WHERE is_active UNION ALL SELECT 'category', category FROM postings WHERE is_active UNION ALL SELECT 'seniority', seniority FROM postings WHERE is_active UNION ALL SELECT 'work_mode', work_mode FROM postings WHERE is_active)""",
+    "SELECT kind, value, (SELECT count(*) FROM has WHERE has.kind = known.kind AND has.value = known.value) AS n FROM known",
 )
 
 # ------------------------------------------------------------------ lifecycle
@@ -722,4 +749,15 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add("jsonl_import", lambda s, d: jsonl.to_raw(_lines(s, d)).select("title", "company", "apply_link", joined("declared_skills").alias("tags")), "SELECT title, company, apply_link, array_to_string(skills, '|') AS tags FROM postings WHERE id % 50 <> 0")
 add("jsonl_malformed", lambda s, d: jsonl.malformed(_lines(s, d)).select("malformed"), "SELECT count(*) AS malformed FROM postings WHERE id % 50 = 0")
-add("search_queries", lambda s, d: s.createDataFrame([(k, q) for k, q in enumerate(profiles.resolve_queries(None, 12))], "nth int, query string"))
+_CATALOGUE = profiles.resolve_queries(None, 12)
+
+
+def _asked_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search catalogue, with how many raw postings have each query's words in their title."""
+    titles = raw(spark, sf_dir).groupBy(F.lower("title").alias("t")).agg(F.count("*").alias("n"))
+    hits = titles.select("n", F.explode(F.filter(F.array(*[F.lit(q) for q in _CATALOGUE]), lambda q: F.col("t").contains(q))).alias("query"))
+    known = spark.createDataFrame(list(enumerate(_CATALOGUE)), "nth int, query string")
+    return known.join(hits.groupBy("query").agg(F.sum("n").alias("n")), "query", "left").select("nth", "query", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+add("search_queries", _asked_titles, f"SELECT CAST(k - 1 AS INT) AS nth, q[k] AS query, (SELECT count(*) FROM postings_raw WHERE contains(lower(title), q[k])) AS n FROM (SELECT {_CATALOGUE} AS q, unnest(range(1, {len(_CATALOGUE) + 1})) AS k)")

@@ -1,9 +1,11 @@
 """Paged sources, live events and whole runs."""
 
 import os
+import time
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark import InheritableThread
 from pyspark.sql import functions as F
 
 from sievelake.operators import facets, ingest, lifecycle, profiles, runs, scrape
@@ -195,3 +197,44 @@ def test_a_cancelled_stream_keeps_its_batches_and_goes_on(spark, tmp_path, raw):
     assert go(lambda: False)
     whole = lifecycle.upsert(empty, ingest.ingest(raw, now), now)
     assert {r.fingerprint for r in store.read().collect()} == {r.fingerprint for r in whole.collect()} and store.versions() == [1, 2, 3]
+
+
+def test_cancel_stops_the_jobs_of_one_run(spark, tmp_path, raw):
+    empty, now = catalog.postings(spark, SF).limit(0), catalog.now()
+    store = Store(spark, str(tmp_path / "s"), 4)
+    store.commit(catalog.postings(spark, SF))
+
+    def slow(batches):
+        for b in batches:
+            time.sleep(60)
+            yield b
+
+    stuck, caught = raw.limit(20).mapInPandas(slow, raw.schema), []
+
+    def run():
+        with scrape.jobs_of(spark, 7):
+            try:
+                scrape.run_once(store, stuck, now, 0.0, empty)
+            except Exception as e:
+                caught.append(str(e))
+
+    thread = InheritableThread(target=run)
+    began = time.time()
+    thread.start()
+    while not spark.sparkContext.statusTracker().getActiveJobsIds():
+        time.sleep(0.1)
+    time.sleep(1)
+    scrape.cancel(spark, 8)  # another run's
+    assert thread.is_alive()
+    scrape.cancel(spark, 7)
+    thread.join(45)
+    assert caught and "cancel" in caught[0].lower() and time.time() - began < 50
+    assert store.versions() == [1] and Lease(store.markers).acquire(1.0) is not None  # the lease was given back
+
+
+def test_only_the_best_row_of_each_task_travels(spark, tmp_path, raw):
+    """One wide row for a fingerprint and task crosses the shuffle, and the most frequent values of a task."""
+    plan = ingest.dedup_richest(raw.withColumn("fingerprint", F.sha1("title")))._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan.split("Exchange hashpartitioning")[1]
+    plan = facets.all_facets(catalog.postings(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 4 and "Partial" in plan  # in both the first and the current plan
