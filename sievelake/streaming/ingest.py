@@ -28,8 +28,9 @@ def finished(query: StreamingQuery) -> bool:
         return False
 
 
-def stream_upsert(raw: DataFrame, store: Store, empty: DataFrame, as_of: Column, checkpoint: str, rules: IngestRules = IngestRules(), v: Vocabulary = DEFAULT, cancelled: Callable[[], bool] = lambda: False) -> StreamingQuery:
-    """Each micro-batch of raw postings is classified, deduplicated and upserted into the store; ends when what is there has been read.
+def stream_upsert(raw: DataFrame, store: Store, empty: DataFrame, as_of: Column, checkpoint: str, rules: IngestRules = IngestRules(), v: Vocabulary = DEFAULT, cancelled: Callable[[], bool] = lambda: False, every: str | None = None) -> StreamingQuery:
+    """Each micro-batch of raw postings is classified, deduplicated and upserted into the store; ends when what is there has been read, or
+    goes on for ever with a batch as often as every says ("10 minutes").
 
     empty has the columns of the store. A batch rewrites the buckets it touches only. The commit holds the batch's number under the checkpoint's
     name, so a batch that is replayed after a failure is not stored twice. Former versions stay for an hour, for those who read them.
@@ -44,7 +45,8 @@ def stream_upsert(raw: DataFrame, store: Store, empty: DataFrame, as_of: Column,
         store.upsert(ingest(rows, as_of, rules, v), as_of, batch=(checkpoint, n), empty=empty)
         store.vacuum()
 
-    return raw.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = raw.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
 def read_landed(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_batch: int = 1000) -> DataFrame:
