@@ -17,6 +17,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievelake.llm.shared import materialize
+
 # The public wordings of licences and of their usual notices, in the SPDX list's names.
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 _ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
@@ -126,12 +128,12 @@ def may_reach(text: Column) -> Column:
     greatest at most; each distinct unknown term adds one square at least.
     """
     idf, other, _ = weights()
-    known = F.array(*[F.lit(t) for t in sorted(idf)])
     heavy = _any(sorted(t for t, w in idf.items() if w > other / 2))
     strong = F.regexp_count(text, F.lit(heavy))
 
     def test(words: Column) -> Column:
-        strange = F.size(F.array_except(words, known))
+        # A set of literals is hashed once for all texts, the array that array_except() takes once for each.
+        strange = F.size(F.array_distinct(F.filter(words, lambda t: ~t.isin(*sorted(idf)))))
         # The cheaper test, with all known terms taken for heavy ones, goes first.
         most = 4 / math.e * (1 - _ENOUGH)
         return (most * (F.size(words) - strange) >= _ENOUGH * strange) & (most * (strong + 0.25 * (F.size(words) - strange - strong)) >= _ENOUGH * strange)
@@ -177,18 +179,22 @@ def scan(files: DataFrame, text_col: str = "text") -> DataFrame:
     rows = [(spdx, k, t, x, idf[t], str(len(v) > _SHORT).lower()) for k, (spdx, v) in enumerate(vectors) for t, x in v.items()]
     values = ",".join(f"('{s}',{k},'{t}',{x!r}D,{i!r}D,{long})" for s, k, t, x, i, long in rows)
     notices = spark.sql(f"SELECT * FROM VALUES {values} AS t(spdx, notice, term, w, idf, long)")
-    found = units(files, text_col).select("path", F.xxhash64("content").alias("unit"), "block", F.explode(F.regexp_extract_all("content", F.lit(_TERM), F.lit(0))).alias("term"))
-    tf = found.groupBy("path", "unit", "block", "term").agg(F.count("*").alias("tf"))
+    # Few units are left to score. Each distinct one is scored once, however many files have it, and its verdict joined back to them.
+    held = materialize(units(files, text_col).withColumn("unit", F.sha2("content", 256)), "license-units")
+    once = held.groupBy("unit", "block").agg(F.first("content").alias("content"))
+    found = once.select("unit", "block", F.explode(F.regexp_extract_all("content", F.lit(_TERM), F.lit(0))).alias("term"))
+    tf = found.groupBy("unit", "block", "term").agg(F.count("*").alias("tf"))
     known = notices.select("term", "idf").distinct()
     weighed = tf.join(F.broadcast(known), "term", "left").withColumn("x", (1 + F.log("tf")) * F.coalesce("idf", F.lit(other)))
     # One row per term of a unit; the few notices that share it are carried as a list so that the norm is summed once.
     by_term = notices.groupBy("term").agg(F.collect_list(F.struct("notice", "spdx", "w", "long")).alias("in"))
     scored = weighed.join(F.broadcast(by_term), "term", "left")
-    norm = scored.groupBy("path", "unit", "block").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = scored.select("path", "unit", "block", "x", F.explode("in").alias("n")).where("block or not n.long")
-    dots = dots.groupBy("path", "unit", "block", "n.notice", "n.spdx").agg(F.sum(F.col("x") * F.col("n.w")).alias("dot"))
-    near = dots.join(norm, ["path", "unit", "block"]).select("path", "spdx", F.round(F.col("dot") / F.col("norm"), 6).alias("similarity"))
-    best = near.where(F.col("similarity") >= THRESHOLD).groupBy("path").agg(F.min(F.struct(-F.col("similarity"), "spdx")).alias("best"))
+    norm = scored.groupBy("unit", "block").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    dots = scored.select("unit", "block", "x", F.explode("in").alias("n")).where("block or not n.long")
+    dots = dots.groupBy("unit", "block", "n.notice", "n.spdx").agg(F.sum(F.col("x") * F.col("n.w")).alias("dot"))
+    near = dots.join(norm, ["unit", "block"]).select("unit", "block", "spdx", F.round(F.col("dot") / F.col("norm"), 6).alias("similarity"))
+    verdict = near.where(F.col("similarity") >= THRESHOLD).groupBy("unit", "block").agg(F.min(F.struct(-F.col("similarity"), "spdx")).alias("best"))
+    best = held.select("path", "unit", "block").join(verdict, ["unit", "block"]).groupBy("path").agg(F.min("best").alias("best"))
     return best.select("path", F.col("best.spdx").alias("spdx"), (-F.col("best.col1")).alias("similarity"))
 
 
@@ -226,7 +232,7 @@ def inherit(files: DataFrame, own: DataFrame) -> DataFrame:
 def scan_tree(files: DataFrame) -> DataFrame:
     """inherit() of the scan of files (path, text). Repeated paths give repeated rows; an empty table gives none."""
     files = files.select("path", "text")
-    return inherit(files, scan(files))
+    return inherit(files, materialize(scan(files), "license-own"))
 
 
 def document_paths(docs: DataFrame) -> DataFrame:
