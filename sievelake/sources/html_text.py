@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -14,30 +15,27 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 
 
 class Node:
-    """An element: name, attributes, children (nodes and strings)."""
+    """An element: name, attributes, children (nodes and strings).
 
-    __slots__ = ("attrs", "children", "name")
+    Elements are numbered in document order; those below one have the numbers after its own up to end. A tree's index has the elements of each name and
+    class, so a card's fields are found without walking over the page again for each.
+    """
 
-    def __init__(self, name: str, attrs: dict[str, str]):
-        self.name, self.attrs, self.children = name, attrs, []
-
-    @property
-    def classes(self) -> set[str]:
-        return set(self.attrs.get("class", "").split())
+    __slots__ = ("attrs", "children", "end", "index", "name", "number")
 
-    def walk(self):
-        """This node and all below, in document order."""
-        todo = [self]
-        while todo:
-            node = todo.pop()
-            yield node
-            todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+    def __init__(self, name: str, attrs: dict[str, str], number: int, index: dict):
+        self.name, self.attrs, self.children = name, attrs, []
+        self.number, self.end, self.index = number, number + 1, index
 
     def find_all(self, name: str | None = None, cls: str | None = None) -> list["Node"]:
-        return [n for n in self.walk() if n is not self and (name is None or n.name == name) and (cls is None or cls in n.classes)]
+        """All below this one with that name and class, in document order."""
+        numbers, nodes = self.index.get((name, cls), ((), ()))
+        return list(nodes[bisect_right(numbers, self.number) : bisect_left(numbers, self.end)])
 
     def find(self, name: str | None = None, cls: str | None = None) -> "Node | None":
-        return next(iter(self.find_all(name, cls)), None)
+        numbers, nodes = self.index.get((name, cls), ((), ()))
+        at = bisect_right(numbers, self.number)
+        return nodes[at] if at < len(numbers) and numbers[at] < self.end else None
 
     def text(self, joiner: str = "") -> str:
         parts, todo = [], [self]
@@ -53,24 +51,40 @@ class Node:
 class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = Node("", {})
-        self.open = [self.root]
+        self.index: dict = {}
+        self.root = Node("", {}, 0, self.index)
+        self.open, self.count = [self.root], 1
 
-    def handle_starttag(self, tag, attrs):
-        node = Node(tag, {k: v or "" for k, v in attrs})
+    def _add(self, tag, attrs) -> Node:
+        node = Node(tag, {k: v or "" for k, v in attrs}, self.count, self.index)
+        self.count += 1
         self.open[-1].children.append(node)
+        for cls in {None, *node.attrs.get("class", "").split()}:
+            for name in (None, tag):
+                numbers, nodes = self.index.setdefault((name, cls), ([], []))
+                numbers.append(node.number)
+                nodes.append(node)
+        return node
+
+    def handle_starttag(self, tag, attrs):
+        node = self._add(tag, attrs)
         if tag not in _VOID:
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
-        self.open[-1].children.append(Node(tag, {k: v or "" for k, v in attrs}))
+        self._add(tag, attrs)
 
     def handle_endtag(self, tag):
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].name == tag:
-                del self.open[k:]
+                self._close(k)
                 break
 
+    def _close(self, k: int) -> None:
+        for node in self.open[k:]:
+            node.end = self.count
+        del self.open[k:]
+
     def handle_data(self, data):
         self.open[-1].children.append(data)
 
@@ -79,6 +93,7 @@ def parse(page: str | None) -> Node:
     tree = _Tree()
     tree.feed(page or "")
     tree.close()
+    tree._close(0)
     return tree.root
 
 
