@@ -1,6 +1,7 @@
 """Paged sources, live events and whole runs."""
 
 import os
+import re
 import time
 from datetime import datetime, timedelta
 
@@ -237,4 +238,4 @@ def test_only_the_best_row_of_each_task_travels(spark, tmp_path, raw):
     plan = ingest.dedup_richest(raw.withColumn("fingerprint", F.sha1("title")))._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan.split("Exchange hashpartitioning")[1]
     plan = facets.all_facets(catalog.postings(spark, SF))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 4 and "Partial" in plan  # in both the first and the current plan
+    assert {"Partial", "Final"} <= set(re.findall(r"WindowGroupLimit \[facet[^\n]*(Partial|Final)", plan))
