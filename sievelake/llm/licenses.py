@@ -153,7 +153,7 @@ def units(files: DataFrame, text_col: str = "text") -> DataFrame:
     """(path, content, block) of what is scored, lower-cased: block is true for blocks of lines and whole licence files, which are compared with all templates, and
     false for lines and runs of lines, which are compared with the short ones."""
     text = _lower(F.coalesce(F.col(text_col), F.lit("")))
-    df = files.select("path", text.alias("text"), is_licence_file(F.col("path")).alias("whole"))
+    df = files.select("path", is_licence_file(F.col("path")).alias("whole"), text.alias("text"))
 
     def runs(lines: Column) -> Column:
         """All runs of up to three lines that hold a line with a required term. lines is bound once, as Catalyst would split the text again for each mention of a column."""
@@ -161,11 +161,15 @@ def units(files: DataFrame, text_col: str = "text") -> DataFrame:
         join = lambda i, k: F.array_join(F.slice(lines, i, k), " ")
         return F.flatten(F.transform(at, lambda i: F.array(*[F.when(i > back, join(i - back, k)) for k in (1, 2, 3) for back in range(k)])))
 
-    some = F.get(F.transform(F.array(F.split("text", "\n")), runs), F.lit(0))
-    blocks = F.split("text", "\n[ \t-\r]*\n")
     both = lambda some, block: F.transform(F.array_distinct(F.filter(some, lambda x: x.isNotNull() & (x != "") & may_reach(x))), lambda x: F.struct(x.alias("content"), F.lit(block).alias("block")))
-    some = F.concat(both(some, False), both(F.concat(blocks, F.array(F.when(F.col("whole"), F.col("text")))), True))
-    return df.select("path", F.explode(some).alias("unit")).select("path", "unit.*").distinct()
+
+    def found(text: Column) -> Column:
+        """All units of a text, which is bound once, so that it is lower-cased once."""
+        some = F.get(F.transform(F.array(F.split(text, "\n")), runs), F.lit(0))
+        blocks = F.concat(F.split(text, "\n[ \t-\r]*\n"), F.array(F.when(F.col("whole"), text)))
+        return F.concat(both(some, False), both(blocks, True))
+
+    return df.select("path", F.explode(F.get(F.transform(F.array("text"), found), F.lit(0))).alias("unit")).select("path", "unit.*").distinct()
 
 
 def scan(files: DataFrame, text_col: str = "text") -> DataFrame:
