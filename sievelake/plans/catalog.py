@@ -319,12 +319,13 @@ _FOUND_SQL = f"""named AS (SELECT *, list_distinct(list_transform(regexp_extract
 found AS (SELECT *, list_sort(all_found)[1:{taxonomy.MAX_SKILLS}] AS skills FROM named)"""
 add_varied("varied_skills", lambda v: v.select("raw_id", joined(taxonomy.extract_skills(F.col("title"), F.col("description"))).alias("skills")), "SELECT raw_id, array_to_string(skills, '|') AS skills FROM found", _FOUND_SQL)
 _WORDS = fixtures.plain(DEFAULT.keyword_to_category, "'|+#")  # names of skills like Node.js are matched too
-_HITS_SQL = f"""{_FOUND_SQL}, hits AS (
+_HIT_PARTS = f"""hits AS (
   SELECT raw_id, 1 AS part, 5 AS w, regexp_extract_all(title, '{_any(_WORDS)}') AS ms FROM found UNION ALL SELECT raw_id, 2, 2, regexp_extract_all(array_to_string(skills, ' '), '{_any(_WORDS)}') FROM found
   UNION ALL SELECT raw_id, 3, 1, regexp_extract_all(description[1:4000], '{_any(_WORDS)}') FROM found),
 each_hit AS (SELECT raw_id, w, part * 100000 + i AS place, {_map_sql(DEFAULT.keyword_to_category)}[lower(ms[i])] AS name FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM hits)),
 ranks AS (SELECT unnest({list(vocab.CATEGORIES)}) AS name, generate_subscripts({list(vocab.CATEGORIES)}, 1) AS rank),
 scored AS (SELECT raw_id, name, sum(w) AS score, min(place) AS nth, any_value(rank) AS rank FROM each_hit JOIN ranks USING (name) GROUP BY raw_id, name)"""
+_HITS_SQL = f"{_FOUND_SQL}, {_HIT_PARTS}"
 
 
 def _varied_scores(v: DataFrame) -> DataFrame:
@@ -340,13 +341,10 @@ add_varied(
     LEFT JOIN (SELECT raw_id, arg_min(name, -score * 1000 + rank) AS best, sum(score) FILTER (name = 'Backend') AS back, sum(score) FILTER (name = 'Frontend') AS front FROM scored GROUP BY 1) s ON v.raw_id = s.raw_id""",
     _HITS_SQL,
 )
-add_varied(
-    "varied_secondary_categories",
-    lambda v: _varied_scores(v).select("raw_id", joined(taxonomy.top_categories(F.col("scores"))).alias("categories")),
-    """SELECT v.raw_id, coalesce(c, '') AS categories FROM varied v LEFT JOIN (SELECT raw_id, string_agg(name, '|' ORDER BY score DESC, nth) AS c
-    FROM (SELECT *, row_number() OVER (PARTITION BY raw_id ORDER BY score DESC, nth) AS k FROM scored) WHERE k <= 3 AND score >= 2 GROUP BY 1) s ON v.raw_id = s.raw_id""",
-    _HITS_SQL,
-)
+_TOP_SQL = """SELECT v.raw_id, coalesce(c, '') AS categories FROM {0} v LEFT JOIN (SELECT raw_id, string_agg(name, '|' ORDER BY score DESC, nth) AS c
+    FROM (SELECT *, row_number() OVER (PARTITION BY raw_id ORDER BY score DESC, nth) AS k FROM scored) WHERE k <= 3 AND score >= 2 GROUP BY 1) s ON v.raw_id = s.raw_id"""
+add_varied("varied_secondary_categories", lambda v: _varied_scores(v).select("raw_id", joined(taxonomy.top_categories(F.col("scores"))).alias("categories")), _TOP_SQL.format("varied"), _HITS_SQL)
+ORACLES["secondary_categories"] = with_views(f"{SKILLS_CTE}, found AS (SELECT raw_id, title, skills, description FROM skilled), {_HIT_PARTS}", _TOP_SQL.format("skilled"))
 add_varied(
     "varied_is_tech",
     lambda v: v.withColumn("skills", taxonomy.extract_skills(F.col("title"), F.col("description"))).select("raw_id", taxonomy.is_tech(F.col("title"), F.col("description"), F.col("skills")).alias("is_tech")),

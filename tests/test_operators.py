@@ -37,7 +37,7 @@ def rows(df):
     return sorted(tuple(cell(v) for v in r) for r in df.itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", ["search_page", "filter_exp_strict", "sort_posted_at_asc", "facets_all", "ingest", "category_scores", "profile_funnel", "upsert", "maintenance", "posting_detail", "store_upsert", "store_facets", "store_stats", "store_search", "store_rare_search", "store_detail", "store_housekeeping", "housekeeping", "probe_apply", "reindex", "html_cards", "json_scan", "varied_skills", "varied_category_scores", "varied_categories", "varied_secondary_categories", "varied_is_tech", "varied_seniority", "varied_work_mode", "varied_looks_dead", "varied_startup", "sheet_cards", "detail_pages", "paged_cards", "paged_report", "sources_union", "jsonl_import", "jsonl_malformed", "event_progress", "events_tail", "housekeeping_guard", "dashboard", "meta_catalogue", "profile_catalogue", "search_queries"])
+@pytest.mark.parametrize("name", ["search_page", "filter_exp_strict", "sort_posted_at_asc", "facets_all", "ingest", "category_scores", "profile_funnel", "upsert", "maintenance", "posting_detail", "store_upsert", "store_facets", "store_stats", "store_search", "store_rare_search", "store_detail", "store_housekeeping", "housekeeping", "probe_apply", "reindex", "html_cards", "json_scan", "varied_skills", "varied_category_scores", "varied_categories", "varied_secondary_categories", "secondary_categories", "varied_is_tech", "varied_seniority", "varied_work_mode", "varied_looks_dead", "varied_startup", "sheet_cards", "detail_pages", "paged_cards", "paged_report", "sources_union", "jsonl_import", "jsonl_malformed", "event_progress", "events_tail", "housekeeping_guard", "dashboard", "meta_catalogue", "profile_catalogue", "search_queries"])
 def test_queries_equal_their_sql(spark, duck, name):
     assert rows(catalog.QUERIES[name](spark, SF).toPandas()) == rows(duck.sql(catalog.ORACLES[name]).df())
 
