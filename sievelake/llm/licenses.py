@@ -131,14 +131,19 @@ def may_reach(text: Column) -> Column:
     heavy = _any(sorted(t for t, w in idf.items() if w > other / 2))
     strong = F.regexp_count(text, F.lit(heavy))
 
-    def test(words: Column) -> Column:
+    def counts(words: Column) -> Column:
         # A set of literals is hashed once for all texts, the array that array_except() takes once for each.
         strange = F.size(F.array_distinct(F.filter(words, lambda t: ~t.isin(*sorted(idf)))))
+        return F.struct(F.size(words).alias("n"), strange.alias("strange"))
+
+    def test(c: Column) -> Column:
         # The cheaper test, with all known terms taken for heavy ones, goes first.
-        most = 4 / math.e * (1 - _ENOUGH)
-        return (most * (F.size(words) - strange) >= _ENOUGH * strange) & (most * (strong + 0.25 * (F.size(words) - strange - strong)) >= _ENOUGH * strange)
+        most, places = 4 / math.e * (1 - _ENOUGH), c["n"] - c["strange"]
+        return (most * places >= _ENOUGH * c["strange"]) & (most * (strong + 0.25 * (places - strong)) >= _ENOUGH * c["strange"])
 
-    return F.get(F.transform(F.array(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0))), test), F.lit(0))
+    # What is mentioned more than once is bound, as nothing in a lambda function is shared between mentions.
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    return let(let(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), counts), test)
 
 
 def _lower(c: Column) -> Column:
