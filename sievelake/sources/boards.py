@@ -5,12 +5,12 @@ Nothing is fetched: files land elsewhere. Each function takes a DataFrame of doc
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelake.functions import parse, text
-from sievelake.sources.html_text import clean, html_to_text, parse as parse_html
+from sievelake.sources.html_text import Node, clean, html_to_text, read as read_html, small_batches
 
 LINKEDIN, NAUKRI = "https://www.linkedin.com", "https://www.naukri.com"
 
@@ -27,8 +27,7 @@ def _first(*found):
     return next((x for x in found if x is not None), None)
 
 
-def _linkedin_cards(page: str) -> list[dict]:
-    root = parse_html(page)
+def _linkedin_cards(root: Node) -> list[dict]:
     out = []
     for card in [n for n in root.find_all("div", "base-card")] or root.find_all("li"):
         title = card.find("h3", "base-search-card__title")
@@ -50,8 +49,7 @@ def _linkedin_cards(page: str) -> list[dict]:
     return out
 
 
-def _naukri_cards(page: str) -> list[dict]:
-    root = parse_html(page)
+def _naukri_cards(root: Node) -> list[dict]:
     inner = lambda card, outer: next((s for w in card.find_all("span", outer) for s in w.find_all("span")), None)
     out = []
     for card in root.find_all("div", "srp-jobtuple-wrapper") or root.find_all("article", "jobTuple"):
@@ -78,13 +76,20 @@ def _naukri_cards(page: str) -> list[dict]:
 def _cards(pages: DataFrame, read) -> DataFrame:
     names = [c.split()[0] for c in _CARD.split(", ")]
 
+    kinds = [pa.string() if n not in ("nth", "tags") else pa.int32() if n == "nth" else pa.list_(pa.string()) for n in names]
+    blank = {n: "" for n in names} | {"tags": None, "date_iso": None}
+
     def run(batches):
-        for pdf in batches:
-            rows = [{"page_id": i, "nth": k, **card} for i, page in zip(pdf.page_id, pdf.html) for k, card in enumerate(read(page or ""))]
-            blank = {n: "" for n in names} | {"tags": None, "date_iso": None}
-            yield pd.DataFrame([{**blank, **r} for r in rows], columns=names)
+        for b in batches:
+            out: list[list] = [[] for _ in names]
+            for page_id, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for k, card in enumerate(read_html(page, read)):
+                    for column, value in zip(out, ({**blank, **card, "page_id": page_id, "nth": k}).values()):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
 
-    return pages.select(F.col("page_id").cast("string"), "html").mapInPandas(run, _CARD)
+    small_batches(pages.sparkSession)
+    return pages.select(F.col("page_id").cast("string"), "html").mapInArrow(run, _CARD)
 
 
 def linkedin_cards(pages: DataFrame, as_of: Column) -> DataFrame:
@@ -113,24 +118,26 @@ def naukri_cards(pages: DataFrame, as_of: Column) -> DataFrame:
 def linkedin_details(pages: DataFrame) -> DataFrame:
     """pages (external_id, html) of postings -> external_id, description, level, intern: what the search cards lack."""
 
+    def detail(root: Node) -> tuple:
+        body = _first(root.find("div", "show-more-less-html__markup"), root.find("div", "description__text"), root.find("section", "description"))
+        level, intern = None, False
+        for item in root.find_all("li", "description__job-criteria-item"):
+            label = _text(item.find("h3", "description__job-criteria-subheader")).lower()
+            value = _text(item.find("span", "description__job-criteria-text"))
+            if value and "seniority" in label:
+                level, intern = value, False
+            elif value and "employment" in label and "intern" in value.lower():
+                intern = True
+        return clean(body.text(" "), 20_000) if body is not None else None, level, intern
+
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for key, page in zip(pdf.external_id, pdf.html):
-                root = parse_html(page)
-                body = _first(root.find("div", "show-more-less-html__markup"), root.find("div", "description__text"), root.find("section", "description"))
-                level, intern = None, False
-                for item in root.find_all("li", "description__job-criteria-item"):
-                    label = _text(item.find("h3", "description__job-criteria-subheader")).lower()
-                    value = _text(item.find("span", "description__job-criteria-text"))
-                    if value and "seniority" in label:
-                        level, intern = value, False
-                    elif value and "employment" in label and "intern" in value.lower():
-                        intern = True
-                rows.append((key, clean(body.text(" "), 20_000) if body is not None else None, level, intern))
-            yield pd.DataFrame(rows, columns=["external_id", "description", "level", "intern"])
-
-    return pages.select("external_id", "html").mapInPandas(run, "external_id string, description string, level string, intern boolean")
+        for b in batches:
+            rows = [read_html(page, detail) for page in b.column(1).to_pylist()]
+            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["external_id", "description", "level", "intern"])
+
+    small_batches(pages.sparkSession)
+    return pages.select(F.col("external_id").cast("string"), "html").mapInArrow(run, "external_id string, description string, level string, intern boolean")
 
 
 def attach_details(cards: DataFrame, details: DataFrame) -> DataFrame:

@@ -170,3 +170,37 @@ def test_found_elements_are_those_of_a_walk():
                 for cls in (None, "x", "y", "z"):
                     want = [n for n in walk(node) if (name is None or n.name == name) and (cls is None or cls in n.attrs.get("class", "").split())]
                     assert node.find_all(name, cls) == want and node.find(name, cls) is (want[0] if want else None)
+
+
+def test_plain_markup_gives_the_parsers_tree():
+    """Pages of plain markup are read without HTMLParser, to the same tree; all others still go to it."""
+    rng = random.Random(1)
+    bits = ["<div>", "</div>", '<P class="a b">', "</p>", "<br>", "<br/>", '<img src="x&amp;y" alt>', "a &lt; b", " & ", "&am", "<!-- c -->", "<!---->", '<b\n id="q"  class="a">', "</B>", "<span/>", "t", "</ul>", "<li>"]
+    wild = ["<", "<a href=x>", "<a b='c'>", "<script>", "</script>", "<!doctype html>", '<a b="c"d>', '<a a="1" A="2">', '"', "</a >"]
+
+    def dump(n):
+        return n.name, n.attrs, n.number, n.end, [c if isinstance(c, str) else dump(c) for c in n.children]
+
+    read = 0
+    for k in range(3000):
+        page = "".join(rng.choice(bits if k % 3 else bits + wild) for _ in range(rng.randint(0, 12)))
+        tree = html_text._Tree()
+        tree.feed(page)
+        tree.close()
+        tree._close(0)
+        assert dump(html_text.parse(page)) == dump(tree.root), page
+        read += html_text._plain(page) is not None
+    assert read > 1900
+
+
+def test_a_page_read_leaves_no_circle_behind():
+    import gc
+
+    gc.collect()
+    gc.disable()
+    try:
+        for page in ('<div class="x"><p>a</p></div>' * 50, "<div class=x><p>a</p></div>" * 50):
+            assert html_text.to_text(page).startswith("a a")
+        assert not [o for o in gc.get_objects() if isinstance(o, html_text.Node)]
+    finally:
+        gc.enable()
