@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sievelake.operators import facets, ingest, lifecycle, profiles, runs, scrape
 from sievelake.plans import catalog
-from sievelake.sources import paged
+from sievelake.sources import boards, html_text, paged
 from sievelake.sources.markers import Lease
 from sievelake.sources.store import Store
 from sievelake.streaming import ingest as streaming
@@ -239,3 +239,16 @@ def test_only_the_best_row_of_each_task_travels(spark, tmp_path, raw):
     assert "WindowGroupLimit" in plan.split("Exchange hashpartitioning")[1]
     plan = facets.all_facets(catalog.postings(spark, SF))._jdf.queryExecution().executedPlan().toString()
     assert {"Partial", "Final"} <= set(re.findall(r"WindowGroupLimit \[facet[^\n]*(Partial|Final)", plan))
+
+
+def test_pages_go_to_python_in_small_batches(spark):
+    """A worker holds a bounded number of pages, however many a task has."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for make in (lambda: html_text.html_to_text(F.col("html")), lambda: boards._cards(spark.createDataFrame([("1", "<p>")], "page_id string, html string"), list)):
+            spark.conf.set(key, "10000")
+            make()
+            assert int(spark.conf.get(key)) <= html_text.BATCH_PAGES
+    finally:
+        spark.conf.set(key, before)
