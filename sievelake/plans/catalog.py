@@ -519,7 +519,9 @@ def _stored(spark: SparkSession, sf_dir: str, rows: DataFrame) -> Store:
 
 def _upserted(spark: SparkSession, sf_dir: str) -> Store:
     """Two thirds of the postings, then two batches with the even ones, some of which have moved to another company."""
-    p = postings(spark, sf_dir)
+    at = scratch_folder(spark, "postings")
+    postings(spark, sf_dir).write.parquet(at)  # once for all three
+    p = spark.read.parquet(at)
     store = _stored(spark, sf_dir, p.where("id % 3 <> 0"))
     new = p.where("id % 2 = 0").withColumns({"description": F.expr("case when id % 6 = 0 then '' else 'New text' end"), "company": F.expr("case when id % 8 = 0 then 'Moved Ltd' else company end")})
     for part in ("id % 4 = 0", "id % 4 = 2"):

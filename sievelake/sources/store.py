@@ -323,6 +323,8 @@ class Store:
 def grams_of(rows: DataFrame) -> DataFrame:
     """(gram, file) of rows (file, text): the n-grams of each file's distinct words; words end at blanks, as the parts of a searched text do."""
     words = rows.select("file", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("word")).where("word <> ''").distinct()
+    # Words are few bytes but make many grams each: dealt out, as they would else be gathered into a task or two.
+    words = words.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file", "word")
     letters = F.filter(F.split("word", ""), lambda x: x != "")
 
     def grams(n: int) -> Column:

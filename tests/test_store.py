@@ -247,3 +247,25 @@ def test_empty_tables(spark, tmp_path, postings):
     assert store.upsert(postings.limit(0).select(*ingest.PAYLOAD), catalog.now()).tallies == {"created": 0, "updated": 0}
     store.upsert(postings.limit(5).select(*ingest.PAYLOAD), catalog.now())
     assert store.read().count() == 5 and pd.notna(store.stats(catalog.now()).first().last_seen_at)
+
+
+def test_postings_of_a_store_are_computed_once(spark, monkeypatch):
+    """The commit and both batches read one table of postings instead of ranking all raw ones anew."""
+    seen = []
+
+    def stop(spark, sf_dir, rows):
+        seen.append(rows._jdf.queryExecution().toString())
+        raise StopIteration
+
+    monkeypatch.setattr(catalog, "_stored", stop)
+    with pytest.raises(StopIteration):
+        catalog._upserted(spark, SF)
+    assert "Window" not in seen[0]
+
+
+def test_words_are_dealt_out_before_they_become_grams(spark):
+    from sievelake.sources.store import grams_of
+
+    rows = spark.createDataFrame([("f", "abcd abcd"), ("g", "abc")], "file string, text string")
+    assert "RepartitionByExpression" in grams_of(rows)._jdf.queryExecution().toString()
+    assert sorted(map(tuple, grams_of(rows).collect())) == [("3:abc", "f"), ("3:abc", "g"), ("3:bcd", "f")]
