@@ -10,8 +10,10 @@ these agree on one shift, turn and scale. Images with equal pixels are one class
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +29,11 @@ RADIUS = 9
 BITS = 240
 TABLES = 5
 MATCH_BITS = 42
-MEETINGS = 2
+MEETINGS = 2  # _often_met() counts to two
 INLIERS = 5
 BLOCK = 256  # members of an entry paired at once
+#: Pairs of corners counted, and bytes of corners sent to pairs, in a round; a round of a large table has as many as the table itself. All rounds together do the whole job.
+ROUND_MEETINGS, ROUND_BYTES = 4_000_000, 64_000_000
 #: The most pixels that a picture may have; larger ones count as unreadable, so that a small file can't fill a task's memory.
 MOST_PIXELS = 100_000_000
 _TESTS = np.random.default_rng(11).integers(-RADIUS + 1, RADIUS, (BITS, 4))
@@ -95,11 +99,16 @@ def _unfilter(kind: int, line: list, above: list, now: np.ndarray) -> None:
 
 
 def _box(x: np.ndarray, r: int) -> np.ndarray:
-    """Sums over squares of side 2r+1, edges repeated."""
-    p = np.pad(x, ((r + 1, r), (r + 1, r)), "edge")
-    c = p.cumsum(0).cumsum(1)
+    """Sums over squares of side 2r+1 of the last two axes, edges repeated."""
+    h, w = x.shape[-2:]
+    c = np.empty((*x.shape[:-2], h + 2 * r + 1, w + 2 * r + 1), x.dtype)
+    a, b = slice(r + 1, r + 1 + h), slice(r + 1, r + 1 + w)
+    c[..., a, b] = x
+    c[..., a, : r + 1], c[..., a, r + 1 + w :] = x[..., :1], x[..., -1:]
+    c[..., : r + 1, :], c[..., r + 1 + h :, :] = c[..., r + 1 : r + 2, :], c[..., r + h : r + h + 1, :]
+    c = c.cumsum(-2).cumsum(-1)
     k = 2 * r + 1
-    return c[k:, k:] - c[:-k, k:] - c[k:, :-k] + c[:-k, :-k]
+    return c[..., k:, k:] - c[..., :-k, k:] - c[..., k:, :-k] + c[..., :-k, :-k]
 
 
 def _shrunk(x: np.ndarray, scale: float) -> np.ndarray:
@@ -110,8 +119,8 @@ def _shrunk(x: np.ndarray, scale: float) -> np.ndarray:
     y0, x0 = ys.astype(int), xs.astype(int)
     fy, fx = (ys - y0)[:, None], (xs - x0)[None, :]
     y1, x1 = np.minimum(y0 + 1, x.shape[0] - 1), np.minimum(x0 + 1, x.shape[1] - 1)
-    g = lambda a, b: x[np.ix_(a, b)]
-    return (1 - fy) * ((1 - fx) * g(y0, x0) + fx * g(y0, x1)) + fy * ((1 - fx) * g(y1, x0) + fx * g(y1, x1))
+    above, below = x[y0], x[y1]
+    return (1 - fy) * ((1 - fx) * above[:, x0] + fx * above[:, x1]) + fy * ((1 - fx) * below[:, x0] + fx * below[:, x1])
 
 
 def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +136,7 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         img = _box(img, 1) / 9
         soft = _box(img, 2) / 25
         gy, gx = np.gradient(img)
-        a, b, c = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
+        a, b, c = _box(np.stack([gx * gx, gy * gy, gx * gy]), 2)
         strength = a * b - c * c - 0.05 * (a + b) ** 2
         core = strength[m:-m, m:-m]
         peak = core > 1e-6
@@ -183,16 +192,18 @@ def consensus(pa_: np.ndarray, pb: np.ndarray) -> int:
 def _words(bits: bytes) -> np.ndarray:
     """Rows of BITS / 8 bytes as rows of 64-bit words, filled up with zeros."""
     rows = np.frombuffer(bits, np.uint8).reshape(-1, BITS // 8)
-    return np.pad(rows, ((0, 0), (0, -rows.shape[1] % 8))).view(np.uint64)
+    out = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    out[:, : rows.shape[1]] = rows
+    return out.view(np.uint64)
 
 
 def linked(bu: bytes, pu: bytes, bv: bytes, pv: bytes) -> bool:
     """Whether enough corners of the first image have a match in the second that agrees with the others; bits and places as describe() has them."""
-    du, dv = (_words(x) for x in (bu, bv))
+    du, dv = (np.ascontiguousarray(_words(x).T) for x in (bu, bv))
     xu, xv = (np.frombuffer(x, np.float32).reshape(-1, 4).astype(np.float64) for x in (pu, pv))
     ours, theirs = [], []
-    for at in range(0, len(du), 256):
-        distance = np.bitwise_count(du[at : at + 256, None, :] ^ dv[None, :, :]).sum(2, dtype=np.int32)
+    for at in range(0, du.shape[1], 256):
+        distance = sum(np.bitwise_count(a[at : at + 256, None] ^ b) for a, b in zip(du, dv))  # at most BITS, so a byte holds it
         nearest = distance.argmin(1)
         ok = np.flatnonzero(distance[np.arange(len(nearest)), nearest] <= MATCH_BITS)
         ours.append(ok + at)
@@ -225,12 +236,22 @@ def _ordered(met: DataFrame) -> DataFrame:
     return met.select(u["a"].alias("u"), v["a"].alias("v"), u["k"].alias("ku"), v["k"].alias("kv"))
 
 
-def meetings(rows: DataFrame) -> DataFrame:
-    """(u, v, ku, kv) for every two members of the same of shared_entries() with different classes c, u < v; each pair of blocks is a group of its own."""
+def block_pairs(rows: DataFrame) -> DataFrame:
+    """(i, j, m) of shared_entries() with classes c: m are the members (a, k, c, s) of two blocks of an entry, or of one if i = j, if they are of several classes."""
     rows = rows.select("key", "a", "k", "c", "s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("t"))
     groups = rows.groupBy("key", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j")).agg(F.collect_list(F.struct("a", "k", "c", "s")).alias("m"))
-    groups = groups.where(F.size(F.array_distinct(F.transform("m", lambda x: x["c"]))) > 1)
-    met = groups.select("i", "j", "m", F.explode("m").alias("x"))
+    return groups.where(F.size(F.array_distinct(F.transform("m", lambda x: x["c"]))) > 1)
+
+
+def meetings(rows: DataFrame) -> DataFrame:
+    """(u, v, ku, kv) for every two members of the same of shared_entries() with different classes c, u < v; each pair of blocks is a group of its own."""
+    return part_of_meetings(block_pairs(rows), 0, 1)
+
+
+def part_of_meetings(groups: DataFrame, part: int, of: int) -> DataFrame:
+    """What meetings() gives, from block_pairs(), in parts by hash of the member with the smaller number."""
+    member = F.filter("m", lambda x: F.pmod(F.xxhash64(x["a"]), F.lit(of)) == part) if of > 1 else F.col("m")
+    met = groups.select("i", "j", "m", F.explode(member).alias("x"))
     others = F.filter("m", lambda y: (y["a"] > F.col("x.a")) & (y["c"] != F.col("x.c")) & ((F.col("i") == F.col("j")) | (y["s"] != F.col("x.s"))))
     return _ordered(met.select("x", F.explode(others).alias("y")))
 
@@ -273,23 +294,42 @@ def copies(images: DataFrame) -> DataFrame:
     release_shuffles(spark)
 
     # First the pairs that hold a group of copies together, then all that meet across the classes so far: what is within one class needs no more links.
-    first = _verified(first_meetings(rows), classes)
+    first = _verified(_often_met(first_meetings(rows)), classes)
     reach = materialize(connected_components(first), "first-classes")
     classed = rows.join(reach.withColumnsRenamed({"node": "a", "component": "c"}), "a", "left").withColumn("c", F.coalesce("c", "a"))
-    more = _verified(meetings(classed), classes)
+    groups = materialize(block_pairs(classed), "block-pairs")
+    release_shuffles(spark)
+    met = groups.agg(F.sum(F.size("m").cast("long") * (F.size("m") - 1) / 2)).first()[0] or 0
+    parts = max(1, math.ceil(met / max(ROUND_MEETINGS, rows.count())))
+    pairs = [_often_met(part_of_meetings(groups, k, parts)) for k in range(parts)]
+    more = _verified(reduce(DataFrame.union, pairs), classes)
     reach = connected_components(first.union(more))
     of = classes.select("a", "digest").join(reach, F.col("a") == F.col("node"), "left").select("digest", F.coalesce("component", "a").alias("component_id"))
     return slim.join(of, "digest").select("image_id", "n_corners", "component_id")
 
 
-def _verified(met: DataFrame, classes: DataFrame) -> DataFrame:
-    """(u, v) of the pairs that meet MEETINGS times or more and are links, as a table."""
-    spark = met.sparkSession
-    pairs = met.groupBy("u", "v").agg(F.collect_set(F.struct("ku", "kv")).alias("m")).where(F.size("m") >= MEETINGS).select("u", "v")
-    pairs = materialize(pairs, "image-pairs")
-    release_shuffles(spark)
-    left = classes.select(F.col("a").alias("u"), F.col("bits").alias("bu"), F.col("places").alias("pu"))
-    right = classes.select(F.col("a").alias("v"), F.col("bits").alias("bv"), F.col("places").alias("pv"))
+def _often_met(met: DataFrame) -> DataFrame:
+    """(u, v) of the pairs that meet in MEETINGS = 2 different pairs of corners or more, as a table."""
+    corners = F.struct("ku", "kv")
+    pairs = materialize(met.groupBy("u", "v").agg(F.min(corners).alias("a"), F.max(corners).alias("b")).where("a <> b").select("u", "v"), "image-pairs")
+    release_shuffles(met.sparkSession)
+    return pairs
+
+
+def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(u, v) of the pairs that are links. Rounds by u send no more corners at once than ROUND_BYTES or what classes holds, so that disk does not grow with the number of pairs."""
+    size = F.octet_length("bits") + F.octet_length("places")
+    held, mean = classes.agg(F.sum(size), F.avg(size)).first()
+    rounds = max(1, math.ceil(pairs.count() * (mean or 0) / max(ROUND_BYTES, held or 0)))
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(rounds))
+    links = [_links(pairs.where(part("u") == k), classes.where(part("a") == k), classes) for k in range(rounds)]
+    return reduce(DataFrame.union, links)
+
+
+def _links(pairs: DataFrame, us: DataFrame, vs: DataFrame) -> DataFrame:
+    """(u, v) of the pairs that are links, as a table; us and vs hold the corners of either side."""
+    left = us.select(F.col("a").alias("u"), F.col("bits").alias("bu"), F.col("places").alias("pu"))
+    right = vs.select(F.col("a").alias("v"), F.col("bits").alias("bv"), F.col("places").alias("pv"))
     matched = pairs.join(left, "u").join(right, "v").select("u", "v", "bu", "pu", "bv", "pv")
 
     def verify(batches):
@@ -298,7 +338,7 @@ def _verified(met: DataFrame, classes: DataFrame) -> DataFrame:
             yield b.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     links = materialize(matched.mapInArrow(verify, "u long, v long"), "image-links")
-    release_shuffles(spark)
+    release_shuffles(pairs.sparkSession)
     return links
 
 
@@ -312,6 +352,7 @@ def render(embeddings: DataFrame) -> DataFrame:
     def run(batches):
         rng = np.random.default_rng(5)
         base: list[np.ndarray] = []
+        stacks: dict[int, np.ndarray] = {}
         for b in batches:
             out = []
             for v in b.column(1).to_pylist():
@@ -319,7 +360,10 @@ def render(embeddings: DataFrame) -> DataFrame:
                 while len(base) < len(v):
                     noise = _box(_box(rng.standard_normal((_SIDE, _SIDE)), 2), 1)
                     base.append(noise / noise.std())
-                img = np.tensordot(v, np.stack(base[: len(v)]), 1) if len(v) else np.zeros((_SIDE, _SIDE))
+                if len(v) and len(v) not in stacks:
+                    stacks.clear()
+                    stacks[len(v)] = np.stack(base[: len(v)])
+                img = np.tensordot(v, stacks[len(v)], 1) if len(v) else np.zeros((_SIDE, _SIDE))
                 out.append(png(np.clip(128 + 45 * img, 0, 255)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["image_id", "image"])
 

@@ -181,6 +181,31 @@ def test_image_meetings_are_all_pairs(spark):
         assert {tuple(r) for r in first} <= every and len(first) <= 4 * len(rows)
 
 
+def test_image_pairs_in_rounds(spark, monkeypatch):
+    """Meetings are counted and corners sent in rounds, which together give every pair, none twice."""
+    rng = np.random.default_rng(8)
+    rows = [(a, k, rng.integers(1, 9).item()) for a in range(30) for k in range(3)]
+    groups = images.block_pairs(images.shared_entries(spark.createDataFrame(rows, "a long, k int, key long"), 7).withColumn("c", F.col("a")))
+    whole = sorted(map(tuple, images.part_of_meetings(groups, 0, 1).collect()))
+    assert whole and sorted(tuple(r) for k in range(4) for r in images.part_of_meetings(groups, k, 4).collect()) == whole
+
+    x = [images._box(rng.standard_normal((60, 60)), 2) for _ in range(6)]
+    seen = [images.describe(np.clip(128 + 60 * y / y.std(), 0, 255)) for y in x for y in (y, y[3:, 2:])]
+    classes = spark.createDataFrame([(a, bytearray(d.tobytes()), bytearray(p.tobytes())) for a, (p, d) in enumerate(seen)], "a long, bits binary, places binary").cache()
+    every = [(u, v) for v in range(len(seen)) for u in range(v)]
+    sent, links = [], images._links
+
+    def counted(pairs, us, vs):
+        sent.append(pairs.count())
+        return links(pairs, us, vs)
+
+    monkeypatch.setattr(images, "_links", counted)
+    monkeypatch.setattr(images, "ROUND_BYTES", 1)
+    got = images._verified(spark.createDataFrame(every, "u long, v long"), classes).collect()
+    assert sorted(map(tuple, got)) == [(u, v) for u, v in sorted(every) if images.linked(*(z.tobytes() for w in (u, v) for z in (seen[w][1], seen[w][0])))]
+    assert len(got) >= 6 and len(sent) >= 4 and sum(sent) == len(every) and max(sent) <= 3 * len(seen)
+
+
 def test_image_links_equal_brute_force(spark):
     """A large group of edited copies, and a hot entry: the same mark in pictures that are no copies."""
     rng = np.random.default_rng(3)
