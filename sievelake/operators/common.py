@@ -33,6 +33,16 @@ def where_after(df: DataFrame, condition) -> DataFrame:
     return marked.where(condition & (F.col("_fence") >= 0)).drop("_fence")
 
 
+def inline_after(df: DataFrame, rows: str, *keep: str) -> DataFrame:
+    """keep and the fields of the array of structs rows, one row for each, with rows computed once.
+
+    Spark puts a filter for rows without elements before an inline() and moves it below the projection that computes rows, which is then computed for the filter too. It may
+    not move one across a running number that the filter depends on.
+    """
+    full = where_after(df.select(*keep, rows), F.size(rows) > 0)
+    return full.select(*keep, F.inline(rows))
+
+
 def nth_by(df: DataFrame, keys: list, order: list) -> DataFrame:
     """The first row of each key in the given order."""
     from pyspark.sql import Window

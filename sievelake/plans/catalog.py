@@ -12,7 +12,7 @@ from sievelake.functions import parse, taxonomy, text, vocab
 from sievelake.functions.matcher import compile_terms, has_term
 from sievelake.functions.vocab import DEFAULT
 from sievelake.operators import facets, ingest, lifecycle, probe, profiles, runs, search
-from sievelake.operators.common import scratch_folder
+from sievelake.operators.common import inline_after, scratch_folder
 from sievelake.operators.search import Filters
 from sievelake.plans import fixtures
 from sievelake.plans.fixtures import AS_OF, DESCRIPTIONS, case_of, oracle, view
@@ -278,7 +278,7 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add("categorize", lambda s, d: _scored(s, d).select("raw_id", taxonomy.best_category(F.col("scores")).alias("category")))
 ORACLES["categorize"] = with_views(SCORED_CTE, f"SELECT raw_id, {CATEGORY_SQL} AS category FROM scored")
-add("category_scores", lambda s, d: _scored(s, d).select("raw_id", F.inline("scores")).select("raw_id", "name", "score"))
+add("category_scores", lambda s, d: inline_after(_scored(s, d), "scores", "raw_id").select("raw_id", "name", "score"))
 ORACLES["category_scores"] = with_views(SCORED_CTE, " UNION ALL ".join(f"SELECT raw_id, '{name}' AS name, c{k} AS score FROM scored WHERE c{k} > 0" for k, name in enumerate(vocab.CATEGORIES)))
 add("secondary_categories", lambda s, d: _scored(s, d).select("raw_id", joined(taxonomy.top_categories(F.col("scores"))).alias("categories")))
 add("is_tech", lambda s, d: with_skills(s, d).select("raw_id", taxonomy.is_tech(F.col("title"), F.col("description"), F.col("skills")).alias("is_tech"), taxonomy.has_strong_title(F.col("title")).alias("strong")))
@@ -333,7 +333,7 @@ def _varied_scores(v: DataFrame) -> DataFrame:
     return found.withColumn("scores", taxonomy.category_scores(F.col("title"), F.col("skills"), F.col("description")))
 
 
-add_varied("varied_category_scores", lambda v: _varied_scores(v).select("raw_id", F.inline("scores")).select("raw_id", "name", F.col("score").cast("long")), "SELECT raw_id, name, CAST(score AS BIGINT) AS score FROM scored", _HITS_SQL)
+add_varied("varied_category_scores", lambda v: inline_after(_varied_scores(v), "scores", "raw_id").select("raw_id", "name", F.col("score").cast("long")), "SELECT raw_id, name, CAST(score AS BIGINT) AS score FROM scored", _HITS_SQL)
 add_varied(
     "varied_categories",
     lambda v: _varied_scores(v).select("raw_id", taxonomy.best_category(F.col("scores")).alias("category")),

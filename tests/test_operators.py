@@ -188,3 +188,10 @@ def test_store_and_stream(spark, tmp_path):
     batch = lifecycle.upsert(empty, ingest.ingest(raw, catalog.now()), catalog.now())
     assert {r.fingerprint for r in store.read().select("fingerprint").collect()} == {r.fingerprint for r in batch.select("fingerprint").collect()}
     assert len(store.versions()) == 3  # one for each micro-batch; young ones stay for their readers
+
+
+@pytest.mark.parametrize("name", ["category_scores", "varied_category_scores"])
+def test_scores_are_computed_once(spark, name):
+    """One pass for skills and three for scores: the filter that Spark puts before inline() must not compute them again."""
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 4 + plan.count("P{L}+")
