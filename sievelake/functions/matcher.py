@@ -7,7 +7,7 @@ backtracking to a shorter one where the right edge fails, and the regex engine t
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -69,14 +69,23 @@ def lookup(mapping: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body mentions it. An expression that a lambda mentions is computed anew for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def spans(text: Column, pattern: str) -> Column:
     """array<struct<start, match>>: every match with its offset (from 0, in code points)."""
-    parts = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    # One walk over the parts between matches carries the offset of the end so far.
-    number = F.transform(found, lambda m, i: i)
-    begin = lambda acc, i: acc["end"] + F.length(F.get(parts, i))
-    step = lambda acc, i: F.struct((begin(acc, i) + F.length(F.get(found, i))).alias("end"), F.array_append(acc["starts"], begin(acc, i)).alias("starts"))
-    none = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("starts"))
-    starts = F.aggregate(number, none, step, lambda acc: acc["starts"])
-    return F.zip_with(starts, found, lambda at, m: F.struct(at.alias("start"), m.alias("match")))
+
+    def located(found: Column, parts: Column) -> Column:
+        # One walk over the parts between matches carries the offset of the end so far.
+        number = F.transform(found, lambda m, i: i)
+        begin = lambda acc, i: acc["end"] + F.length(F.get(parts, i))
+        step = lambda acc, i: F.struct((begin(acc, i) + F.length(F.get(found, i))).alias("end"), F.array_append(acc["starts"], begin(acc, i)).alias("starts"))
+        none = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(number, none, step, lambda acc: acc["starts"])
+        return F.zip_with(starts, found, lambda at, m: F.struct(at.alias("start"), m.alias("match")))
+
+    nothing = F.array().cast("array<struct<start:int,match:string>>")
+    some = lambda found: F.when(F.size(found) == 0, nothing).otherwise(let(F.split(text, pattern, -1), lambda parts: located(found, parts)))
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), some)

@@ -204,3 +204,12 @@ def test_a_page_read_leaves_no_circle_behind():
         assert not [o for o in gc.get_objects() if isinstance(o, html_text.Node)]
     finally:
         gc.enable()
+
+
+def test_prose_patterns_run_once(spark):
+    """Each of the three patterns is mentioned as often as its matches are read, not again for each use of the result."""
+    found = parse.experience_in_prose(F.col("d")).alias("p")
+    df = spark.createDataFrame([("3 - 5 years of work, at least 2+ yrs, 4 years of experience",), ("a 4 year degree",), (None,)], "d string").select(found)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 3 and plan.count("split(") == 3
+    assert [r.p for r in df.collect()] == [(2, None), None, None]
