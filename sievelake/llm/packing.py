@@ -40,18 +40,24 @@ _PLAIN, _NOT_PLAIN = "\u0250", "\u0130"
 
 
 class _Kept(dict):
-    """word -> its ids as bytes, made when first asked for; it never holds more than so many bytes."""
+    """word -> its ids as bytes, made when first asked for; it never holds more than so many bytes.
+
+    When half of that is full it becomes the old half, from which words that are asked for again come back; the rest of them goes at the next time.
+    """
 
     def __init__(self, most: int):
-        self.most, self.size = most, 0
+        self.most, self.size, self.old = most, 0, {}
 
     def made(self, word: str) -> bytes:
         raise NotImplementedError
 
     def __missing__(self, word: str) -> bytes:
-        got = self.made(word)
+        got = self.old.pop(word, None)
+        if got is None:
+            got = self.made(word)
         self.size += len(word) + len(got) + _ENTRY
-        if self.size > self.most:
+        if 2 * self.size > self.most:
+            self.old = dict(self)
             self.clear()
             self.size = len(word) + len(got) + _ENTRY
         self[word] = got
@@ -87,7 +93,13 @@ class WordEncoder(_Kept):
 
     def made(self, word: str) -> bytes:
         if word.isascii() or (max(word) < _PLAIN and _NOT_PLAIN not in word):
-            return b"".join([self.parts[p] for p in _PARTS.findall(word.lower())])
+            low = word.lower()
+            # Most words are letters, or letters and one more character: these need no pattern.
+            if low.isalpha():
+                return self.parts[low]
+            if low[:-1].isalpha() and "!" <= low[-1] <= "~":
+                return self.parts[low[:-1]] + self.parts[low[-1]]
+            return b"".join([self.parts[p] for p in _PARTS.findall(low)])
         return self.whole(word)
 
     def whole(self, text: str) -> bytes:

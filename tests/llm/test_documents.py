@@ -146,6 +146,17 @@ def test_kept_words_stay_within_their_bytes():
     assert len(encoder) < 100 and len(encoder.parts) < 100
 
 
+def test_words_asked_for_again_are_not_made_again(monkeypatch):
+    """When the store is full, words still in use come back from its old half."""
+    encoder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    encoder.most = 20_000
+    made, make = Counter(), packing.WordEncoder.made
+    monkeypatch.setattr(packing.WordEncoder, "made", lambda self, w: made.update([w]) or make(self, w))
+    text = " ".join(f"often rare{chr(97 + k // 26 % 26)}{chr(97 + k % 26)}." for k in range(600))
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == encoder.tok.encode(text, add_special_tokens=False).ids
+    assert made["often"] == 1 and len(encoder) + len(encoder.old) < 100
+
+
 def counts_of(t):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w]
     windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
