@@ -25,8 +25,9 @@ from sievelake.llm.shared import WHITE, materialize, n_partitions, small_batches
 CAPACITY = 4096
 END_ID = 1
 
-#: Bytes that a Python worker may keep of words with their ids, and of parts of words; beyond that it starts afresh.
-WORD_BYTES, PART_BYTES = 30_000_000, 25_000_000
+#: Bytes that a Python worker may keep of words with their ids, and of parts of words; beyond that it starts afresh. What is forgotten is encoded again, which costs
+#: twenty times a look-up: texts of 100,000s of rare words take twice the time with a quarter of this.
+WORD_BYTES, PART_BYTES = 140_000_000, 70_000_000
 #: What an entry costs beside its letters and ids: two objects and a place in a table.
 _ENTRY = 200
 _encoders: dict[tuple, "WordEncoder"] = {}
@@ -108,6 +109,11 @@ class WordEncoder(_Kept):
     def encode(self, text: str) -> bytes:
         if any(x in text for x in self.special):
             return self.whole(text)
+        try:
+            text.encode("latin-1")
+            text = text.lower()  # one character for one here, so that a word and its capital form are kept once
+        except UnicodeEncodeError:
+            pass
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         return b"".join([self[w] for w in words])
 

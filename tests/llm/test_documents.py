@@ -157,6 +157,18 @@ def test_words_asked_for_again_are_not_made_again(monkeypatch):
     assert made["often"] == 1 and len(encoder) + len(encoder.old) < 100
 
 
+def test_a_hundred_thousand_words_are_made_once_and_in_one_case(monkeypatch):
+    encoder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    made, make = Counter(), packing.WordEncoder.made
+    monkeypatch.setattr(packing.WordEncoder, "made", lambda self, w: made.update([w]) or make(self, w))
+    words = ["".join(chr(97 + k // 26**i % 26) for i in range(4)) for k in range(100_000)]
+    for x in (words, words, [w.capitalize() for w in words]):
+        encoder.encode(" ".join(x))
+    assert len(made) == sum(made.values()) == 100_000
+    for text in ("ÉCOLE École GROẞ ÀÖß µ ÿŸ", "É Œuvre ŒUVRE", "İÉ ΣΑΣ É", "\xa0A\x85B\x1cC ÷×Þ"):
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == encoder.tok.encode(text, add_special_tokens=False).ids
+
+
 def counts_of(t):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w]
     windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
