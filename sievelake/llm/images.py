@@ -31,11 +31,17 @@ TABLES = 5
 MATCH_BITS = 42
 MEETINGS = 2  # _often_met() counts to two
 INLIERS = 5
+TURN, GROW = 0.35, 0.3  # how far turns, and logarithms of scales, of matches that agree may lie apart
+SLACK, SLACK_GROWTH = 3, 0.12  # and their places: so many pixels, and this share of their distance
 BLOCK = 256  # members of an entry paired at once
-#: Pairs of corners counted, and bytes of corners sent to pairs, in a round; a round of a large table has as many as the table itself. All rounds together do the whole job.
-ROUND_MEETINGS, ROUND_BYTES = 4_000_000, 64_000_000
+#: Pairs of corners counted, and bytes of corners sent to pairs, in a round; a round of a large table has as many pairs as the table has members, and two thirds of its bytes. All rounds together do the whole job.
+ROUND_MEETINGS, ROUND_BYTES = 8_000_000, 128_000_000
+#: Bytes of corners, and images, in a part of the table that a task has at once.
+PART_BYTES, PART_IMAGES = 40_000_000, 10_000
 #: The most pixels that a picture may have; larger ones count as unreadable, so that a small file can't fill a task's memory.
 MOST_PIXELS = 100_000_000
+#: Images described at once have so many pixels together.
+STACK_PIXELS = 80_000
 _TESTS = np.random.default_rng(11).integers(-RADIUS + 1, RADIUS, (BITS, 4))
 
 
@@ -114,44 +120,51 @@ def _box(x: np.ndarray, r: int) -> np.ndarray:
 def _shrunk(x: np.ndarray, scale: float) -> np.ndarray:
     if scale == 1:
         return x
-    h, w = int(x.shape[0] / scale), int(x.shape[1] / scale)
-    ys, xs = np.minimum((np.arange(h) * scale), x.shape[0] - 1.001), np.minimum(np.arange(w) * scale, x.shape[1] - 1.001)
+    h, w = int(x.shape[-2] / scale), int(x.shape[-1] / scale)
+    ys, xs = np.minimum((np.arange(h) * scale), x.shape[-2] - 1.001), np.minimum(np.arange(w) * scale, x.shape[-1] - 1.001)
     y0, x0 = ys.astype(int), xs.astype(int)
     fy, fx = (ys - y0)[:, None], (xs - x0)[None, :]
-    y1, x1 = np.minimum(y0 + 1, x.shape[0] - 1), np.minimum(x0 + 1, x.shape[1] - 1)
-    above, below = x[y0], x[y1]
-    return (1 - fy) * ((1 - fx) * above[:, x0] + fx * above[:, x1]) + fy * ((1 - fx) * below[:, x0] + fx * below[:, x1])
+    y1, x1 = np.minimum(y0 + 1, x.shape[-2] - 1), np.minimum(x0 + 1, x.shape[-1] - 1)
+    above, below = x[..., y0, :], x[..., y1, :]
+    return (1 - fy) * ((1 - fx) * above[..., x0] + fx * above[..., x1]) + fy * ((1 - fx) * below[..., x0] + fx * below[..., x1])
 
 
 def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Corners (x, y, scale, angle) as float32 rows and their tests as rows of BITS / 8 bytes."""
-    places, bits = [], []
+    return describe_all(image[None])[0]
+
+
+def describe_all(stack: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """What describe() gives for each of a stack of images of one size; small images cost half as much together."""
+    places, bits, owner = [np.zeros((0, 4), np.float32)], [np.zeros((0, BITS // 8), np.uint8)], [np.zeros(0, np.int64)]
     m = RADIUS + 3
     yy, xx = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
     disc = yy * yy + xx * xx <= RADIUS * RADIUS
     scale = 1.0
-    while min(image.shape) / scale >= 2 * m + 3:
+    while min(stack.shape[1:]) / scale >= 2 * m + 3:
         r = max(0, round((scale - 1) / 2))
-        img = _shrunk(_box(image, r) / (2 * r + 1) ** 2 if r else image, scale)
+        img = _shrunk(_box(stack, r) / (2 * r + 1) ** 2 if r else stack, scale)
         img = _box(img, 1) / 9
         soft = _box(img, 2) / 25
-        gy, gx = np.gradient(img)
+        gy, gx = np.gradient(img, axis=(1, 2))
         a, b, c = _box(np.stack([gx * gx, gy * gy, gx * gy]), 2)
         strength = a * b - c * c - 0.05 * (a + b) ** 2
-        core = strength[m:-m, m:-m]
+        core = strength[:, m:-m, m:-m]
         peak = core > 1e-6
         for dy in (-1, 0, 1):
             for dx in (-1, 0, 1):
                 if dy or dx:
-                    peak &= core > strength[m + dy : strength.shape[0] - m + dy, m + dx : strength.shape[1] - m + dx]
-        ys, xs = np.nonzero(peak)
-        cell = ys // CELL * (core.shape[1] // CELL + 1) + xs // CELL
-        order = np.lexsort((xs, ys, -core[ys, xs], cell))
+                    peak &= core > strength[:, m + dy : strength.shape[1] - m + dy, m + dx : strength.shape[2] - m + dx]
+        ns, ys, xs = np.nonzero(peak)
+        cell = (ns * (core.shape[1] // CELL + 1) + ys // CELL) * (core.shape[2] // CELL + 1) + xs // CELL
+        order = np.lexsort((xs, ys, -core[ns, ys, xs], cell))
         best = np.sort(order[np.unique(cell[order], return_index=True)[1]])
-        ys, xs = ys[best] + m, xs[best] + m
-        for at in range(0, len(ys), 4096):
-            y, x = ys[at : at + 4096], xs[at : at + 4096]
-            patch = soft[y[:, None, None] + yy, x[:, None, None] + xx] * disc
+        ns, ys, xs = ns[best], ys[best] + m, xs[best] + m
+        flat, width = soft.ravel(), soft.shape[2]
+        corner = (ns * soft.shape[1] + ys) * width + xs
+        for at in range(0, len(ys), 512):
+            y, x, k0 = ys[at : at + 512], xs[at : at + 512], corner[at : at + 512]
+            patch = flat[k0[:, None, None] + (yy * width + xx)] * disc
             angle = np.arctan2((patch * yy).sum((1, 2)), (patch * xx).sum((1, 2)))
             cos, sin = np.cos(angle)[:, None], np.sin(angle)[:, None]
             turned = []
@@ -159,15 +172,32 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 fx, fy = cos * tx - sin * ty, sin * tx + cos * ty
                 x0, y0 = np.floor(fx), np.floor(fy)
                 fx, fy = fx - x0, fy - y0
-                k = ((y0 + y[:, None]) * soft.shape[1] + x0 + x[:, None]).astype(np.int64)
-                flat, below = soft.ravel(), k + soft.shape[1]
+                k = (y0 * width + x0).astype(np.int64) + k0[:, None]
+                below = k + width
                 turned.append((1 - fy) * ((1 - fx) * flat[k] + fx * flat[k + 1]) + fy * ((1 - fx) * flat[below] + fx * flat[below + 1]))
             bits.append(np.packbits(turned[0] < turned[1], axis=1))
-            places.append(np.stack([x * scale, y * scale, np.full(len(x), scale), angle], 1))
+            places.append(np.stack([x * scale, y * scale, np.full(len(x), scale), angle], 1).astype(np.float32))
+        owner.append(ns)
         scale *= STEP
-    if not places:
-        return np.zeros((0, 4), np.float32), np.zeros((0, BITS // 8), np.uint8)
-    return np.concatenate(places).astype(np.float32), np.concatenate(bits)
+    owner = np.concatenate(owner)
+    order, cuts = np.argsort(owner, kind="stable"), np.cumsum(np.bincount(owner, minlength=len(stack)))[:-1]
+    return list(zip(np.split(np.concatenate(places)[order], cuts), np.split(np.concatenate(bits)[order], cuts)))
+
+
+def describe_each(images: list[np.ndarray | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """What describe() gives for each image, nothing for None; images of one size go in stacks of at most STACK_PIXELS."""
+    out = [(np.zeros((0, 4), np.float32), np.zeros((0, BITS // 8), np.uint8))] * len(images)
+    by_size: dict[tuple, list[int]] = {}
+    for k, x in enumerate(images):
+        if x is not None:
+            by_size.setdefault(x.shape, []).append(k)
+    for (h, w), ks in by_size.items():
+        n = max(1, STACK_PIXELS // (h * w))
+        for at in range(0, len(ks), n):
+            part = ks[at : at + n]
+            for k, found in zip(part, describe_all(np.stack([images[k] for k in part]))):
+                out[k] = found
+    return out
 
 
 def consensus(pa_: np.ndarray, pb: np.ndarray) -> int:
@@ -180,10 +210,10 @@ def consensus(pa_: np.ndarray, pb: np.ndarray) -> int:
         part = slice(at, at + 256)
         guess = f[part, None] * za[None, :] + (zb - f * za)[part, None]
         # What a guess may be off grows with the distance from its corner, as its turn and scale are inexact.
-        slack = 3 + 0.12 * np.abs(f[part, None] * (za[None, :] - za[part, None]))
+        slack = SLACK + SLACK_GROWTH * np.abs(f[part, None] * (za[None, :] - za[part, None]))
         near = np.abs(guess - zb[None, :]) <= slack
-        near &= np.abs(np.angle(np.exp(1j * (turn[part, None] - turn[None, :])))) <= 0.35
-        near &= np.abs(np.log(grow[part, None] / grow[None, :])) <= 0.3
+        near &= np.abs(np.angle(np.exp(1j * (turn[part, None] - turn[None, :])))) <= TURN
+        near &= np.abs(np.log(grow[part, None] / grow[None, :])) <= GROW
         for row in near[near.sum(1) >= max(best + 1, INLIERS)]:
             best = max(best, len(np.unique(zb[row])))
     return best
@@ -199,17 +229,57 @@ def _words(bits: bytes) -> np.ndarray:
 
 def linked(bu: bytes, pu: bytes, bv: bytes, pv: bytes) -> bool:
     """Whether enough corners of the first image have a match in the second that agrees with the others; bits and places as describe() has them."""
-    du, dv = (np.ascontiguousarray(_words(x).T) for x in (bu, bv))
-    xu, xv = (np.frombuffer(x, np.float32).reshape(-1, 4).astype(np.float64) for x in (pu, pv))
-    ours, theirs = [], []
+    return linked_each([(_corners(bu, pu), _corners(bv, pv))])[0]
+
+
+def _corners(bits: bytes, places: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.ascontiguousarray(_words(bits).T), np.frombuffer(places, np.float32).reshape(-1, 4).astype(np.float64)
+
+
+def linked_each(pairs: list[tuple]) -> list[bool]:
+    """linked() of each pair of _corners(). Matches are screened together for INLIERS that agree, a trace more widely than by consensus(), which has the word on what is left."""
+    out, few, wide, many = [False] * len(pairs), [], [], []
+    for k, ((du, xu), (dv, xv)) in enumerate(pairs):
+        ours, theirs = _matches(du, dv)
+        if len(ours) >= INLIERS:
+            (few if len(ours) <= 16 else wide if len(ours) <= 64 else many).append((k, xu[ours], xv[theirs]))
+    for group in (few, wide):
+        if group:
+            turn = np.full((len(group), max(len(x) for _, x, _ in group)), np.nan)
+            grow = turn.copy()
+            for r, (_, x, y) in enumerate(group):
+                turn[r, : len(x)], grow[r, : len(x)] = y[:, 3] - x[:, 3], y[:, 2] / x[:, 2]
+            grow = np.log(grow)
+            off = turn[:, :, None] - turn[:, None, :]
+            off -= 2 * np.pi * np.rint(off / (2 * np.pi))
+            agree = (np.abs(off) <= TURN + 1e-6) & (np.abs(grow[:, :, None] - grow[:, None, :]) <= GROW + 1e-6)
+            left = np.flatnonzero(agree.sum(2).max(1) >= INLIERS)
+            za, zb = np.full((2, len(left), turn.shape[1]), np.nan, complex)
+            for r, k in enumerate(left):
+                _, x, y = group[k]
+                za[r, : len(x)], zb[r, : len(x)] = x[:, 0] + 1j * x[:, 1], y[:, 0] + 1j * y[:, 1]
+            way = (np.exp(grow[left] + 1j * turn[left]))[:, :, None] * (za[:, None, :] - za[:, :, None])
+            agree = agree[left] & (np.abs(way - (zb[:, None, :] - zb[:, :, None])) <= SLACK + SLACK_GROWTH * np.abs(way) + 1e-6)
+            many += [group[k] for k in left[agree.sum(2).max(1, initial=0) >= INLIERS]]
+    for k, x, y in many:
+        out[k] = consensus(x, y) >= INLIERS
+    return out
+
+
+def _matches(du: np.ndarray, dv: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Corners of the first image whose nearest in the second is within MATCH_BITS, and that nearest, the first of equals."""
+    ours, theirs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for at in range(0, du.shape[1], 256):
-        distance = sum(np.bitwise_count(a[at : at + 256, None] ^ b) for a, b in zip(du, dv))  # at most BITS, so a byte holds it
-        nearest = distance.argmin(1)
-        ok = np.flatnonzero(distance[np.arange(len(nearest)), nearest] <= MATCH_BITS)
-        ours.append(ok + at)
-        theirs.append(nearest[ok])
-    ours, theirs = np.concatenate(ours), np.concatenate(theirs)
-    return len(ours) >= INLIERS and consensus(xu[ours], xv[theirs]) >= INLIERS
+        distance = reduce(np.add, (np.bitwise_count(a[at : at + 256, None] ^ b) for a, b in zip(du, dv))).ravel()  # at most BITS, so a byte holds it
+        near = np.flatnonzero(distance <= MATCH_BITS)
+        i, j = np.divmod(near, dv.shape[1])
+        order = np.lexsort((distance[near], i))  # keeps the order of j among equals
+        i = i[order]
+        first = np.ones(len(i), bool)
+        first[1:] = i[1:] != i[:-1]
+        ours.append(i[first] + at)
+        theirs.append(j[order][first])
+    return np.concatenate(ours), np.concatenate(theirs)
 
 
 def shared_entries(entry: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -265,14 +335,17 @@ def copies(images: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            digest, places, bits = [], [], []
-            for data in b.column(1).to_pylist():
+            digest, places, bits, held = [], [], [], []
+            for k, data in enumerate(b.column(1).to_pylist(), 1):
                 gray = read_png(data)
-                p, d = describe(gray) if gray is not None else (np.zeros((0, 4), np.float32), np.zeros((0, BITS // 8), np.uint8))
                 whole = repr(gray.shape).encode() + gray.tobytes() if gray is not None else b"?" + (data or b"")
                 digest.append(hashlib.sha1(whole).hexdigest())
-                places.append(p.tobytes())
-                bits.append(d.tobytes())
+                held.append(gray)
+                if k == b.num_rows or sum(x.size for x in held if x is not None) >= STACK_PIXELS:
+                    for p, d in describe_each(held):
+                        places.append(p.tobytes())
+                        bits.append(d.tobytes())
+                    held = []
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest), pa.array(places, pa.binary()), pa.array(bits, pa.binary())], names=["image_id", "digest", "places", "bits"])
 
     spark = images.sparkSession
@@ -301,7 +374,10 @@ def copies(images: DataFrame) -> DataFrame:
     release_shuffles(spark)
     met = groups.agg(F.sum(F.size("m").cast("long") * (F.size("m") - 1) / 2)).first()[0] or 0
     parts = max(1, math.ceil(met / max(ROUND_MEETINGS, rows.count())))
+    drop_table(rows)
     pairs = [_often_met(part_of_meetings(groups, k, parts)) for k in range(parts)]
+    drop_table(groups)
+    release_shuffles(spark)
     more = _verified(reduce(DataFrame.union, pairs), classes)
     reach = connected_components(first.union(more))
     of = classes.select("a", "digest").join(reach, F.col("a") == F.col("node"), "left").select("digest", F.coalesce("component", "a").alias("component_id"))
@@ -310,34 +386,48 @@ def copies(images: DataFrame) -> DataFrame:
 
 def _often_met(met: DataFrame) -> DataFrame:
     """(u, v) of the pairs that meet in MEETINGS = 2 different pairs of corners or more, as a table."""
-    corners = F.struct("ku", "kv")
+    corners = F.shiftleft(F.col("ku").cast("long"), 32).bitwiseOR(F.col("kv").cast("long"))  # a number, so that Spark counts by hash and sorts nothing
     pairs = materialize(met.groupBy("u", "v").agg(F.min(corners).alias("a"), F.max(corners).alias("b")).where("a <> b").select("u", "v"), "image-pairs")
     release_shuffles(met.sparkSession)
     return pairs
 
 
 def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(u, v) of the pairs that are links. Rounds by u send no more corners at once than ROUND_BYTES or what classes holds, so that disk does not grow with the number of pairs."""
-    size = F.octet_length("bits") + F.octet_length("places")
-    held, mean = classes.agg(F.sum(size), F.avg(size)).first()
-    rounds = max(1, math.ceil(pairs.count() * (mean or 0) / max(ROUND_BYTES, held or 0)))
-    part = lambda c: F.pmod(F.xxhash64(c), F.lit(rounds))
-    links = [_links(pairs.where(part("u") == k), classes.where(part("a") == k), classes) for k in range(rounds)]
+    """(u, v) of the pairs that are links. Corners go to parts of u by parts of v, once to each, and not with every pair; rounds by u hold no more copies of the first side at once than ROUND_BYTES or two thirds of classes, and classes as the second."""
+    n, held = classes.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("bits") + F.octet_length("places")), F.lit(0))).first()
+    cores = pairs.sparkSession.sparkContext.defaultParallelism
+    parts = cores * math.ceil(max(6, held / PART_BYTES, n / PART_IMAGES) / cores)
+    rounds = max(1, math.ceil(parts * held / max(ROUND_BYTES, held * 2 / 3)))
+    part = lambda c, of: F.pmod(F.xxhash64(c), F.lit(of)).cast("int")
+    vs = classes.select(part("a", parts).alias("part", metadata={"of": parts}), "a", "bits", "places")
+    links = []
+    for k in range(rounds):
+        us = classes.where(part("a", rounds) == k).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "a", "bits", "places")
+        links.append(_links(pairs.where(part("u", rounds) == k).select(part("v", parts).alias("part"), "u", "v"), us, vs))
     return reduce(DataFrame.union, links)
 
 
 def _links(pairs: DataFrame, us: DataFrame, vs: DataFrame) -> DataFrame:
-    """(u, v) of the pairs that are links, as a table; us and vs hold the corners of either side."""
-    left = us.select(F.col("a").alias("u"), F.col("bits").alias("bu"), F.col("places").alias("pu"))
-    right = vs.select(F.col("a").alias("v"), F.col("bits").alias("bv"), F.col("places").alias("pv"))
-    matched = pairs.join(left, "u").join(right, "v").select("u", "v", "bu", "pu", "bv", "pv")
+    """(u, v) of the pairs that are links, as a table; us and vs hold the corners of either side, and each part of the three is a task."""
+    none = F.lit(None)
+    rows = us.union(vs).select("part", F.col("a").alias("u"), none.cast("long").alias("v"), "bits", "places")
+    rows = rows.union(pairs.select("part", "u", "v", none.cast("binary"), none.cast("binary")))
 
     def verify(batches):
+        seen, met = {}, [np.zeros((0, 2), np.int64)]
         for b in batches:
-            good = [linked(*x) for x in zip(*[b.column(k).to_pylist() for k in range(2, 6)])]
-            yield b.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
-
-    links = materialize(matched.mapInArrow(verify, "u long, v long"), "image-links")
+            _, u, v, bits, places = b.columns
+            pair = v.is_valid()
+            met.append(np.stack([x.filter(pair).to_numpy() for x in (u, v)], 1))
+            for k in np.flatnonzero(~pair.to_numpy(zero_copy_only=False)).tolist():
+                seen[u[k].as_py()] = _corners(bits[k].as_py(), places[k].as_py())
+        met = np.concatenate(met)
+        for at in range(0, len(met), 256):
+            u, v = met[at : at + 256].T
+            good = np.array(linked_each([(seen[x], seen[y]) for x, y in zip(u.tolist(), v.tolist())]))
+            yield pa.RecordBatch.from_arrays([pa.array(u[good]), pa.array(v[good])], names=["u", "v"])
+
+    links = materialize(rows.repartitionById(vs.schema["part"].metadata["of"], "part").mapInArrow(verify, "u long, v long"), "image-links")
     release_shuffles(pairs.sparkSession)
     return links
 

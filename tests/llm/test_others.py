@@ -3,6 +3,7 @@
 import html
 import itertools
 import math
+import os
 import random
 import re
 import struct
@@ -206,6 +207,32 @@ def test_image_pairs_in_rounds(spark, monkeypatch):
     assert len(got) >= 6 and len(sent) >= 4 and sum(sent) == len(every) and max(sent) <= 3 * len(seen)
 
 
+def test_images_described_and_verified_together(spark, monkeypatch):
+    """Stacks of one size give what single images give, pairs verified together what consensus() says of each, and tables of meetings don't stay on disk."""
+    rng = np.random.default_rng(4)
+    smooth = lambda h, w: np.rint(np.clip(128 + 60 * (x := images._box(rng.standard_normal((h, w)), 2)) / x.std(), 0, 255))
+    made = [smooth(60, 60) for _ in range(7)] + [None, np.zeros((40, 40)), smooth(50, 70), smooth(3, 5), smooth(200, 150)]
+    made += [made[0][3:, 2:], np.rot90(made[1]), made[2], made[11][20:150, 10:130]]
+    monkeypatch.setattr(images, "STACK_PIXELS", 11_000)
+    seen = images.describe_each(made)
+    for x, (places, bits) in zip(made, seen):
+        want = images.describe(x) if x is not None else (np.zeros((0, 4)), np.zeros((0, 30)))
+        assert np.array_equal(places, want[0]) and np.array_equal(bits, want[1])
+    full = [images._corners(d.tobytes(), p.tobytes()) for p, d in seen]
+    pairs, want = [(u, v) for u in range(len(made)) for v in range(u + 1, len(made)) if len(seen[u][0]) and len(seen[v][0])], []
+    for u, v in pairs:
+        distance = np.unpackbits(seen[u][1][:, None] ^ seen[v][1], axis=2).sum(2)
+        ours = np.flatnonzero(distance.min(1) <= images.MATCH_BITS)
+        want.append(len(ours) >= images.INLIERS and images.consensus(full[u][1][ours], full[v][1][distance.argmin(1)[ours]]) >= images.INLIERS)
+    assert images.linked_each([(full[u], full[v]) for u, v in pairs]) == want and 4 <= sum(want) < len(want)
+
+    kept, drop = [], images.materialize
+    monkeypatch.setattr(images, "materialize", lambda df, name: kept.append((name, drop(df, name))) or kept[-1][1])
+    images.copies(spark.createDataFrame([(i, images.png(x)) for i, x in enumerate(made) if x is not None], "image_id long, image binary")).collect()
+    there = [name for name, df in kept for at in df.inputFiles()[:1] if os.path.exists(at.removeprefix("file:").replace("///", "/"))]
+    assert "image-links" in there and not {"corners", "members", "block-pairs"} & set(there)
+
+
 def test_image_links_equal_brute_force(spark):
     """A large group of edited copies, and a hot entry: the same mark in pictures that are no copies."""
     rng = np.random.default_rng(3)
