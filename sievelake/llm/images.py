@@ -367,19 +367,25 @@ def copies(images: DataFrame) -> DataFrame:
     release_shuffles(spark)
 
     # First the pairs that hold a group of copies together, then all that meet across the classes so far: what is within one class needs no more links.
-    first = _verified(_often_met(first_meetings(rows)), classes)
+    met = _often_met(first_meetings(rows))
+    first = _verified(met, classes)
+    drop_table(met)
     reach = materialize(connected_components(first), "first-classes")
     classed = rows.join(reach.withColumnsRenamed({"node": "a", "component": "c"}), "a", "left").withColumn("c", F.coalesce("c", "a"))
     groups = materialize(block_pairs(classed), "block-pairs")
     release_shuffles(spark)
-    met = groups.agg(F.sum(F.size("m").cast("long") * (F.size("m") - 1) / 2)).first()[0] or 0
-    parts = max(1, math.ceil(met / max(ROUND_MEETINGS, rows.count())))
+    total = groups.agg(F.sum(F.size("m").cast("long") * (F.size("m") - 1) / 2)).first()[0] or 0
+    parts = max(1, math.ceil(total / max(ROUND_MEETINGS, rows.count())))
     drop_table(rows)
-    pairs = [_often_met(part_of_meetings(groups, k, parts)) for k in range(parts)]
-    drop_table(groups)
-    release_shuffles(spark)
-    more = _verified(reduce(DataFrame.union, pairs), classes)
-    reach = connected_components(first.union(more))
+    # Pairs that meet by chance grow with the square of the table, so those of a part are verified and gone before the next part is made.
+    links = [first]
+    for k in range(parts):
+        met = _often_met(part_of_meetings(groups, k, parts))
+        if k == parts - 1:
+            drop_table(groups)
+        links.append(_verified(met, classes, k, parts))
+        drop_table(met)
+    reach = connected_components(reduce(DataFrame.union, links))
     of = classes.select("a", "digest").join(reach, F.col("a") == F.col("node"), "left").select("digest", F.coalesce("component", "a").alias("component_id"))
     return slim.join(of, "digest").select("image_id", "n_corners", "component_id")
 
@@ -392,18 +398,18 @@ def _often_met(met: DataFrame) -> DataFrame:
     return pairs
 
 
-def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(u, v) of the pairs that are links. Corners go to parts of u by parts of v, once to each, and not with every pair; rounds by u hold no more copies of the first side at once than ROUND_BYTES or two thirds of classes, and classes as the second."""
+def _verified(pairs: DataFrame, classes: DataFrame, k: int = 0, of: int = 1) -> DataFrame:
+    """(u, v) of the pairs that are links, pairs being those of part k of part_of_meetings(). Corners go to parts of u by parts of v, once to each, and not with every pair; rounds by u hold no more copies of the first side at once than ROUND_BYTES or two thirds of classes, and classes as the second."""
     n, held = classes.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("bits") + F.octet_length("places")), F.lit(0))).first()
     cores = pairs.sparkSession.sparkContext.defaultParallelism
     parts = cores * math.ceil(max(6, held / PART_BYTES, n / PART_IMAGES) / cores)
-    rounds = max(1, math.ceil(parts * held / max(ROUND_BYTES, held * 2 / 3)))
+    rounds = of * max(1, math.ceil(parts * held / max(ROUND_BYTES, held * 2 / 3) / of))  # a multiple of the parts of meetings, which go by the same hash
     part = lambda c, of: F.pmod(F.xxhash64(c), F.lit(of)).cast("int")
     vs = classes.select(part("a", parts).alias("part", metadata={"of": parts}), "a", "bits", "places")
     links = []
-    for k in range(rounds):
-        us = classes.where(part("a", rounds) == k).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "a", "bits", "places")
-        links.append(_links(pairs.where(part("u", rounds) == k).select(part("v", parts).alias("part"), "u", "v"), us, vs))
+    for r in range(k, rounds, of):
+        us = classes.where(part("a", rounds) == r).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "a", "bits", "places")
+        links.append(_links(pairs.where(part("u", rounds) == r).select(part("v", parts).alias("part"), "u", "v"), us, vs))
     return reduce(DataFrame.union, links)
 
 

@@ -233,6 +233,32 @@ def test_images_described_and_verified_together(spark, monkeypatch):
     assert "image-links" in there and not {"corners", "members", "block-pairs"} & set(there)
 
 
+def test_image_pairs_are_verified_part_by_part(spark, monkeypatch):
+    """Pairs that meet grow with the square of the table, so those of one part are on disk at a time; here stars and chains find nothing, and all parts together find every copy."""
+    rng = np.random.default_rng(12)
+    x = images._box(rng.standard_normal((70, 70)), 2)
+    x = np.rint(np.clip(128 + 60 * x / x.std(), 0, 255))
+    rows = spark.createDataFrame([(i, images.png(x[i % 4 :, i // 4 :])) for i in range(12)], "image_id long, image binary").cache()
+    kept, there, sent, make, links = [], [], [], images.materialize, images._links
+
+    def counted(df, name):
+        out = make(df, name)
+        kept.extend([out.inputFiles()[0].removeprefix("file:").replace("///", "/")] if name == "image-pairs" else [])
+        there.append(sum(os.path.exists(at) for at in kept))
+        return out
+
+    def after_first(pairs, us, vs):
+        sent.append(pairs.count())
+        return links(pairs, us, vs).where(F.lit(len(sent) > 1))
+
+    monkeypatch.setattr(images, "materialize", counted)
+    monkeypatch.setattr(images, "_links", after_first)
+    monkeypatch.setattr(images, "ROUND_MEETINGS", 1)
+    assert sorted(tuple(r) for r in images.copies(rows).select("image_id", "component_id").collect()) == [(i, 0) for i in range(12)]
+    assert len(kept) >= 4 and len(kept) == len(sent) and sum(sent[1:]) <= 66
+    assert max(there) == 1 and not any(os.path.exists(at) for at in kept)
+
+
 def test_image_links_equal_brute_force(spark):
     """A large group of edited copies, and a hot entry: the same mark in pictures that are no copies."""
     rng = np.random.default_rng(3)
